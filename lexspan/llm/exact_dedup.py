@@ -83,8 +83,7 @@ def _collapse(text_at: int, id_at: int, schema: pa.Schema, flush_bytes: int):
             nonlocal number
             for batch, slots, first in held:
                 top = [tops[s][1] == first + i for i, s in enumerate(slots)]
-                texts = batch.column(text_at)
-                kept = pa.compute.if_else(pa.array(top), texts, pa.scalar(None, texts.type))
+                kept = batch.column(text_at).take(pa.array([i if t else None for i, t in enumerate(top)], pa.int32()))
                 columns = [kept if i == text_at else batch.column(i) for i in range(batch.num_columns)]
                 columns += [
                     pa.array([number + s for s in slots], pa.int64()),

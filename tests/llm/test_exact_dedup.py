@@ -54,6 +54,13 @@ def test_left_over_content_goes_on_whole(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_many_rows_in_a_batch(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(9000).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 4001)).alias("text"))
+    assert told(ExactGroups(df).decisions()) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
 def test_empty_table(none):
     found = ExactGroups(none)
     assert found.decisions().count() == 0 and found.kept().count() == 0
