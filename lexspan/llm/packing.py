@@ -33,23 +33,38 @@ class ChunkEncoder:
     """Ids of a text by a tokenizer, chunk by chunk between spaces, remembering chunks.
 
     The tokenizer drops white space and no token spans it, so chunks can be
-    encoded apart. The memory is emptied when it holds ``room`` chunks.
+    encoded apart, and many at once with a mark between them. Two generations
+    of up to ``room`` chunks are remembered; a chunk that is met again moves to
+    the younger one.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    MARK = "\x01"
+
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.room = room
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.mark = self._whole(self.MARK)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+        """chunks have no mark in them, so its one id tells them apart."""
+        if len(self.mark) != 1:
+            return [self._whole(c).tobytes() for c in chunks]
+        ids = self._whole(f" {self.MARK} ".join(chunks))
+        cuts = np.flatnonzero(ids == self.mark[0])
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(t in text for t in ("<|startoftext|>", "<|endoftext|>")):
-            return self._encode([text])[0]
+        if self.MARK in text or "<|startoftext|>" in text or "<|endoftext|>" in text:
+            return self._whole(text).tobytes()
         chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
         known = self.known
         try:
@@ -57,24 +72,37 @@ class ChunkEncoder:
         except KeyError:
             pass
         if len(known) > self.room:
-            known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        fresh = dict(zip(new, self._encode(new)))
-        out = b"".join([known[c] if c in known else fresh[c] for c in chunks])
-        known.update((c, v) for c, v in fresh.items() if len(c) <= 64)
+            self.older, self.known = known, (known := {})
+        missing = [c for c in dict.fromkeys(chunks) if c not in known]
+        found = {c: v for c in missing if (v := self.older.get(c)) is not None}
+        new = [c for c in missing if c not in found]
+        if new:
+            found.update(zip(new, self._encode(new)))
+        out = b"".join([known[c] if c in known else found[c] for c in chunks])
+        known.update((c, v) for c, v in found.items() if len(c) <= 64)
         return out
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """One a worker process, so that what it remembers serves its next tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of a frame (doc_id, text); only longer documents are cut."""
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer)
+        encode = encoder(tokenizer).ids
         end, width = np.array([END], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.ids(text.as_py() or "") + end
+                ids = encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     for column, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):
