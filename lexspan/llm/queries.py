@@ -13,6 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.quality import judge
+
+    rows = judge(_table(spark, sf_dir, "documents"), tag="op4")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspan.llm.simhash import hex_fingerprint, near_groups
 
@@ -20,6 +27,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspan.llm.sharding import shard_rows
 
@@ -46,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactGroups(_table(spark, sf_dir, "documents").select("doc_id", "text"), tag="op10").decisions()
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op7_sharding, op8_warc, op9_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_quality, op5_simhash, op6_mixing, op7_sharding, op8_warc, op9_packing, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
