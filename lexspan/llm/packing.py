@@ -12,6 +12,7 @@ their place by their number among the pieces of their length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable
@@ -32,40 +33,44 @@ CELLS = 64  # rounded lengths: capacity / CELLS tokens each
 class ChunkEncoder:
     """Ids of a text by a tokenizer, chunk by chunk between spaces, remembering chunks.
 
-    The tokenizer drops white space and no token spans it, so chunks can be
-    encoded apart, and many at once with a mark between them. Two generations
-    of up to ``room`` chunks are remembered; a chunk that is met again moves to
-    the younger one.
+    The tokenizer lowers case, drops white space and no token spans it, so
+    chunks can be encoded apart, and many at once with a mark between them. A
+    full stop or comma between a letter and white space is a word of its own to
+    the tokenizer and a chunk of its own here. Two generations of up to
+    ``room`` chunks are remembered; a chunk that is met again moves to the
+    younger one.
     """
 
     MARK = "\x01"
+    STOPS = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.room = room
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.mark = self._whole(self.MARK)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
         """chunks have no mark in them, so its one id tells them apart."""
         if len(self.mark) != 1:
-            return [self._whole(c).tobytes() for c in chunks]
-        ids = self._whole(f" {self.MARK} ".join(chunks))
+            return [self._whole(c.decode()).tobytes() for c in chunks]
+        ids = self._whole(f" {self.MARK} ".encode().join(chunks).decode())
         cuts = np.flatnonzero(ids == self.mark[0])
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.MARK in text or "<|startoftext|>" in text or "<|endoftext|>" in text:
+        data = text.encode().lower()  # ASCII only
+        if self.MARK.encode() in data or b"<|startoftext|>" in data or b"<|endoftext|>" in data:
             return self._whole(text).tobytes()
-        chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
+        chunks = self.STOPS.sub(rb" \1", data).replace(b"\n", b" ").split(b" ")
         known = self.known
         try:
             return b"".join([known[c] for c in chunks])

@@ -24,6 +24,7 @@ WINDOW = 5
 
 SHARE = 0.75  # of a group's rows that a concentration step keeps
 STEPS = 4
+SMALL = 10_000  # groups whose estimates are broadcast; more are joined by shuffle
 LEAST_ROWS = 60  # a smaller group is pooled with its language, then with all
 #: statistic, and the standard deviation that is added to its own (squared): differences below it are no reason to reject
 VECTOR = {"v_words": 0.8, "v_length": 0.15, "v_symbols": 0.8, "v_lines": 0.8, "v_repeats": 0.8, "v_upper": 0.8}
@@ -143,29 +144,45 @@ def _pools(rows: DataFrame) -> DataFrame:
     )
 
 
-def _pooled(rows: DataFrame, pools: DataFrame) -> DataFrame:
+class _Pools:
+    """The pools with their checked number, which decides how their rows are joined."""
+
+    def __init__(self, rows: DataFrame, tag: str):
+        self.table = written(_pools(rows), f"{tag}-pools")
+        self.count = self.table.count()
+
+    def near(self, small: DataFrame) -> DataFrame:
+        """A table with a row for each pool or group, sent to all workers if it is small."""
+        return F.broadcast(small) if self.count <= SMALL else small
+
+    def kept(self, state: DataFrame, name: str) -> DataFrame:
+        """Written in files of up to SMALL rows."""
+        return written(state.repartition(-(-max(1, self.count) // SMALL), "pool"), name)
+
+
+def _pooled(rows: DataFrame, pools: _Pools) -> DataFrame:
     same = F.col("lang").eqNullSafe(F.col("p_lang")) & F.col("source").eqNullSafe(F.col("p_source"))
-    return rows.join(pools, same, "left").drop("p_lang", "p_source")
+    return rows.join(pools.near(pools.table), same, "left").drop("p_lang", "p_source")
 
 
-def estimate(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+def estimate(rows: DataFrame, tag: str) -> tuple[_Pools, DataFrame]:
     """(pools, (pool, centre, factor, scale)) from rows (lang, source, vector).
 
     rows are a written table: each concentration step reads it twice. The
     tables that come back have a row for each language and source.
     """
-    pools = written(_pools(rows), f"{tag}-pools")
+    pools = _Pools(rows, tag)
     rows = _pooled(rows, pools)
     size = range(len(NAMES))
     floors = [VECTOR[n] ** 2 for n in NAMES]
     quartiles = rows.groupBy("pool").agg(*[F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, n in enumerate(NAMES)])
     centred = quartiles.select("pool", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in size], *[((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349).alias(f"s_{i}") for i in size])
     cov = {(i, j): F.col(f"s_{i}") ** 2 + floors[i] if i == j else F.lit(0.0) for i, j in PAIRS}
-    state = written(_factored(centred, cov, ["pool"]), f"{tag}-state0")
+    state = pools.kept(_factored(centred, cov, ["pool"]), f"{tag}-state0")
     for step in range(STEPS):
-        near = _distanced(rows.join(state, "pool"))
+        near = _distanced(rows.join(pools.near(state), "pool"))
         cut = near.groupBy("pool").agg(F.percentile_approx("d2", SHARE, 2000).alias("cut")).withColumnRenamed("pool", "c_pool")
-        subset = near.join(cut, F.col("pool") == F.col("c_pool")).where("d2 <= cut")
+        subset = near.join(pools.near(cut), F.col("pool") == F.col("c_pool")).where("d2 <= cut")
         moved = [F.col(n) - F.col(f"m_{i}") for i, n in enumerate(NAMES)]  # sums about the last centre lose no digits
         sums = subset.groupBy("pool").agg(
             F.count("*").alias("n"),
@@ -179,16 +196,16 @@ def estimate(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
             *[(F.col(f"b_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")).alias(f"b_{i}_{j}") for i, j in PAIRS],
         )
         cov = {(i, j): F.col(f"b_{i}_{j}") + (floors[i] if i == j else 0.0) for i, j in PAIRS}
-        state = written(_factored(centred, cov, ["pool"]), f"{tag}-state{step + 1}")
-    middle = _distanced(rows.join(state, "pool")).groupBy("pool").agg(F.percentile_approx("d2", 0.5, 2000).alias("middle"))
+        state = pools.kept(_factored(centred, cov, ["pool"]), f"{tag}-state{step + 1}")
+    middle = _distanced(rows.join(pools.near(state), "pool")).groupBy("pool").agg(F.percentile_approx("d2", 0.5, 2000).alias("middle"))
     # distances shrink where a group is wider than its subset says, and never grow
     scaled = state.join(middle, "pool").withColumn("scale", F.least(F.lit(1.0), MEDIAN_CHI2 / F.greatest("middle", F.lit(1e-9)))).drop("middle")
-    return pools, written(scaled, f"{tag}-final")
+    return pools, pools.kept(scaled, f"{tag}-final")
 
 
-def _judged(rows: DataFrame, pools: DataFrame, state: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, pools: _Pools, state: DataFrame) -> DataFrame:
     """rows with d2 (null where base_failed) and kept."""
-    near = _distanced(_pooled(rows, pools).join(state, "pool", "left"))
+    near = _distanced(_pooled(rows, pools).join(pools.near(state), "pool", "left"))
     near = near.withColumn("d2", F.when(~F.col("base_failed"), F.col("d2") * F.col("scale")))
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)
     return near.withColumn("kept", kept).drop("pool", "scale", *[f"m_{i}" for i in range(len(NAMES))], *[f"l_{i}_{j}" for i, j in PAIRS])

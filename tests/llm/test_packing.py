@@ -46,7 +46,7 @@ def test_real_texts_pack_tightly(real):
 def test_chunks_are_encoded_as_the_whole_text_is():
     encoder = packing.ChunkEncoder(PATH, room=3)
     tokenizer = Tokenizer.from_file(PATH)
-    for text in ("It's  a test of é ́x\n\n\tΣΟΦΟΣ ΣΑΣ. <|endoftext|> y", "a b a b 12 345", "́", " ", "\r\nq\x0bw\x1ce\x85r"):
+    for text in ("It's  a test of é ́x\n\n\tΣΟΦΟΣ ΣΑΣ. <|endoftext|> y", "a b a b 12 345", "́", " ", "\r\nq\x0bw\x1ce\x85r", "<|ENDOFTEXT|> End. End.. a,, 3. É. é, x.\ny,", "E\u0301. e\u0301, \x01 mark", "", "İstanbul K Å ﬁ. it's, we'll."):
         assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
