@@ -54,7 +54,8 @@ class ChunkEncoder:
         self.mark = self._whole(self.MARK)
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        # one text, without the offsets that encode() keeps
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         """chunks have no mark in them, so its one id tells them apart."""
@@ -71,21 +72,18 @@ class ChunkEncoder:
         if self.MARK.encode() in data or b"<|startoftext|>" in data or b"<|endoftext|>" in data:
             return self._whole(text).tobytes()
         chunks = self.STOPS.sub(rb" \1", data).replace(b"\n", b" ").split(b" ")
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > self.room:
-            self.older, self.known = known, (known := {})
-        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        found = {c: v for c in missing if (v := self.older.get(c)) is not None}
-        new = [c for c in missing if c not in found]
-        if new:
-            found.update(zip(new, self._encode(new)))
-        out = b"".join([known[c] if c in known else found[c] for c in chunks])
-        known.update((c, v) for c, v in found.items() if len(c) <= 64)
-        return out
+        if len(self.known) > self.room:
+            self.older, self.known = self.known, {}
+        values = list(map(self.known.get, chunks))
+        if None in values:
+            missing = dict.fromkeys(c for c, v in zip(chunks, values) if v is None)
+            found = {c: v for c in missing if (v := self.older.get(c)) is not None}
+            new = [c for c in missing if c not in found]
+            if new:
+                found.update(zip(new, self._encode(new)))
+            values = [found[c] if v is None else v for c, v in zip(chunks, values)]
+            self.known.update((c, v) for c, v in found.items() if len(c) <= 64)
+        return b"".join(values)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
