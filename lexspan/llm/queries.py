@@ -13,6 +13,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _split(column: str, modulus: int):
+    """True where crc32 of the id as text, modulo modulus, is 2; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == 2
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~_split("doc_id", 4))
+    lexicon = toxicity.learn(docs, labels)
+    rows = toxicity.score(docs, lexicon)
+    return rows.select("doc_id", _split("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "hits")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.pii import find
+
+    return find(_table(spark, sf_dir, "documents"), tag="op2")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm import lm
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _split("doc_id", 7).alias("held_out"), "text")
+    model = lm.train(docs.where("not held_out"), tag="op3")
+    rows = lm.score(docs, model)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.totals["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspan.llm.quality import judge
 
@@ -59,7 +89,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactGroups(_table(spark, sf_dir, "documents").select("doc_id", "text"), tag="op10").decisions()
 
 
-QUERIES = {f.__name__: f for f in (op4_quality, op5_simhash, op6_mixing, op7_sharding, op8_warc, op9_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_lm_scoring, op4_quality, op5_simhash, op6_mixing, op7_sharding, op8_warc, op9_packing, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
