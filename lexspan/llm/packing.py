@@ -44,7 +44,7 @@ class ChunkEncoder:
     MARK = "\x01"
     STOPS = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
