@@ -236,10 +236,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag:
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str = "quality") -> DataFrame:
     """The rows of docs that are kept, with docs' columns; no row is moved.
 
-    The statistics are computed twice, once for the estimates and once beside
-    the rows themselves, so no text crosses a shuffle.
+    The rows are written once beside their statistics: no text crosses a
+    shuffle, and the verdict is the row's own even where ids repeat.
     """
-    rows = _vectors(docs, text_col).select("lang", "source", "base_failed", *NAMES)
+    rows = _vectors(docs, text_col).drop("stats")
     rows = written(rows, f"{tag}-stats")
     pools, state = estimate(rows.where("not base_failed").select("lang", "source", *NAMES), tag)
-    return _judged(_vectors(docs, text_col).drop("stats"), pools, state).where("kept").select("row.*")
+    return _judged(rows, pools, state).where("kept").select("row.*")
