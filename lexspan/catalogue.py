@@ -329,7 +329,7 @@ def q_law_list(spark, sf_dir):
 
 
 def _grams_sql(x: str) -> str:
-    return f"list_distinct(list_transform(range(1, length({x})), i -> substr({x}, i::INT, 2)))"
+    return f"list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i::INT, 2)))"
 
 
 @query(f"""SELECT id::BIGINT AS query_id, ord::BIGINT AS ord, round(least(1.0, raw/scale),6) AS score FROM (SELECT id, ord, CASE WHEN n>0 THEN 5*n+5 ELSE 1 END AS scale,
@@ -420,7 +420,7 @@ def q_toolcall_pairs(spark, sf_dir):
 
 
 @query("""SELECT user_id, session, count(*) AS n_events FROM (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (
-SELECT *, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 7200*1000000)::INT, 0) AS far FROM events)) GROUP BY 1, 2""")
+SELECT *, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 7200000000)::INT, 0) AS far FROM events)) GROUP BY 1, 2""")
 def q_sessions_ttl(spark, sf_dir):
     return dialog.sessions(table(spark, sf_dir, "events"), 7200).select("user_id", "session", "n_events")
 
