@@ -27,7 +27,7 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 #: what may be an identifier: a token with an @ or at least five digits, without punctuation at its ends
-CANDIDATE = r"[A-Za-z0-9](?:[A-Za-z0-9._%+/@:-]*[A-Za-z0-9])?"
+CANDIDATE = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z._%+/@:-]*+[0-9]){5}|[A-Za-z0-9._%+/:-]*+@)[A-Za-z0-9](?:[A-Za-z0-9._%+/@:-]*[A-Za-z0-9])?"
 
 ROUNDS = 3
 CONFIDENT = 0.6  # of a pattern in a kind
@@ -35,15 +35,19 @@ SEEDS = 3  # distinct seed instances that a pattern needs
 ACCEPT = 0.8  # score of an instance
 
 
-def _spans(body: Column, pattern: str) -> Column:
-    """array<struct<s, e, v>> of the matches, in code points, end exclusive; null without one.
+def _matches(body: Column, pattern: str, hint: Column) -> Column:
+    """All matches where the hint holds, else null."""
+    return F.when(hint, F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
+
+
+def _spans(body: Column, pattern: str, found: Column) -> Column:
+    """array<struct<s, e, v>> of the matches found, in code points, end exclusive; null without one.
 
     The pieces between matches alternate with them, so lengths give places.
+    found is a column of its own, so that no text is searched twice.
     """
-    found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    pieces = F.split(body, pattern, -1)
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    pairs = F.zip_with(F.slice(F.split(body, pattern, -1), 1, F.size(found)), found, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("v")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
     step = lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + F.length(x["v"])).alias("at"),
         F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + F.length(x["v"])).alias("e"), x["v"].alias("v"))).alias("out"),
@@ -66,10 +70,14 @@ def _valid(kind: str, v: Column) -> Column:
 _NONE = "array<struct<s:int,e:int,v:string>>"
 
 
-def _found(body: Column, kind: str) -> Column:
-    hint = {"email": F.contains(body, F.lit("@")), "phone": F.contains(body, F.lit("+")), "ip": body.rlike(r"[0-9]\.[0-9]"), "card": body.rlike("[0-9]")}[kind]
-    spans = F.filter(_spans(body, PATTERNS[kind]), lambda x: _valid(kind, x["v"]))
-    return F.coalesce(F.when(hint, spans), F.array().cast(_NONE))
+def _hint(body: Column, kind: str) -> Column:
+    """A cheap test that every text with a valid match passes."""
+    return {
+        "email": F.contains(body, F.lit("@")),
+        "phone": F.contains(body, F.lit("+")),
+        "ip": body.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
+        "card": body.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"),
+    }[kind]
 
 
 def _labelled(spans: Column, kind: str) -> Column:
@@ -102,12 +110,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: s
     body = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("doc_id"), body.alias("body")).withColumn("some", F.col("body").rlike("[0-9@]"))
     b, some = F.col("body"), F.col("some")
-    df = df.select("doc_id", "body", "some", *[F.coalesce(F.when(some, _found(b, k)), F.array().cast(_NONE)).alias(k) for k in KINDS])
-    rich = lambda x: (F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= 5) | F.contains(x["v"], F.lit("@"))
-    other = F.filter(F.when(some, _spans(b, CANDIDATE)), rich)
-    df = df.withColumn("other", F.coalesce(other, F.array().cast(_NONE)))
+    df = df.select(
+        "doc_id", "body", *[_matches(b, PATTERNS[k], some & _hint(b, k)).alias(f"f_{k}") for k in KINDS], _matches(b, CANDIDATE, some).alias("f_other")
+    )
+    df = df.select("doc_id", "body", *[_spans(b, p, F.col(f"f_{k}")).alias(f"s_{k}") for k, p in (PATTERNS | {"other": CANDIDATE}).items()])
+    none = F.array().cast(_NONE)
+    valid = lambda k: F.filter(F.col(f"s_{k}"), lambda x: _valid(k, x["v"]))
+    df = df.select("doc_id", "body", *[F.coalesce(valid(k), none).alias(k) for k in KINDS], F.coalesce("s_other", none).alias("s_other"))
     base = F.concat(*[F.col(k) for k in KINDS])
-    df = df.withColumn("other", F.filter("other", lambda x: ~_overlaps(x, base)))
+    df = df.withColumn("other", F.filter("s_other", lambda x: ~_overlaps(x, base))).drop("s_other")
     seen = F.concat(*[_context(b, F.col(k), k) for k in KINDS], _context(b, F.col("other"), None))
     spans = F.concat(*[_labelled(F.col(k), k) for k in KINDS])
     df = df.select(
