@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import grams, jaccard, similarity
-from lexspan.operators import classify, dialog, entities, privacy, report, retrieval, rules, segment, structure
+from lexspan.functions.edit import difference, indel_ratio
+from lexspan.functions.text import grams, jaccard, occurrences, similarity
+from lexspan.operators import classify, dialog, entities, metadata, pages as layout, privacy, redline, report, responses, retrieval, rules, segment, structure, tables
 from lexspan.plans.packs import BUYER, LATIN, LEVELS, NEUTRAL, Playbook, Rule
-from lexspan.sources import files
+from lexspan.sources import files, word
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -528,3 +529,278 @@ def q_report(spark, sf_dir):
 @query(f"SELECT doc_id, ord::BIGINT AS ord, '<tr><td>'||risk_level||'</td><td>'||name||'</td><td>'||category||'</td></tr>' AS html FROM ({RULES_SQL})")
 def q_report_html(spark, sf_dir):
     return report.html_rows(_risks(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
+
+
+# contracts
+
+FX_CONTRACT = [
+    (1, "房屋租赁合同\n甲方：北京某某科技有限公司\n法定代表人：张三\n乙方（承租方）：李四\n地址：北京市海淀区中关村大街1号。\n争议提交北京仲裁委员会。\n本合同适用中华人民共和国民法。"),
+    (2, "plain text"),
+    (3, None),
+    (4, "甲方：王\n甲方：上海某公司\n出租方：某物业，代表\n由被告所在地人民法院管辖"),
+]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, contract_name, contract_type, dispute, governing_law, addresses FROM {values('doc_id,contract_name,contract_type,dispute,governing_law,addresses', [(1, '房屋租赁合同', '租赁合同', '提交北京仲裁', '中华人民共和国民法', '北京市海淀区中关村大街1号'), (2, None, None, None, None, ''), (3, None, None, None, None, ''), (4, None, None, '由被告所在地人民法院管辖', None, '')])}")
+def q_metadata(spark, sf_dir):
+    rows = metadata.contract_metadata(fixture(spark, "doc_id long, text string", FX_CONTRACT))
+    return rows.select("doc_id", "contract_name", "contract_type", "dispute", "governing_law", F.array_join("addresses", "|").alias("addresses"))
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, role, name, representative FROM {values('doc_id,role,name,representative', [(1, '甲方', '北京某某科技有限公司', '张三'), (1, '乙方', '李四', None), (4, '甲方', '上海某公司', None), (4, '出租方', '某物业', None)])}")
+def q_parties(spark, sf_dir):
+    rows = metadata.contract_metadata(fixture(spark, "doc_id long, text string", FX_CONTRACT))
+    return rows.select("doc_id", F.explode("parties").alias("p")).select("doc_id", "p.*")
+
+
+FX_DATES = [(1, "签订日期：2024年1月15日"), (2, "二〇二四年三月十五日 起"), (3, "自合同签订之日起30日内付款"), (4, "2024-13-01 及 2024-12-01 交付日期 2024-12-01")]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, raw, start_pos::BIGINT AS start_pos, normalized, role FROM {values('doc_id,raw,start_pos,normalized,role', [(1, '2024年1月15日', 5, '2024-01-15', '签署日期'), (2, '二〇二四年三月十五日', 0, '2024-03-15', None), (3, '自合同签订之日起30日内', 0, 'relative:30日内', '签署日期'), (4, '2024-12-01', 13, '2024-12-01', '交货日期')])}")
+def q_date_roles(spark, sf_dir):
+    return entities.date_mentions(fixture(spark, "doc_id long, text string", FX_DATES))
+
+
+FX_PAIRED = [(1, "总价500万元（大写：伍佰万元整）"), (2, "100元（大写：人民币贰佰元整）"), (3, "nothing"), (4, None)]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, lower, upper, consistent=1 AS consistent FROM {values('doc_id,lower,upper,consistent', [(1, '500万', '伍佰万', 1), (2, '100', '贰佰', 0)])}")
+def q_amount_pairs(spark, sf_dir):
+    return entities.amount_pairs(fixture(spark, "doc_id long, text string", FX_PAIRED))
+
+
+FX_SIGNED = [(1, 1, "甲方", 1, 0, 0), (1, 2, "甲方", 1, 1, 0), (1, 3, "甲方", 0, 1, 1), (1, 4, "乙方", 0, 0, 0), (2, 1, "甲方", 0, 0, 1)]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, role, ord::BIGINT AS ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, role ORDER BY a+b+c DESC, ord) AS rn FROM {values('doc_id,ord,role,a,b,c', FX_SIGNED)}) WHERE rn=1")
+def q_signature_dedup(spark, sf_dir):
+    df = fixture(spark, "doc_id long, ord long, role string, a int, b int, c int", FX_SIGNED)
+    marks = [F.col(x).cast("boolean").alias(n) for x, n in (("a", "has_signature"), ("b", "has_seal"), ("c", "has_riding_seal"))]
+    return entities.richest_signatures(df.select("doc_id", "ord", "role", *marks)).select("doc_id", "role", "ord")
+
+
+FX_DEFINED = [(1, "某公司,以下简称“买方公司”,买方公司付款,以下简称“一”"), (2, "hereinafter \"Goods\" only")]
+FX_DEFINED_CLAUSES = [(1, 1, "甲", "买方公司付款"), (1, 2, "乙", "其他"), (1, 3, "买方公司", "x")]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, term, n_mentions::BIGINT AS n_mentions, clause_ids FROM {values('doc_id,term,n_mentions,clause_ids', [(1, '买方公司', 2, '1|3')])}")
+def q_definition_refs(spark, sf_dir):
+    rows = entities.definition_references(fixture(spark, "doc_id long, text string", FX_DEFINED), fixture(spark, "doc_id long, clause_id long, title string, content string", FX_DEFINED_CLAUSES))
+    return rows.withColumn("clause_ids", F.array_join("clause_ids", "|"))
+
+
+FX_TERMS = {"license": ["licensed under", "license"], "contact": ["@mail", "555-"], "mark": ["***"]}
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, {lit(t)} AS term FROM documents WHERE " + " OR ".join(f"contains(lower(text),{lit(w)})" for w in ws) for t, ws in FX_TERMS.items()))
+def q_terms_in(spark, sf_dir):
+    return entities.terms_in(table(spark, sf_dir, "documents"), FX_TERMS)
+
+
+# tables and pages
+
+FX_HTML = [
+    (1, "<table><tr><th>a</th><th colspan=2>b<br>c</th></tr><tr><td rowspan='2'> x </td><td>y<table><tr><td>in</td></tr></table></td></tr></table>"),
+    (2, "<p>none</p>"), (3, None), (4, "<TABLE><tr><td rowspan=odd>z</td></tr></TABLE>"), (5, "<table><tr></tr><tr><td>q &amp; r</td></tr></table>"),
+]
+_CELLS = [(1, 0, 0, "a", 1, 1, True), (1, 0, 1, "b\nc", 1, 2, True), (1, 1, 0, "x", 2, 1, False), (1, 1, 1, "y[嵌套表格]", 1, 1, False), (5, 0, 0, "q & r", 1, 1, False)]
+
+
+@query(f"SELECT page_id::BIGINT AS page_id, r::BIGINT AS row, c::BIGINT AS col, content, rs::BIGINT AS row_span, cs::BIGINT AS col_span, h AS is_header FROM {values('page_id,r,c,content,rs,cs,h', _CELLS)}")
+def q_html_tables(spark, sf_dir):
+    return tables.html_cells(fixture(spark, "page_id long, html string", FX_HTML))
+
+
+@query(f"SELECT id::BIGINT AS id, body, heads::BIGINT AS heads FROM {values('id,body,heads', [(1, chr(10).join(['a | b', 'c']), 2), (2, '', 0)])}")
+def q_grid_cells(spark, sf_dir):
+    df = fixture(spark, "id long, grid array<array<string>>", [(1, [["a", "b"], [" ", None], ["c", ""]]), (2, [])])
+    cells = df.select("id", tables.grid_cells(F.col("grid")).alias("rows"))
+    heads = F.aggregate("rows", F.lit(0), lambda n, row: n + F.size(F.filter(row, lambda c: c["is_header"])))
+    return cells.select("id", tables.table_text(F.col("rows")).alias("body"), heads.cast("long").alias("heads"))
+
+
+FX_ALIGNED = [
+    (1, 0, 0, 10.0, 10.0, "Name"), (1, 0, 1, 200.0, 12.0, "Value"), (1, 0, 2, 11.0, 50.0, "x"), (1, 0, 3, 201.0, 51.0, "1"), (1, 0, 4, 205.0, 55.0, "2"), (1, 0, 5, 90.0, 90.0, " "),
+    (2, 0, 0, 10.0, 10.0, "a"), (2, 0, 1, 10.0, 30.0, "b"), (2, 0, 2, 10.0, 50.0, "c"), (2, 0, 3, 10.0, 70.0, "d"), (3, 0, 0, 1.0, 1.0, "few"),
+]
+_ALIGNED = [(1, 0, 0, "Name", True), (1, 0, 1, "Value", True), (1, 1, 0, "x", False), (1, 1, 1, "1\n2", False)]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, r::BIGINT AS row, c::BIGINT AS col, content, h AS is_header FROM {values('doc_id,r,c,content,h', _ALIGNED)}")
+def q_borderless(spark, sf_dir):
+    df = fixture(spark, "doc_id long, page_index int, ord int, x1 double, y1 double, content string", FX_ALIGNED).withColumns({"page_width": F.lit(600.0), "page_height": F.lit(1000.0)})
+    return tables.borderless(df).drop("page_index")
+
+
+FX_FOUND = [(1, 0, 0, "p"), (1, 0, 1, "p"), (2, 0, 0, "p")]
+FX_MORE = [(1, 0, 0, "s"), (1, 0, 2, "s"), (2, 0, 0, "s"), (3, 0, 0, "s")]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, i::BIGINT AS table_index, source FROM (SELECT * FROM {values('doc_id,p,i,source', FX_FOUND)} UNION ALL SELECT * FROM {values('doc_id,p,i,source', FX_MORE).replace('AS t(', 'AS s(')} WHERE i>=(SELECT count(*) FROM {values('doc_id,p,i,source', FX_FOUND).replace('AS t(', 'AS f(')} WHERE f.doc_id=s.doc_id AND f.p=s.p))")
+def q_table_merge(spark, sf_dir):
+    schema = "doc_id long, page_index long, table_index long, source string"
+    return tables.merged_sources(fixture(spark, schema, FX_FOUND), fixture(spark, schema, FX_MORE)).drop("page_index")
+
+
+FX_BROKEN = [
+    (1, 0, 0, "a", "text", "The buyer shall "), (1, 0, 1, "f", "footer", "1"), (1, 1, 0, "b", "text", " pay the"), (1, 2, 0, "c", "text", "price."), (1, 2, 1, "d", "text", "Then"), (1, 3, 0, "e", "text", "more."),
+    (2, 0, 0, "a", "text", "ends."), (2, 1, 0, "b", "text", "Next"), (2, 2, 0, "c", "title", "第二条 价款"), (3, 0, 0, "a", "text", "cut"), (3, 1, 0, "t", "table", "x | y"), (3, 2, 0, "b", "text", "off"), (4, 0, 0, "a", "text", None),
+]
+_JOINED = [(1, "a", "The buyer shallpay the"), (1, "f", "1"), (1, "c", "price."), (1, "d", "Thenmore."), (2, "a", "ends."), (2, "b", "Next"), (2, "c", "第二条 价款"), (3, "a", "cut"), (3, "t", "x | y"), (3, "b", "off"), (4, "a", None)]
+
+
+def _broken(spark):
+    return fixture(spark, "doc_id long, page_index int, ord int, block_id string, block_type string, content string", FX_BROKEN)
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, block_id, content FROM {values('doc_id,block_id,content', _JOINED)}")
+def q_cross_page(spark, sf_dir):
+    return layout.joined_pages(_broken(spark)).select("doc_id", "block_id", "content")
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, string_agg(trim(content), chr(10) ORDER BY p, o) AS text FROM {values('doc_id,p,o,block_id,block_type,content', FX_BROKEN)} WHERE block_type IN ('text','title','table') AND trim(content)<>'' GROUP BY doc_id")
+def q_block_text(spark, sf_dir):
+    return layout.document_text(_broken(spark))
+
+
+# model responses
+
+FX_RESPONSES = [
+    (1, '```json\n[{"name": "late", "risk_level": "high", "confidence": 0.9}, 5, {"name": "odd", "risk_level": "worst", "confidence": 7}]\n```'),
+    (2, 'Here: {"risks": [{"name": "venue", "category": "law", "clause_preview": "court of the seller"}]} done'),
+    (3, "no JSON"), (4, ""), (5, None), (6, '{"name": "one", "confidence": "0.2", "risk_level": "low"}'), (7, "{broken"),
+]
+_REPAIRED = [(1, "LLM_RISK_001", "late", "其他风险", "high", 0.9), (1, "LLM_RISK_003", "odd", "其他风险", "medium", 0.7), (2, "LLM_RISK_001", "venue", "law", "medium", 0.7), (6, "LLM_RISK_001", "one", "其他风险", "low", 0.7)]
+
+
+def _responses(spark):
+    return fixture(spark, "doc_id long, response string", FX_RESPONSES)
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, id, name, category, risk_level, confidence::DOUBLE AS confidence FROM {values('doc_id,id,name,category,risk_level,confidence', _REPAIRED)}")
+def q_model_findings(spark, sf_dir):
+    return responses.model_findings(_responses(spark)).select("doc_id", "id", "name", "category", "risk_level", "confidence")
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, n::BIGINT AS n_chars FROM {values('doc_id,n', [(1, len(FX_RESPONSES[0][1]) - 12), (2, len(FX_RESPONSES[1][1]) - len('Here: ' + ' done')), (3, None), (4, None), (5, None), (6, len(FX_RESPONSES[5][1])), (7, None)])}")
+def q_json_extract(spark, sf_dir):
+    return _responses(spark).select("doc_id", F.length(responses.extracted_json("response")).cast("long").alias("n_chars"))
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, rule_id, name FROM {values('doc_id,rule_id,name', [(1, 'LLM_ANALYSIS', 'late'), (1, 'LLM_ANALYSIS', 'odd'), (1, 'R1', 'late'), (2, 'LLM_ANALYSIS', 'venue'), (6, 'LLM_ANALYSIS', 'one')])}")
+def q_risk_merge(spark, sf_dir):
+    ruled = fixture(spark, "doc_id long, ord int, rule_id string, name string, category string, risk_level string, confidence double", [(1, 1, "R1", "late", "c", "low", 0.5), (1, 2, "R1", "late", "c", "low", 0.4)])
+    return responses.merged(ruled, responses.model_findings(_responses(spark))).select("doc_id", "rule_id", "name")
+
+
+FX_ARGUMENTS = [(1, '{"query":"x"}'), (2, "plain"), (3, "[1]"), (4, None)]
+
+
+@query(f"SELECT id::BIGINT AS id, arguments FROM {values('id,arguments', [(1, chr(123) + chr(34) + 'query' + chr(34) + ':' + chr(34) + 'x' + chr(34) + chr(125)), (2, '{\"raw\":\"plain\"}'), (3, '{\"raw\":\"[1]\"}'), (4, '{\"raw\":\"\"}')])}")
+def q_tool_arguments(spark, sf_dir):
+    return fixture(spark, "id long, arguments string", FX_ARGUMENTS).select("id", responses.tool_arguments(F.col("arguments")).alias("arguments"))
+
+
+# differences and traces
+
+
+def _turns(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lead("text").over(w).alias("following")).where("following is not null")
+
+
+@query()
+def q_indel_ratio(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(indel_ratio("text", "following"), 6).alias("ratio"))
+
+
+@query()
+def q_line_diff(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.md5(difference("text", "following")).alias("html_md5"))
+
+
+FX_REVISED = [
+    (1, 1, "late", "high", "pay within ninety days", "pay within thirty days"), (1, 2, "a < b", "critical", "same text here", "same text here"), (1, 3, "short", "high", "short", "long"), (2, 1, "none", "low", "preview of a clause", ""),
+]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, removed::BIGINT AS removed, added::BIGINT AS added, same::BIGINT AS same FROM {values('doc_id,removed,added,same', [(1, 1, 1, 1)])}")
+def q_redline(spark, sf_dir):
+    df = fixture(spark, "doc_id long, ord int, name string, risk_level string, clause_preview string, suggestion string", FX_REVISED)
+    html = redline.document_differences(redline.revisions(df))
+    return html.select("doc_id", *[occurrences(F.col("html"), F.lit(w)).alias(n) for w, n in (("diff-removed", "removed"), ("diff-added", "added"), ("无差异", "same"))])
+
+
+@query(f"""SELECT c.doc_id, c.clause_id, count(t.ord) AS n_risks, arg_max(r.risk_level, {_RANK.replace('risk_level', 'r.risk_level')}) AS top_level FROM ({_CLAUSES}) c
+LEFT JOIN ({ORACLE_SQL['q_risk_trace']}) t ON t.doc_id=c.doc_id AND t.linked_clause=c.clause_id LEFT JOIN ({RULES_SQL}) r ON r.doc_id=t.doc_id AND r.ord=t.ord GROUP BY 1, 2""")
+def q_clause_trace(spark, sf_dir):
+    found = _risks(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), "name", "risk_level")
+    linked = q_risk_trace(spark, sf_dir).join(found, ["doc_id", "ord"])
+    return redline.clause_trace(_clauses(spark, sf_dir), linked).select("doc_id", "clause_id", "n_risks", "top_level")
+
+
+_STEPS = [("mark", ["***", "&&&"]), ("number", ["1", "2"])]
+
+
+@query(f"SELECT conv_id, turn, CASE {' '.join('WHEN ' + ' OR '.join(f'contains(lower(text),{lit(w)})' for w in ws) + f' THEN {lit(n)}' for n, ws in _STEPS)} ELSE 'other' END AS kind FROM conversations")
+def q_step_log(spark, sf_dir):
+    steps = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"), F.col("text").alias("content"))
+    return redline.step_log(steps, _STEPS).select(F.col("run_id").alias("conv_id"), F.col("step").alias("turn"), "kind")
+
+
+@query(f"SELECT t.doc_id::BIGINT AS doc_id, t.ord::BIGINT AS ord, t.parent::BIGINT AS parent, (SELECT count(*) FROM {values('doc_id,ord,level,number,parent', _TREE).replace('AS t(', 'AS c(')} WHERE c.doc_id=t.doc_id AND c.parent=t.ord) AS n_children FROM {values('doc_id,ord,level,number,parent', _TREE)}")
+def q_clause_flat(spark, sf_dir):
+    tree = structure.clause_tree(fixture(spark, "doc_id long, ord long, title string", FX_TITLES)).withColumn("content", F.col("title"))
+    return redline.flattened(tree).select("doc_id", "ord", "parent", "n_children")
+
+
+# more searches
+
+_LOCAL = f"SELECT q.id, k.ord, q.query, k.txt, len(list_intersect({_grams_sql('q.query')}, {_grams_sql('k.txt')}))/len({_grams_sql('q.query')})::DOUBLE AS c FROM {values('id,query', ASKED).replace(' AS t(', ' AS q(')}, (SELECT ord, lower(concat_ws(' ', law, title, content)) AS txt FROM {values(KB_NAMES, KB)}) k"
+
+
+@query(f"""SELECT id::BIGINT AS query_id, ord::BIGINT AS ord, round(s,3) AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s,3) DESC, ord) AS rank FROM (
+SELECT id, ord, CASE WHEN contains(txt, lower(query)) THEN 0.9 WHEN c>=0.5 THEN 0.4+0.4*c WHEN c>0 THEN 0.5*c END::DOUBLE AS s FROM ({_LOCAL.replace('q.query)', 'lower(q.query))')})) WHERE s IS NOT NULL) WHERE rank<=5""")
+def q_local_search(spark, sf_dir):
+    asked, _, kb = _asked(spark)
+    return retrieval.local_search(asked, kb)
+
+
+FX_CORRECTED = [(1, "the buyer pays late fees each month", "late fee"), (2, "the buyer pays late fees each week", "late fee"), (3, "venue of the court", "venue"), (4, "", "late fee"), (5, None, None)]
+FX_CLAUSES_ASKED = [(1, "the buyer pays late fees each month", "venue"), (2, "zzzz", "late"), (3, "qqqq", "")]
+
+
+@query(f"SELECT query_id::BIGINT AS query_id, ord::BIGINT AS ord, why, rank::BIGINT AS rank FROM {values('query_id,ord,why,rank', [(1, 1, 'text', 1), (1, 2, 'text', 2), (1, 3, 'text', 3), (2, 4, 'risk', 1), (2, 2, 'risk', 2), (2, 1, 'risk', 3)])}")
+def q_corrections(spark, sf_dir):
+    asked = fixture(spark, "query_id long, clause string, risk_name string", FX_CLAUSES_ASKED)
+    return retrieval.corrections(asked, fixture(spark, "ord long, clause_text string, risk_name string", FX_CORRECTED)).drop("score")
+
+
+FX_CITED = [(1, "《民法典》第五百条"), (2, "(2020)京01号"), (3, "nothing"), (4, "《旧法》第一条")]
+FX_LAWS = [("民法典", "第五百条", "民法典第五百条", "active", "2024-01-01"), ("旧法", "第九条", "旧法第九条", "repealed", "2026-08-01"), ("新法", "第二条", "新法第二条", "active", "2026-08-01")]
+FX_CASES = [("(2020)京01号", "甲案", "active", "2020-01-01"), ("(2021)沪02号", "乙案", "active", None)]
+_AGE = "date_diff('day', last_verified::DATE, DATE '2026-09-01')"
+
+
+@query(f"""SELECT id::BIGINT AS cited_id, item_type, name, status, days::BIGINT AS days, severity FROM (
+SELECT c.id, 'provision' AS item_type, p.name, p.status, {_AGE} AS days, CASE WHEN p.status<>'active' THEN 'critical' WHEN {_AGE}>180 THEN 'warning' END AS severity FROM {values('id,item', FX_CITED).replace('AS t(', 'AS c(')} JOIN {values('law,article,name,status,last_verified', FX_LAWS).replace('AS t(', 'AS p(')} ON contains(c.item,p.law) OR contains(c.item,p.article)
+UNION ALL SELECT c.id, 'case', k.name, k.status, {_AGE}, CASE WHEN {_AGE}>180 THEN 'warning' END FROM {values('id,item', FX_CITED).replace('AS t(', 'AS c(')} JOIN {values('case_number,name,status,last_verified', FX_CASES).replace('AS t(', 'AS k(')} ON contains(c.item,k.case_number)) WHERE severity IS NOT NULL""")
+def q_freshness_cited(spark, sf_dir):
+    laws = fixture(spark, "law string, article string, name string, status string, last_verified string", FX_LAWS)
+    cases = fixture(spark, "case_number string, name string, status string, last_verified string", FX_CASES)
+    return retrieval.cited_freshness(fixture(spark, "cited_id long, item string", FX_CITED), laws, cases, "2026-09-01")
+
+
+@query("SELECT user_id, updated, row_number() OVER (ORDER BY updated DESC, user_id) AS rank FROM (SELECT user_id, max(ts) AS updated FROM events GROUP BY 1) WHERE updated >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7200 SECOND ORDER BY updated DESC, user_id LIMIT 50")
+def q_live_sessions(spark, sf_dir):
+    return dialog.live_sessions(table(spark, sf_dir, "events"), "2024-01-20 00:00:00", 7200, 50)
+
+
+# Word files
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')))::BIGINT AS n_lines FROM documents")
+def q_word_round_trip(spark, sf_dir):
+    written = word.word_files(table(spark, sf_dir, "documents"))
+    text = F.pandas_udf(lambda s: s.map(files.docx_text), "string")
+    return written.select("doc_id", text("content").alias("t")).select("doc_id", F.size(F.filter(F.split("t", "\n"), lambda x: x != "")).cast("long").alias("n_lines"))

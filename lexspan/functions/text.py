@@ -71,3 +71,33 @@ def escape_html(c: Column, quotes: bool = True) -> Column:
 
 def truncated(c: Column, n: int, mark: str = "...") -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(mark))).otherwise(c)
+
+
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<s, e, v>> of all matches in code points, end exclusive; empty without one.
+
+    The pieces between matches alternate with them, so lengths give places.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("v")))
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+
+    def step(acc, x):
+        s = acc["at"] + x["gap"]
+        e = s + F.length(x["v"])
+        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))).alias("out"))
+
+    every = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(F.size(found) > 0, every).otherwise(none)
+
+
+def occurrences(text: Column, word: Column) -> Column:
+    """How often the word occurs without overlap; 0 for an empty word."""
+    left = F.length(text) - F.length(F.replace(text, word, F.lit("")))
+    return F.when(F.length(word) > 0, (left / F.length(word)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Share of the distinct items of a that b has; 0 where either is empty."""
+    n = F.size(F.array_distinct(a))
+    return F.when((n > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / n).otherwise(F.lit(0.0))

@@ -37,6 +37,15 @@ def sessions(events: DataFrame, gap_seconds: int, key: str = "user_id", ts: str
     return df.groupBy(key, "session").agg(F.count("*").alias("n_events"), F.min(ts).alias("started"), F.max(ts).alias("ended"))
 
 
+def live_sessions(events: DataFrame, as_of: str, ttl_seconds: int, most: int, key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """(key, updated, rank): keys last updated within the time to live, the newest ``most`` of them."""
+    last = events.groupBy(key).agg(F.max(ts).alias("updated"))
+    fresh = last.where(F.col("updated") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    top = fresh.orderBy(F.desc("updated"), key).limit(most)
+    # at most ``most`` rows are left, so one window over them is small
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("updated"), key)).cast("long"))
+
+
 def newest(rows: DataFrame, n: int, by: str, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(by), F.desc(tie)).limit(n)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan.functions.text import occurrences, places
+
 DIGITS = {"零": 0, "壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9}
 UNITS = {"拾": 10, "佰": 100, "仟": 1000}
 DATE_FORMS = [(r"([0-9]{4})\s*年\s*([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日", 0), (r"([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", 2), (r"([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", 3), (r"([0-9]{4})\.([0-9]{1,2})\.([0-9]{1,2})", 4)]
@@ -63,10 +65,14 @@ def dates(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.where(good).select("doc_id", "raw", F.format_string("%04d-%02d-%02d", y, m, d).alias("normalized"))
 
 
+def _terms(text: Column) -> Column:
+    p = r"(?:以下简称|下称|hereinafter)\s*[“\"'「]([^”\"'」]{1,20})[”\"'」]"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1)))
+
+
 def definitions(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, term): terms that a text says it will use, each once."""
-    p = r"(?:以下简称|下称|hereinafter)\s*[“\"'「]([^”\"'」]{1,20})[”\"'」]"
-    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)))).alias("term"))
+    return docs.select("doc_id", F.explode(_terms(F.col(text))).alias("term"))
 
 
 def revisions(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -85,3 +91,108 @@ def signature_lines(docs: DataFrame, roles: list[str], words: list[str], text: s
         signed = signed | F.contains(F.col("near"), F.lit(w))
     rows = lines.withColumn("near", near).select("doc_id", "line", signed.alias("signed"), F.explode(F.filter(F.array(*map(F.lit, roles)), lambda r: F.contains("raw", r))).alias("role"))
     return rows.groupBy("doc_id", "role").agg(F.min_by("signed", "line").alias("signed"), F.min("line").cast("long").alias("line"))
+
+
+#: fixed values
+DATE_ROLES = [
+    ("签署日期", ["签署日期", "签字日期", "签订日期", "签约日期", "签订之日"]),
+    ("生效日期", ["生效日期", "生效之日", "生效日", "自.*起生效"]),
+    ("到期日期", ["到期日期", "到期日", "届满日", "终止日期", "届满之日"]),
+    ("交货日期", ["交货日期", "交付日期", "交货日", "交付日", "交货期限"]),
+    ("付款日期", ["付款日期", "付款日", "支付日期", "支付日", "付款期限"]),
+    ("验收日期", ["验收日期", "验收日", "验收期限"]),
+    ("开工日期", ["开工日期", "开工日", "开工之日"]),
+    ("竣工日期", ["竣工日期", "竣工日", "竣工之日"]),
+]
+CHINESE_DATE = "([〇零一二三四五六七八九]{4})年([一二三四五六七八九十]{1,3})月([一二三四五六七八九十]{1,4})日"
+RELATIVE_DATE = r"(自.{2,10}(?:之日起|起))\s*([0-9]+)\s*(日内|日|个月|天|年)"
+
+
+def small_number(c: Column, strict: bool = True) -> Column:
+    """A number below 100 in Chinese numerals. Not strict: digits are strung together, so that 十五 is 105."""
+    digits = lambda x: F.translate(x, "〇零一二三四五六七八九", "00123456789")
+    if not strict:
+        known = F.when(c == "十", 10).when(c == "十一", 11).when(c == "十二", 12)
+        strung = F.aggregate(
+            F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0), lambda a, x: a * 10 + F.when(x == "十", 10).otherwise(F.coalesce(digits(x).try_cast("int"), F.lit(0)))
+        )
+        return F.coalesce(known, strung)
+    before, after = F.substring_index(c, "十", 1), F.substring_index(c, "十", -1)
+    value = lambda x, none: F.when(x == "", F.lit(none)).otherwise(digits(x).try_cast("int"))
+    return F.when(F.contains(c, F.lit("十")), 10 * value(before, 1) + value(after, 0)).otherwise(digits(c).try_cast("int"))
+
+
+def date_role(context: Column) -> Column:
+    """The first role with a keyword, or its pattern, in the context."""
+    out = F.lit(None).cast("string")
+    for role, words in reversed(DATE_ROLES):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | (context.rlike(w) if ".*" in w else F.contains(context, F.lit(w)))
+        out = F.when(hit, F.lit(role)).otherwise(out)
+    return out
+
+
+def date_mentions(docs: DataFrame, text: str = "text", strict: bool = True, keys: tuple[str, ...] = ("doc_id",), around: int = 100) -> DataFrame:
+    """(keys, raw, start_pos, normalized, role): dates in digits or Chinese numerals and relative ones, the first of each raw text.
+
+    The role comes from the text around the start. With the clause id among the
+    keys the same gives dates per clause.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    forms = [(DATE_FORMS[0][0], 0), (CHINESE_DATE, 1), *DATE_FORMS[1:], (f"(?d){RELATIVE_DATE}", 9)]
+    of = lambda p, k: F.transform(places(body, p), lambda x: F.struct(x["v"].alias("raw"), F.lit(k).alias("form"), x["s"].alias("at")))
+    rows = docs.select(*keys, body.alias("__body"), F.concat(*[of(p, k) for p, k in forms]).alias("found"))
+    raws = F.transform("found", lambda x: x["raw"])
+    rows = rows.select(*keys, "__body", F.explode(F.filter("found", lambda x, i: F.array_position(raws, x["raw"]) == i + 1)).alias("x"))
+    near = F.substring(F.col("__body"), F.greatest(F.col("x.at") - around, F.lit(0)) + 1, F.col("x.at") + around - F.greatest(F.col("x.at") - around, F.lit(0)))
+    rows = rows.select(*keys, "x.*", near.alias("near"))
+    number = F.regexp_extract_all("raw", F.lit("([0-9]+)"), F.lit(1))
+    chinese = [F.regexp_extract("raw", CHINESE_DATE, i) for i in (1, 2, 3)]
+    year = F.translate(chinese[0], "〇零一二三四五六七八九", "00123456789").try_cast("int")
+    parts = [F.when(F.col("form") == 1, c).otherwise(F.get(number, F.lit(i)).try_cast("int")) for i, c in enumerate((year, small_number(chinese[1], strict), small_number(chinese[2], strict)))]
+    y, m, d = parts
+    good = y.between(1900, 2100) & m.between(1, 12) & d.between(1, 31)
+    fixed = F.when(good, F.format_string("%04d-%02d-%02d", y, m, d))
+    relative = F.concat(F.lit("relative:"), F.regexp_extract("raw", RELATIVE_DATE, 2), F.regexp_extract("raw", RELATIVE_DATE, 3))
+    rows = rows.withColumn("normalized", F.when(F.col("form") == 9, relative).otherwise(fixed)).where("normalized is not null")
+    return rows.select(*keys, "raw", F.col("at").cast("long").alias("start_pos"), "normalized", date_role(F.col("near")).alias("role"))
+
+
+CAPITALS = "零壹贰叁肆伍陆柒捌玖拾佰仟万亿"
+PAIR = rf"([0-9][0-9,，]*\.?[0-9]*[万亿]?)[元圆]?\s*[（(]\s*大写[：:]?\s*(?:人民币)?([{CAPITALS}]+)[元圆]"
+
+
+def amount_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, lower, upper, consistent): amounts in digits with the same in capitals beside them; consistent is null where one has no value."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(PAIR), F.lit(i)).alias(n) for i, n in ((1, "lower"), (2, "upper"))])
+    rows = docs.select("doc_id", F.explode(F.array_distinct(found)).alias("x")).select("doc_id", "x.lower", "x.upper")
+    number = F.regexp_replace(F.regexp_extract("lower", r"([0-9][0-9,，]*\.?[0-9]*)", 1), "[,，]", "").try_cast("double")
+    low = number * F.when(F.contains("lower", F.lit("亿")), 1e8).when(F.contains("lower", F.lit("万")), 1e4).otherwise(1.0)
+    high = capital_number(F.col("upper"))
+    return rows.withColumn("consistent", F.when((low > 0) & (high > 0), F.abs(low - high) < 0.01))
+
+
+def richest_signatures(found: DataFrame) -> DataFrame:
+    """found (doc_id, ord, role, has_signature, has_seal, has_riding_seal): of each role the record with the most marks, the first on ties."""
+    marks = sum((F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("has_signature", "has_seal", "has_riding_seal")), F.lit(0))
+    best = F.max_by(F.struct("ord", "has_signature", "has_seal", "has_riding_seal"), F.struct(marks, -F.col("ord"))).alias("x")
+    return found.groupBy("doc_id", "role").agg(best).select("doc_id", "role", "x.*")
+
+
+def definition_references(docs: DataFrame, clauses: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, term, n_mentions, clause_ids): terms of two or more characters that a text names more than once, and the clauses that name them."""
+    terms = docs.select("doc_id", text, F.explode(_terms(F.col(text))).alias("term")).where(F.length("term") >= 2)
+    terms = terms.select("doc_id", "term", occurrences(F.col(text), F.col("term")).alias("n_mentions")).where("n_mentions > 1")
+    c = clauses.select("doc_id", "clause_id", F.concat_ws("\n", "title", "content").alias("__body"))
+    rows = terms.join(c, "doc_id", "left").withColumn("clause_id", F.when(F.contains("__body", F.col("term")), F.col("clause_id")))
+    return rows.groupBy("doc_id", "term").agg(F.max("n_mentions").alias("n_mentions"), F.array_sort(F.collect_set("clause_id")).alias("clause_ids"))
+
+
+def terms_in(docs: DataFrame, terms: dict[str, list[str]], text: str = "text") -> DataFrame:
+    """(doc_id, term): terms of which the text has any variant; the terms are configuration, compiled into one projection."""
+    body = F.lower(F.coalesce(F.col(text), F.lit("")))
+    hit = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.col("__b"), w))
+    found = F.array_compact(F.array(*[F.when(hit(words), F.lit(t)) for t, words in terms.items()]))
+    return docs.select("doc_id", body.alias("__b")).select("doc_id", F.explode(found).alias("term"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import grams, jaccard
+from lexspan.functions.text import containment, grams, jaccard, similarity
 
 RRF = 60
 
@@ -99,3 +99,52 @@ def citation(provisions: DataFrame, law: str, article: str) -> DataFrame:
 def absent(new: DataFrame, known: DataFrame, key: str = "item_id") -> DataFrame:
     """Rows to load: those whose key the index does not have."""
     return new.join(known.select(key), key, "left_anti")
+
+
+def local_search(queries: DataFrame, provisions: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, ord, score, rank): 0.9 for the whole query in an entry's text, else by the share of its bigrams there.
+
+    queries (query_id, query) are a stated, small set. No bigram in common is no hit.
+    """
+    q = F.lower("query")
+    text = F.lower(F.concat_ws(" ", "law", "title", "content"))
+    share = containment(grams(q, 2), grams(text, 2))
+    score = F.when(F.contains(text, q), 0.9).when(share >= 0.5, 0.4 + 0.4 * share).when(share > 0, 0.5 * share)
+    scored = provisions.crossJoin(F.broadcast(queries)).select("query_id", "ord", F.round(score, 3).alias("score"))
+    return ranked(scored.where("score is not null"), ["query_id"], [F.desc("score"), "ord"], k)
+
+
+def corrections(queries: DataFrame, records: DataFrame, k: int = 3, least: float = 0.3) -> DataFrame:
+    """(query_id, ord, why, score, rank): corrections for clauses (query_id, clause, risk_name), a stated, small set.
+
+    Those of similar clause texts, best first; where there is none, the latest
+    of the same risk. Both are scored in one pass over records (ord,
+    clause_text, risk_name).
+    """
+    alike = similarity(F.coalesce("clause", F.lit("")), F.coalesce("clause_text", F.lit("")))
+    q = F.broadcast(queries.withColumnRenamed("risk_name", "asked"))
+    pairs = records.crossJoin(q).select("query_id", "ord", F.round(alike, 6).alias("score"), ((F.length("asked") > 0) & F.contains("risk_name", F.col("asked"))).alias("same"))
+    near = ranked(pairs.where(F.col("score") >= least), ["query_id"], [F.desc("score"), "ord"], k).withColumn("why", F.lit("text"))
+    late = ranked(pairs.where("same").join(near.select("query_id").distinct(), "query_id", "left_anti"), ["query_id"], [F.desc("ord")], k).withColumn("why", F.lit("risk"))
+    columns = ["query_id", "ord", "why", "score", "rank"]
+    return near.select(*columns).unionByName(late.select(*columns))
+
+
+def cited_freshness(cited: DataFrame, provisions: DataFrame, cases: DataFrame, as_of: str, days: int = 180) -> DataFrame:
+    """(cited_id, item_type, name, status, days, severity) of cited items that are out of date or long unverified.
+
+    cited (cited_id, item) is text; a provision is meant where its law or its
+    article occurs in it, a case where its number does. The reference tables are
+    a fixed, small knowledge base and are broadcast.
+    """
+    age = F.datediff(F.lit(as_of).cast("date"), F.try_to_date("last_verified", "yyyy-MM-dd"))
+    item = F.col("item")
+    in_item = lambda c: (F.length(c) > 0) & F.contains(item, F.col(c))
+    p = provisions.select("law", "article", "name", "status", age.alias("days"))
+    p = cited.join(F.broadcast(p), in_item("law") | in_item("article"))
+    stale = F.when(F.col("status") != "active", "critical").when(F.col("days") > days, "warning")
+    c = cited.join(F.broadcast(cases.select("case_number", "name", "status", age.alias("days"))), in_item("case_number"))
+    columns = ["cited_id", "item_type", "name", "status", "days", "severity"]
+    p = p.withColumns({"item_type": F.lit("provision"), "severity": stale})
+    c = c.withColumns({"item_type": F.lit("case"), "severity": F.when(F.col("days") > days, "warning")})
+    return p.select(*columns).unionByName(c.select(*columns)).where("severity is not null")

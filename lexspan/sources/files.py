@@ -82,7 +82,10 @@ def pages_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
 
 def documents(spark: SparkSession, path: str, max_mb: int = 10) -> DataFrame:
-    """(filename, file_type, file_size, text, error) of txt, html and docx files; a bad file has an error, not an exception."""
+    """(filename, file_type, file_size, text, error) of txt, html and docx files; a bad file has an error, not an exception.
+
+    Spark lists no files without a byte, so those give no row.
+    """
 
     def read(kind: str, data: bytes) -> str:
         if kind == "docx":
