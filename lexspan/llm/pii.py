@@ -26,10 +26,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-#: what may be an identifier: a token with an @ or at least five digits, without punctuation at its ends
-CANDIDATE = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z._%+/@:-]*+[0-9]){5}|[A-Za-z0-9._%+/:-]*+@)[A-Za-z0-9](?:[A-Za-z0-9._%+/@:-]*[A-Za-z0-9])?"
+#: what may be an identifier: a token with an @ or at least five digits, without punctuation at its ends. The look-ahead
+#: goes over at most 64 characters to the @ or to the next digit, or long runs would be read again from each of their places.
+CANDIDATE = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z._%+/@:-]{0,64}+[0-9]){5}|[A-Za-z0-9._%+/:-]{0,64}+@)[A-Za-z0-9](?:[A-Za-z0-9._%+/@:-]*[A-Za-z0-9])?"
 
 ROUNDS = 3
+BLOCK = 256  # matches of a text whose places are worked out together
 CONFIDENT = 0.6  # of a pattern in a kind
 SEEDS = 3  # distinct seed instances that a pattern needs
 ACCEPT = 0.8  # score of an instance
@@ -40,19 +42,46 @@ def _matches(body: Column, pattern: str, hint: Column) -> Column:
     return F.when(hint, F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, also where lambdas read it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """items cut into arrays of BLOCK."""
+    return _let(items, lambda xs: F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / BLOCK).cast("int") - 1), lambda i: F.slice(xs, i * BLOCK + 1, F.lit(BLOCK))))
+
+
 def _spans(body: Column, pattern: str, found: Column) -> Column:
-    """array<struct<s, e, v>> of the matches found, in code points, end exclusive; null without one.
+    """array<struct<s, e, v, left, right>> of the matches found, in code points, end exclusive, with the text on either side; null without one.
 
-    The pieces between matches alternate with them, so lengths give places.
-    found is a column of its own, so that no text is searched twice.
+    The pieces between matches alternate with them, so lengths give places and
+    neighbours give contexts. found is a column of its own, so that no text is
+    searched twice; an appended array is copied, so places are worked out in blocks.
     """
-    pairs = F.zip_with(F.slice(F.split(body, pattern, -1), 1, F.size(found)), found, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["v"])).alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + F.length(x["v"])).alias("e"), x["v"].alias("v"))).alias("out"),
-    )
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+
+    def items(p):
+        piece, match = (lambda i, k=k: F.coalesce(F.get(p[k], i), F.lit("")) for k in "gv")
+        before = lambda i: F.right(piece(i), F.lit(80))
+        after = lambda i: F.left(piece(i), F.lit(40))
+        return F.transform(F.sequence(F.lit(0), F.size(p["v"]) - 1), lambda i: F.struct(
+            F.length(piece(i)).alias("gap"), match(i).alias("v"),
+            F.right(F.concat(before(i - 2), match(i - 2), before(i - 1), match(i - 1), before(i)), F.lit(80)).alias("left"),
+            F.left(F.concat(after(i + 1), match(i + 1), after(i + 2)), F.lit(40)).alias("right"),
+        ))
+
+    def one(acc, x):
+        s = acc["at"] + x["gap"]
+        e = s + F.length(x["v"])
+        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), *[x[k].alias(k) for k in ("v", "left", "right")])).alias("out"))
+
+    def block(acc, xs):
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), F.array().cast(_NONE).alias("out")), one)
+        return _let(inner, lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    pieces = F.struct(F.split(body, pattern, -1).alias("g"), found.alias("v"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_NONE}>").alias("out"))
+    return F.when(F.size(found) > 0, F.aggregate(_blocks(_let(pieces, items)), start, block, lambda acc: F.flatten(acc["out"])))
 
 
 def _valid(kind: str, v: Column) -> Column:
@@ -67,7 +96,7 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-_NONE = "array<struct<s:int,e:int,v:string>>"
+_NONE = "array<struct<s:int,e:int,v:string,left:string,right:string>>"
 
 
 def _hint(body: Column, kind: str) -> Column:
@@ -90,19 +119,19 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
 
 
-def _context(body: Column, spans: Column, kind: str | None) -> Column:
+def _context(spans: Column, kind: str | None) -> Column:
     """Occurrences: value, kind, place and the text on either side."""
-    return F.transform(
-        spans,
-        lambda x: F.struct(
-            F.lower(x["v"]).alias("v"), F.lit(kind).cast("string").alias("kind"), x["s"].alias("s"), x["e"].alias("e"),
-            F.substring(body, F.greatest(x["s"] - 79, F.lit(1)), F.least(x["s"], F.lit(80))).alias("left"), F.substring(body, x["e"] + 1, F.lit(40)).alias("right"),
-        ),
-    )
+    fields = lambda x: [x[k].alias(k) for k in ("s", "e", "left", "right")]
+    return F.transform(spans, lambda x: F.struct(F.lower(x["v"]).alias("v"), F.lit(kind).cast("string").alias("kind"), *fields(x)))
 
 
-def _overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others; blocks of others that end before or begin after are passed over."""
+    hull = lambda xs: F.struct(F.array_min(F.transform(xs, lambda y: y["s"])).alias("s"), F.array_max(F.transform(xs, lambda y: y["e"])).alias("e"), xs.alias("in"))
+    meets = lambda x, y: (y["s"] < x["e"]) & (x["s"] < y["e"])
+    hit = lambda x, hulls: F.exists(hulls, lambda h: meets(x, h) & F.exists(h["in"], lambda y: meets(x, y)))
+    left = lambda hulls: F.filter(spans, lambda x: ~hit(x, hulls))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), _let(F.transform(_blocks(others), hull), left)).otherwise(spans)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str = "pii") -> DataFrame:
@@ -116,10 +145,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: s
     df = df.select("doc_id", "body", *[_spans(b, p, F.col(f"f_{k}")).alias(f"s_{k}") for k, p in (PATTERNS | {"other": CANDIDATE}).items()])
     none = F.array().cast(_NONE)
     valid = lambda k: F.filter(F.col(f"s_{k}"), lambda x: _valid(k, x["v"]))
-    df = df.select("doc_id", "body", *[F.coalesce(valid(k), none).alias(k) for k in KINDS], F.coalesce("s_other", none).alias("s_other"))
+    df = df.select("doc_id", *[F.coalesce(valid(k), none).alias(k) for k in KINDS], F.coalesce("s_other", none).alias("s_other"))
     base = F.concat(*[F.col(k) for k in KINDS])
-    df = df.withColumn("other", F.filter("s_other", lambda x: ~_overlaps(x, base))).drop("s_other")
-    seen = F.concat(*[_context(b, F.col(k), k) for k in KINDS], _context(b, F.col("other"), None))
+    df = df.withColumn("other", _apart(F.col("s_other"), base)).drop("s_other")
+    seen = F.concat(*[_context(F.col(k), k) for k in KINDS], _context(F.col("other"), None))
     spans = F.concat(*[_labelled(F.col(k), k) for k in KINDS])
     df = df.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], spans.alias("spans"), seen.alias("seen")
