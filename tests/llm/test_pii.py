@@ -34,6 +34,7 @@ def test_base_against_brute_force(spark, docs, real):
     hard = [
         "a@b.c_d@e.f.g@h.i x@y x@y.z. 😀 é@b.c +1 (017) 555-7713, +1(2)3", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.0003.4 1.2.3", "4111 1111-1111 1111 41111111111111111", "9" * 5000, "a" * 60_000 + "@" + "b.c",
         "+1 " + "2 " * 3000, "4111111111111111@x.com 1.2.3.4@5.6", "+4111111111111111", "é4111111111111111é\n192.168.0.1", "9 " * 4000,
+        "1.2.3.4 a@b.c 😀 192.168.10.20 x99999 " * 700, "1.1." * 3000, "a." * 2000, "a1b@" * 1000,
     ]
     hard += ["".join(rng.choice("1234567890+-. @ab()é😀") for _ in range(200)) for _ in range(300)]
     more = spark.createDataFrame([(i, t) for i, t in enumerate(hard)], "doc_id long, text string")
