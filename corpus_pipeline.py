@@ -27,7 +27,7 @@ def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the row with the smallest doc_id; shingles of five words."""
+    """Of texts linked by 0.8 or more of their five-word shingles the row with the smallest doc_id."""
     scratch.forget(spark, "pipeline-")
     return simhash.one_of_each(docs, words=5, tag="pipeline-near")
 

@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.llm import near
 from lexspan.llm.components import components
-from lexspan.llm.scratch import partitions, written
+from lexspan.llm.scratch import fresh, partitions, written
 
 BITS = 4  # differing bits of a link
 PART_BITS = (11, 11, 11, 11, 10, 10)
@@ -219,9 +220,14 @@ def hex_fingerprint(fp="fp"):
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, tag: str = "simhash") -> DataFrame:
     """docs without the near-duplicates: of each component the row with the smallest id stays.
 
-    Rows that share the id of the row that stays are that same document and
-    stay with it; a component of null ids alone stays whole.
+    Texts link where they share at least ``near.SIMILAR`` of their distinct
+    shingles, whatever their fingerprints. Rows that share the id of the row
+    that stays are that same document and stay with it; a component of null ids
+    alone stays whole.
     """
-    groups = near_groups(docs, id_col, text_col, words, tag)
+    cls, bands = fresh(docs.columns, "cls", "bands")
+    rows = written(near.classed(docs, text_col, words, cls, bands), f"{tag}-rows")
+    own = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(cls).alias("cls"), F.col(bands).alias("bands"), F.col(text_col).alias("text"))
+    groups = own.select("doc_id", "cls").join(near.class_groups(own, words, tag), F.col("cls") == F.col("of"))
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return rows.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
