@@ -26,8 +26,10 @@ SHARE = 0.75  # of a group's rows that a concentration step keeps
 STEPS = 4
 SMALL = 10_000  # groups whose estimates are broadcast; more are joined by shuffle
 LEAST_ROWS = 60  # a smaller group is pooled with its language, then with all
-#: statistic, and the standard deviation that is added to its own (squared): differences below it are no reason to reject
-VECTOR = {"v_words": 0.8, "v_length": 0.15, "v_symbols": 0.8, "v_lines": 0.8, "v_repeats": 0.8, "v_upper": 0.8}
+#: statistic, and the standard deviation that is added to its own (squared): differences below it are no reason to reject.
+#: A share reaches log1p(100) = 4.6; from its usual value that is beyond CUTOFF for symbols, lines and upper case alone.
+#: Repeated words reject alone by the base rules.
+VECTOR = {"v_words": 0.8, "v_length": 0.15, "v_symbols": 0.4, "v_lines": 0.7, "v_repeats": 0.8, "v_upper": 0.5}
 MEDIAN_CHI2 = 5.348  # of six degrees of freedom
 CUTOFF = 38.3  # chi-squared of six degrees of freedom at 0.999999
 

@@ -86,6 +86,28 @@ def test_labels(spark):
     assert gone[1] <= 0.003 * len(rows) and gone[0] >= 100
 
 
+def test_labels_bad_caught_and_clean_kept(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = quality.judge(df).join(labels, "doc_id").where("not base_failed").select("quality", "kept").collect()
+    n, gone = Counter(r.quality for r in rows), Counter(r.quality for r in rows if not r.kept)
+    assert gone[0] >= 0.95 * n[0] and gone[1] <= 0.002 * n[1]
+
+
+def test_one_signal_rejects_alone(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda: [str(w) for w in rng.choice(words, 80)]
+    rows = [(i, " ".join(w.capitalize() if k % 40 == 0 else w for k, w in enumerate(text()))) for i in range(400)]
+    rows += [(1000, " ".join(f"{w} |" for w in text())), (1001, " ".join(text()).replace("w", "W").translate(str.maketrans("0123456789", "ABCDEFGHIJ")))]
+    rows += [(1002, "\n".join(str(w) for w in rng.choice(words[10:16], 200)))]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    out = quality.judge(df).collect()
+    assert not any(r.base_failed for r in out)
+    gone = {r.doc_id for r in out if not r.kept}
+    assert {1000, 1001, 1002} <= gone and len(gone) <= 5
+
+
 def test_main_path_is_native(real):
     plan = quality.clean(real)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
