@@ -39,9 +39,9 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece with its sequence and offset."""
+    """A row per piece with its sequence and offset; sequences follow the order of the mixed rows."""
     scratch.forget(spark, "pipeline-")
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), tag="pipeline-pack")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), tag="pipeline-pack", ordered=True)
 
 
 STAGES = [

@@ -12,6 +12,7 @@ their place by their number among the pieces of their length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -19,7 +20,8 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm.ranks import numbered
@@ -97,25 +99,25 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of a frame (doc_id, text); only longer documents are cut."""
+    """(doc_id, piece, start, length, ids_crc32, at) of a frame (doc_id, text, at); only longer documents are cut."""
 
     def run(batches):
         encode = encoder(tokenizer).ids
         end, width = np.array([END], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            rows = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows = [[], [], [], [], [], []]
+            for doc_id, text, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ids = encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
-                    for column, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                    for column, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), place)):
                         column.append(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "at"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, at long")
 
 
 def patterns(cells: int, most: int = 4) -> list[tuple[int, ...]]:
@@ -245,6 +247,9 @@ class Places:
                 offset += n
             base += times
         self.sequences = base
+        self.times = np.array([t for _, t in shapes], np.int64)
+        self.bases = np.cumsum(self.times) - self.times
+        self.spread: dict[int, np.ndarray] = {}
         self.starts = {n: np.array(x, np.int64) for n, x in starts.items()}
         self.slots = {n: np.array(x, np.int64) for n, x in slots.items()}
 
@@ -258,8 +263,51 @@ class Places:
             out[at, 0] += rank[at] - self.starts[n][i]
         return out
 
+    def _along(self, n: int, pieces: int) -> np.ndarray:
+        """The places of all pieces of a length, in the order of when their sequences come.
+
+        A shape's sequences are spread evenly over the whole, each shape from
+        a start of its own, so that every stretch has its part of each shape.
+        """
+        if n not in self.spread:
+            if len(self.spread) >= 64:
+                self.spread.clear()
+            k = np.arange(pieces)
+            all_ = self.of(np.full(pieces, n), k)
+            shape = np.searchsorted(self.bases, all_[:, 0], "right") - 1
+            when = (all_[:, 0] - self.bases[shape] + shape * 0.6180339887498949 % 1) / self.times[shape]
+            self.spread[n] = all_[np.lexsort((k, when))]
+        return self.spread[n]
+
+    def along(self, length: np.ndarray, rank: np.ndarray, histogram: dict[int, int]) -> np.ndarray:
+        """(sequence, offset, place) rows, where rank follows an order that the sequences are to follow."""
+        out = np.empty((len(length), 3), np.int64)
+        for n in np.unique(length).tolist():
+            at = length == n
+            out[at] = self._along(n, histogram[n])[rank[at]]
+        return out
+
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tag: str = "pack") -> DataFrame:
+def in_order(docs: DataFrame, tag: str) -> tuple[DataFrame, Column, int]:
+    """(docs, number of each row from 0, rows), in the order in which the rows were written.
+
+    Spark's writers number their files by partition; a row's number is that of
+    its file's first row and its place in the file. A frame that is not read
+    from files is written first. The files' counts meet on the driver.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        docs = written(docs, f"{tag}-order")
+    files = dict(map(tuple, docs.select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count("*")).collect()))
+    firsts, total = {}, 0
+    for name in sorted(files):
+        firsts[name], total = total, total + files[name]
+    told = F.from_json(F.lit(json.dumps(firsts)), "map<string,bigint>")
+    return docs, F.element_at(told, F.col("_metadata.file_name")) + F.col("_metadata.row_index"), total
+
+
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tag: str = "pack", ordered: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, place.
 
     offset is the piece's first token in its sequence, place its number there;
@@ -267,25 +315,41 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Repeated rows are packed each. An empty table gives no rows. The plan that
     goes to the workers has at most a few shapes for each length up to
     capacity, whatever the number of documents.
+
+    ordered: sequences follow the order of docs' rows as written. The pieces of
+    a length go to sequences in that order, and sequences are numbered by the
+    mean place of their pieces in it. A worker then holds the places of the
+    lengths at hand, 24 bytes a piece.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    at, total = F.lit(0).cast("long"), 0
+    if ordered:
+        docs, at, total = in_order(docs, tag)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), at.alias("at"))
     cut = written(pieces(rows, tokenizer, capacity), f"{tag}-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
+    places = spark.sparkContext.broadcast((Places(plan(histogram, capacity)), histogram))
     salts = max(8, partitions(spark))
-    salt = F.xxhash64("doc_id", "piece")
-    ranked = numbered(cut, ["length"], salt, salts, ["doc_id", "piece"], "rank")
+    stretch = lambda x: F.floor(x * salts / max(1, total))
+    salt = stretch(F.col("at")) if ordered else F.xxhash64("doc_id", "piece")
+    ranked = numbered(cut, ["length"], salt, salts, ["at", "doc_id", "piece"], "rank")
 
     def run(batches):
+        found_places, lengths = places.value
         for batch in batches:
             length, rank = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("length", "rank"))
-            found = places.value.of(length, rank)
-            columns = [batch.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            found = found_places.along(length, rank, lengths) if ordered else found_places.of(length, rank)
+            columns = [batch.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "at")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, *(pa.array(found[:, i]) for i in range(3))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "place"],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "at", "sequence_id", "offset", "place"],
             )
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, place long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, at long, sequence_id long, offset long, place long"
+    out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "at", "rank").mapInArrow(run, schema)
+    if not ordered:
+        return out.drop("at")
+    out = written(out, f"{tag}-placed")
+    middles = out.groupBy(F.col("sequence_id").alias("was")).agg(F.avg("at").alias("middle")).withColumn("all", F.lit(0))
+    named = numbered(middles, ["all"], stretch(F.col("middle")), salts, ["middle", "was"], "named").select("was", "named")
+    return out.join(named, F.col("sequence_id") == F.col("was")).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("named").alias("sequence_id"), "offset", "place")
