@@ -229,5 +229,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(near.classed(docs, text_col, words, cls, bands), f"{tag}-rows")
     own = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(cls).alias("cls"), F.col(bands).alias("bands"), F.col(text_col).alias("text"))
     groups = own.select("doc_id", "cls").join(near.class_groups(own, words, tag), F.col("cls") == F.col("of"))
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return rows.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    # a row goes by its own id and text: ids may repeat over texts, and null is an id like any other
+    lost = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"), F.col("cls").alias("__cls")).distinct()
+    return rows.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (F.col(cls) == F.col("__cls")), "left_anti").select(*docs.columns)

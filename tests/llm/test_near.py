@@ -57,3 +57,10 @@ def test_recall_on_real_texts(spark):
     rows = [(r.doc_id, r.text) for r in df.collect()]
     want, alike = brute_kept(rows)
     assert alike >= 4 and {r.doc_id for r in simhash.one_of_each(df).collect()} == want
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a + " end"), (5, b), (None, a), (None, a + " last"), (None, c), (None, c + " end")]
+    left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, a), (5, b), (None, c), (None, c + " end")], key=str)
