@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: salts of a group: fixed, so that numbers depend on the rows and not on the cluster; a window holds 1/SALTS of a group
+SALTS = 256
+
 
 def numbered(df: DataFrame, groups: list[str], salt: Column, salts: int, order: list, name: str) -> DataFrame:
     """df with a long column ``name``: 0, 1, 2... inside each group.
