@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from lexspan.llm import scratch
 
 
+#: target weights of the sources of documents: the first, which may hold a third of all rows, weighs 1.5 of the others
+TARGETS = {"src0": "1.5"}
+DEFAULT_TARGET = 1
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,7 +65,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspan.llm.mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents"))
+    return mix(_table(spark, sf_dir, "documents"), targets=TARGETS, default=DEFAULT_TARGET, tag="op6")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspan.llm.warc import archive
 
-    pages = archive(_table(spark, sf_dir, "pages"), scratch.mounted_folder(spark, "op8-warc"), least=0, tag="op8")
+    pages = archive(_table(spark, sf_dir, "pages"), scratch.mounted_folder(spark, "op8-warc"), least=0, tag="op8", texts=False)
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
