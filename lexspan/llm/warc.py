@@ -6,8 +6,9 @@ of ``BLOCK`` lines; a sparse directory has the first key, place and size of
 each block. A lookup binary-searches the parts, then a part's directory, reads
 that one block, and range-reads the record its line points to.
 
-Files are written under a task's own name and renamed when complete, so a task
-that runs again replaces its file by the same one.
+Every attempt of a task writes files of its own name, and what it returns says
+which: a task that runs again or twice at a time leaves an unread file behind
+and never replaces one that committed lines point into.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from lexspan.llm.scratch import partitions, written
 
 BLOCK = 1000
+HOT = 1000  # a digest with this part of all pages is hot
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -86,36 +88,48 @@ def parse(member: bytes) -> dict:
     return fields
 
 
-def _put(path: str, data: bytes) -> None:
-    own = f"{path}.{uuid.uuid4().hex}"
-    with open(own, "wb") as f:
-        f.write(data)
-    os.replace(own, path)
+def _own(folder: str, end: str) -> str:
+    """A file name of this attempt alone."""
+    os.makedirs(folder, exist_ok=True)
+    t = TaskContext.get()
+    return f"{folder}/{t.partitionId():06d}-{t.taskAttemptId()}-{uuid.uuid4().hex[:8]}{end}"
+
+
+def _batches(rows, kinds: dict, room: int = 8 << 20):
+    """Arrow batches of (row, bytes), cut where ``room`` bytes or 10,000 rows are held."""
+    held, size = [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds.values())], names=list(kinds))
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if size >= room or len(held) >= 10_000:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+_LINES = {"key": pa.string(), "page_id": pa.int64(), "file": pa.string(), "at": pa.int64(), "size": pa.int64()}
+_ROWS = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "html": pa.string()}
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages (page_id, url, html, digest, refers_to); capture lines (key, page_id, file, at, size)."""
 
-    def run(batches):
-        os.makedirs(folder, exist_ok=True)
-        name = f"{folder}/{TaskContext.get().partitionId():06d}.warc.gz"
-        own, at, seq = f"{name}.{uuid.uuid4().hex}", 0, 0
-        lines = []
-        with open(own, "wb") as f:
+    def lines(batches):
+        name, at = _own(folder, ".warc.gz"), 0
+        with open(name, "wb") as f:
             for batch in batches:
-                for page_id, url, html, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                for row in zip(*batch.columns):
+                    page_id, url, html, digest, refers_to = (x.as_py() for x in row)
                     payload = (html or "").encode()
                     member = record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers_to)
                     f.write(member)
-                    lines.append((url_key(url), page_id, name, at, len(member)))
+                    key = url_key(url)
+                    yield (key, page_id, name, at, len(member)), len(key) + len(name) + 24
                     at += len(member)
-        os.replace(own, name)
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-        for start in range(0, len(lines), 10_000):
-            columns = zip(*lines[start : start + 10_000])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "page_id", "file", "at", "size"])
 
-    return pages.mapInArrow(run, "key string, page_id long, file string, at long, size long")
+    return pages.mapInArrow(lambda batches: _batches(lines(batches), _LINES), "key string, page_id long, file string, at long, size long")
 
 
 def _sort_key(key: str, page_id) -> tuple[str, str]:
@@ -130,11 +144,9 @@ def write_index(lines: DataFrame, folder: str) -> DataFrame:
     dealt = lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
-        part = f"{folder}/{TaskContext.get().partitionId():06d}"
-        own = f"{part}.cdx.{uuid.uuid4().hex}"
+        part = _own(folder, "")
         directory, block, at = [], [], 0
-        with open(own, "wb") as f:
+        with open(f"{part}.cdx", "wb") as f:
 
             def flush():
                 nonlocal at, block
@@ -150,12 +162,12 @@ def write_index(lines: DataFrame, folder: str) -> DataFrame:
                         flush()
             if block:
                 flush()
-        if directory:
-            os.replace(own, f"{part}.cdx")
-            _put(f"{part}.idx", "\n".join(json.dumps(x) for x in directory).encode())
-            yield pa.RecordBatch.from_pydict({"part": [part], "key": [directory[0][0]], "id": [directory[0][1]], "blocks": [len(directory)]})
-        else:
-            os.remove(own)
+        if not directory:
+            os.remove(f"{part}.cdx")
+            return
+        with open(f"{part}.idx", "w") as f:
+            f.write("\n".join(json.dumps(x) for x in directory))
+        yield pa.RecordBatch.from_pydict({"part": [part], "key": [directory[0][0]], "id": [directory[0][1]], "blocks": [len(directory)]})
 
     return dealt.mapInArrow(run, "part string, key string, id string, blocks long")
 
@@ -202,13 +214,17 @@ class CaptureIndex:
         return out
 
 
-def read_back(lookups: DataFrame, parts: list[tuple[str, str, str]]) -> DataFrame:
-    """Every page of lookups (key, page_id), sorted, through the index and a range read of its record."""
+def read_back(lookups: DataFrame, parts: list[tuple[str, str, str]], texts: bool = True) -> DataFrame:
+    """Every page of lookups (key, page_id), sorted, through the index and a range read of its record.
 
-    def run(batches):
+    Payloads are checked against their digests; they are returned, as html, if
+    texts is set. A worker holds a block of lines, a record and a few megabytes
+    of rows.
+    """
+
+    def rows(batches):
         index, handles = CaptureIndex(parts), {}
         for batch in batches:
-            out = {n: [] for n in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "html")}
             for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for file, at, size in index.find(key, page_id):
                     if file not in handles:
@@ -217,22 +233,41 @@ def read_back(lookups: DataFrame, parts: list[tuple[str, str, str]]) -> DataFram
                         handles[file] = open(file, "rb")  # noqa: SIM115
                     handles[file].seek(at)
                     r = parse(handles[file].read(size))
-                    digest = r["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if r["payload"] is not None and (len(r["payload"]) != r["http_length"] or base32_sha1(r["payload"]) != digest):
+                    digest, payload = r["WARC-Payload-Digest"].removeprefix("sha1:"), r["payload"]
+                    if payload is not None and (len(payload) != r["http_length"] or base32_sha1(payload) != digest):
                         raise ValueError(f"{file} at {at}: the payload is damaged")
                     refers = r.get("X-Refers-To-Page")
-                    row = (page_id, r["http_length"], digest, r["WARC-Type"], int(refers) if refers else None, None if r["payload"] is None else r["payload"].decode())
-                    for column, x in zip(out.values(), row):
-                        column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds)], names=list(out))
+                    html = payload.decode() if texts and payload is not None else None
+                    yield (page_id, r["http_length"], digest, r["WARC-Type"], int(refers) if refers else None, html), 200 + len(html or "")
         for f in handles.values():
             f.close()
 
-    return lookups.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    return lookups.mapInArrow(
+        lambda batches: _batches(rows(batches), _ROWS), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
+    )
+
 
+def _revisits(rows: DataFrame, least: int) -> DataFrame:
+    """rows with refers_to: the largest page_id of an equal payload, null for that page itself.
 
-def archive(pages: DataFrame, folder: str, least: int = 0, tag: str = "warc") -> DataFrame:
+    Digests alone are grouped; only groups of two pages or more come back. At
+    most ``HOT`` groups can hold 1/HOT of all pages each. They are told to every
+    task, and their pages go to the join under keys of their own, so that no
+    task gets all pages of one digest.
+    """
+    groups = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    groups = written(groups.where("n > 1 and last is not null"), "warc-groups")
+    total = rows.count()
+    hot = groups.where(F.col("n") * HOT >= total).select(F.col("digest").alias("h"), F.col("bytes").alias("hb"), F.col("last").alias("hot"))
+    rows = rows.join(F.broadcast(hot), (F.col("digest") == F.col("h")) & (F.col("bytes") == F.col("hb")), "left").drop("h", "hb")
+    rows = rows.withColumn("deal", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url"))))
+    others = groups.where(F.col("n") * HOT < total).select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "last")
+    rows = rows.join(others, (F.col("deal") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
+    last = F.coalesce("hot", "last")
+    return rows.select("page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(last), None).otherwise(last).alias("refers_to"))
+
+
+def archive(pages: DataFrame, folder: str, least: int = 0, tag: str = "warc", texts: bool = True) -> DataFrame:
     """Write pages (page_id, url, html) as WARC with an index in a mounted folder, and read all back through it.
 
     Of the pages with equal payloads of at least ``least`` bytes the one with
@@ -242,24 +277,18 @@ def archive(pages: DataFrame, folder: str, least: int = 0, tag: str = "warc") ->
     repeat the largest page_id are responses too; a null page_id is smaller
     than any other and a response where it is alone. An empty table gives no
     rows. Returns page_id, payload_bytes, payload_digest, record_type,
-    refers_to and html (null for revisits).
+    refers_to and html (null for revisits, and for all unless texts is set).
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html"),
         F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes"),
     )
-    # digests alone are grouped; only groups of two pages or more come back
-    groups = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    groups = groups.where("n > 1 and last is not null").select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "last")
-    match = (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b"))
-    told = rows.join(groups, match, "left").select(
-        "page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(F.col("last")), None).otherwise(F.col("last")).alias("refers_to")
-    )
+    told = _revisits(rows, least)
     lines = written(write_archives(told, f"{folder}/archive"), f"{tag}-lines")
     parts = written(write_index(lines, f"{folder}/index"), f"{tag}-parts")
     # one entry a part of the index, as many as shuffle partitions
     top = sorted((r["key"], r["id"], r["part"]) for r in parts.collect())
     keys = lines.groupBy("key", "page_id").agg(F.count("*").alias("n")).select("key", "page_id")
     n = partitions(pages.sparkSession)
-    return read_back(keys.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id"), top)
+    return read_back(keys.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id"), top, texts)

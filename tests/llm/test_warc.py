@@ -58,6 +58,33 @@ def test_small_payloads_are_all_responses(spark):
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
+def test_attempts_write_files_of_their_own(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a", hashlib.sha1(b"a").hexdigest(), None)], "page_id long, url string, html string, digest string, refers_to long")
+    first = warc.write_archives(df, str(tmp_path / "a")).collect()
+    before = {r.file: open(r.file, "rb").read() for r in first}
+    again = warc.write_archives(df, str(tmp_path / "a")).collect()
+    assert not {r.file for r in first} & {r.file for r in again}
+    assert all(open(f, "rb").read() == data for f, data in before.items())
+
+
+def test_batches_are_cut_by_bytes(spark):
+    """40 payloads of 1 MB come back in batches of about 8 MB."""
+    rows = [((i,), 1 << 20) for i in range(40)]
+    sizes = [b.num_rows for b in warc._batches(iter(rows), {"i": warc.pa.int64()})]
+    assert sum(sizes) == 40 and max(sizes) <= 8
+    df = spark.range(12).selectExpr("id as page_id", "concat('http://h', id) as url", "repeat(chr(65 + id), 1000000) as html")
+    got = warc.archive(df.coalesce(1), scratch.mounted_folder(spark, "t")).collect()
+    assert sorted((r.page_id, len(r.html)) for r in got) == [(i, 1_000_000) for i in range(12)]
+
+
+def test_hot_digests_get_keys_of_their_own(spark):
+    """All but a few pages share a payload; groups below the hot share go through the other join."""
+    rows = [(i, f"u{i}", "hot" if i > 3 else "cold") for i in range(3000)]
+    out = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch.mounted_folder(spark, "t"), texts=False)
+    got = out.collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == brute(rows) and all(r.html is None for r in got)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive(df, scratch.mounted_folder(spark, "t")).count() == 0
