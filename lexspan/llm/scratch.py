@@ -1,7 +1,8 @@
 """Written intermediate tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-(tests, notebooks) a folder is made for the session. A written table cuts the
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset a
+folder is made for a session with master ``local`` (tests, notebooks); on a
+cluster an unset folder is an error, as no local one is shared. A written table cuts the
 lineage and survives lost executors, because its files belong to no executor.
 """
 
@@ -18,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     """URI of this application's own folder below the shared checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexspan-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lexspan/{spark.sparkContext.applicationId}"

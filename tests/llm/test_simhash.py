@@ -66,12 +66,19 @@ def test_dense_and_chained_stars():
     assert all(len(x) == 1 for x in by.values()) and len({min(x) for x in by.values()}) == len(by)
 
 
-def test_components_of_paths(spark):
-    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 103), (7, 500)]
+def test_components_of_paths(spark, monkeypatch):
+    from lexspan.llm import components as module
+
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1003), (7, 500), (2000, 2000)]
     df = spark.createDataFrame(edges, "u long, v long")
+    tags, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda x, tag: (tags.append(tag), write(x, tag))[1])
     roots = {r.node: r.root for r in components(df, "t").collect()}
-    assert {roots[i] for i in range(61)} == {0} and roots[500] == 0
-    assert {roots[i] for i in (100, 101, 103)} == {100}
+    assert len({roots[i] for i in [*range(301), 500]}) == 1 and roots[0] in roots
+    assert len({roots[i] for i in (1000, 1001, 1003)}) == 1 and roots[2000] == 2000
+    assert len(set(roots.values())) == 3 and len(roots) == 306
+    # a path of 301 nodes: about log2(301) rounds, where going over to the least neighbour takes 300
+    assert sum("links" in t for t in tags) <= 12
 
 
 def test_query_against_brute_force(spark, docs, none, real):
