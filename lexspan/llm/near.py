@@ -1,9 +1,11 @@
-"""Texts that share most of their word shingles: MinHash bands propose, exact similarity decides.
-
-A text is the set of its shingles. ``BANDS`` bands of ``ROWS`` minima each are
-its keys: texts of similarity s share a band with chance 1 - (1 - s^ROWS)^BANDS,
-over 0.9999 at ``SIMILAR``. Texts under one key form a bucket; buckets with the
-same members are compared once. In a bucket the sets themselves are compared,
+"""Exact similarity of the texts that a SimHash group or a MinHash band brings together.
+
+A text is the set of its shingles. Texts of similarity 0.8 differ in about ten
+of 64 SimHash bits, more than a covering can reach, so beside the groups of
+fingerprints ``BANDS`` bands of ``ROWS`` minima each are keys too: texts of
+similarity s share a band with chance 1 - (1 - s^ROWS)^BANDS, over 0.9999 at
+``SIMILAR``. Texts under one key form a bucket; buckets with the same members
+are compared once. In a bucket the sets themselves are compared,
 and only a spanning star of each linked set leaves it, never all pairs. Equal
 sets are one class and travel once.
 """
@@ -77,18 +79,19 @@ def links(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int
     return out
 
 
-def classed(docs: DataFrame, text: str, words: int, cls: str, bands: str) -> DataFrame:
-    """docs with the class of each text's set (columns kept) and its bands."""
+def classed(docs: DataFrame, text: str, words: int, cls: str, bands: str, fp: str, fingerprint) -> DataFrame:
+    """docs with the class of each text's set (columns kept), its bands and its fingerprint."""
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t.as_py() or b"", words) for t in batch.column(at).cast(pa.binary())]
+            texts = [t.as_py() or b"" for t in batch.column(at).cast(pa.binary())]
+            sets = [shingles(t, words) for t in texts]
             named = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-            added = [pa.array(named), pa.array([keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, cls, bands])
+            added = [pa.array(named), pa.array([keys(s) for s in sets], pa.list_(pa.int64())), pa.array([fingerprint(t, words) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, cls, bands, fp])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(cls, T.LongType()), T.StructField(bands, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(cls, T.LongType()), T.StructField(bands, T.ArrayType(T.LongType())), T.StructField(fp, T.LongType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -121,10 +124,10 @@ def _compare(batches):
     yield linked()
 
 
-def class_links(rows: DataFrame, words: int, tag: str) -> DataFrame:
-    """(u, v) spanning links among the classes of written rows (cls, bands, text)."""
+def class_links(rows: DataFrame, words: int, tag: str, more: DataFrame) -> DataFrame:
+    """(u, v) spanning links among the classes of written rows (cls, bands, text); more are further keys (cls, key)."""
     n = partitions(rows.sparkSession)
-    member = rows.select("cls", F.explode("bands").alias("key")).distinct()
+    member = rows.select("cls", F.explode("bands").alias("key")).unionByName(more).distinct()
     print_ = F.sum(F.xxhash64("cls").cast("decimal(38,0)"))
     buckets = member.groupBy("key").agg(F.count("*").alias("n"), print_.alias("members"), F.min("cls").alias("first")).where("n > 1")
     buckets = written(buckets.groupBy("n", "members", "first").agg(F.min("key").alias("bucket")).select("bucket"), f"{tag}-buckets")
@@ -136,10 +139,10 @@ def class_links(rows: DataFrame, words: int, tag: str) -> DataFrame:
     return written(dealt.mapInArrow(_compare, "u long, v long").distinct(), f"{tag}-links")
 
 
-def class_groups(rows: DataFrame, words: int, tag: str) -> DataFrame:
-    """(cls, component_id) of each class of written rows (doc_id, cls, bands, text): the smallest id reachable over links."""
-    classes = written(rows.groupBy("cls").agg(F.min("doc_id").alias("least")), f"{tag}-class")
-    roots = components(class_links(rows, words, tag), tag)
-    rooted = classes.join(roots, classes.cls == roots.node, "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+def class_groups(rows: DataFrame, words: int, tag: str, more: DataFrame) -> DataFrame:
+    """(of, n, component_id) of each class of written rows (doc_id, cls, bands, text): its rows, and the smallest id reachable over links."""
+    classes = written(rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), f"{tag}-class")
+    roots = components(class_links(rows, words, tag, more), tag)
+    rooted = classes.join(roots, classes.cls == roots.node, "left").select("cls", "n", "least", F.coalesce("root", "cls").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    return rooted.join(ids, F.col("root") == F.col("r")).select(F.col("cls").alias("of"), "component_id")
+    return rooted.join(ids, F.col("root") == F.col("r")).select(F.col("cls").alias("of"), "n", "component_id")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lexspan.llm import near
 from lexspan.llm.components import components
 from lexspan.llm.scratch import fresh, partitions, written
+from lexspan.llm.skew import looked_up
 
 BITS = 4  # differing bits of a link
 PART_BITS = (11, 11, 11, 11, 10, 10)
@@ -192,6 +193,14 @@ def fingerprint_links(distinct: DataFrame, count: int) -> DataFrame:
     return dealt.mapInArrow(_compare, "u long, v long").distinct()
 
 
+def _rooted(rows: DataFrame, tag: str) -> DataFrame:
+    """(fp, n, least, root) of the fingerprints of written rows (doc_id, fp); linked ones share their root."""
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), f"{tag}-class")
+    links = written(fingerprint_links(classes.select("fp"), classes.count()), f"{tag}-links")
+    roots = components(links, tag)
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, tag: str = "simhash") -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest id reachable over links.
 
@@ -199,18 +208,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (null, empty, white space) have fingerprint zero and link like any other.
     Rows with one fingerprint share one record on the way, so copies cost
     nothing; a null id is never the smallest unless it is the only one;
-    repeated rows stay repeated; an empty table gives no rows.
+    repeated rows stay repeated; an empty table gives no rows; other columns
+    are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(fingerprints(rows, words), f"{tag}-fp")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{tag}-class")
-    links = written(fingerprint_links(classes.select("fp"), classes.count()), f"{tag}-links")
-    roots = components(links, tag)
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # only classes with links share a root; the others are their own
+    rooted = _rooted(rows, tag)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select(F.col("fp").alias("of"), F.col("root").alias("r")).join(ids, F.col("r") == F.col("root")).select("of", "component_id")
-    return rows.join(named, rows.fp == named.of, "inner").select("doc_id", "fp", "component_id")
+    named = rooted.select(F.col("fp").alias("of"), "n", F.col("root").alias("r")).join(ids, F.col("r") == F.col("root")).select("of", "n", "component_id")
+    return looked_up(rows, "fp", F.xxhash64("doc_id"), named, rows.count(), "component_id").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp="fp"):
@@ -220,15 +226,20 @@ def hex_fingerprint(fp="fp"):
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, tag: str = "simhash") -> DataFrame:
     """docs without the near-duplicates: of each component the row with the smallest id stays.
 
-    Texts link where they share at least ``near.SIMILAR`` of their distinct
-    shingles, whatever their fingerprints. Rows that share the id of the row
-    that stays are that same document and stay with it; a component of null ids
-    alone stays whole.
+    Texts meet where the covering links their fingerprints or a band of minima
+    is the same, and link where they share at least ``near.SIMILAR`` of their
+    distinct shingles. Null, empty and blank texts have no shingles and are one
+    class. Rows that share the id of the row that stays, and are in its
+    component, are that same document and stay with it; a null id goes where
+    its component has another, and a component of null ids alone stays whole.
     """
-    cls, bands = fresh(docs.columns, "cls", "bands")
-    rows = written(near.classed(docs, text_col, words, cls, bands), f"{tag}-rows")
-    own = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(cls).alias("cls"), F.col(bands).alias("bands"), F.col(text_col).alias("text"))
-    groups = own.select("doc_id", "cls").join(near.class_groups(own, words, tag), F.col("cls") == F.col("of"))
+    cls, bands, fp, least = fresh(docs.columns, "cls", "bands", "fp", "component_id")
+    rows = written(near.classed(docs, text_col, words, cls, bands, fp, fingerprint), f"{tag}-rows")
+    key = F.col(id_col).cast("long")
+    own = rows.select(key.alias("doc_id"), F.col(cls).alias("cls"), F.col(bands).alias("bands"), F.col(fp).alias("fp"), F.col(text_col).alias("text"))
+    roots = _rooted(own.select("doc_id", "fp"), f"{tag}-fps").select(F.col("fp").alias("of"), F.col("root").alias("key"))
+    more = own.select("cls", "fp").distinct().join(roots, F.col("fp") == F.col("of")).select("cls", "key")
+    groups = near.class_groups(own, words, tag, more)
     # a row goes by its own id and text: ids may repeat over texts, and null is an id like any other
-    lost = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"), F.col("cls").alias("__cls")).distinct()
-    return rows.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (F.col(cls) == F.col("__cls")), "left_anti").select(*docs.columns)
+    rows = looked_up(rows, cls, F.xxhash64(key), groups.withColumnRenamed("component_id", least), rows.count(), least)
+    return rows.where(key.eqNullSafe(F.col(least))).select(*docs.columns)

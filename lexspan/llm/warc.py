@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm.scratch import partitions, written
+from lexspan.llm.skew import looked_up
 
 BLOCK = 1000
-HOT = 1000  # a digest with this part of all pages is hot
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -247,24 +247,15 @@ def read_back(lookups: DataFrame, parts: list[tuple[str, str, str]], texts: bool
     )
 
 
-def _revisits(rows: DataFrame, least: int) -> DataFrame:
+def _revisits(rows: DataFrame, least: int, tag: str) -> DataFrame:
     """rows with refers_to: the largest page_id of an equal payload, null for that page itself.
 
-    Digests alone are grouped; only groups of two pages or more come back. At
-    most ``HOT`` groups can hold 1/HOT of all pages each. They are told to every
-    task, and their pages go to the join under keys of their own, so that no
-    task gets all pages of one digest.
+    Digests alone are grouped; only groups of two pages or more come back.
     """
-    groups = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    groups = written(groups.where("n > 1 and last is not null"), "warc-groups")
-    total = rows.count()
-    hot = groups.where(F.col("n") * HOT >= total).select(F.col("digest").alias("h"), F.col("bytes").alias("hb"), F.col("last").alias("hot"))
-    rows = rows.join(F.broadcast(hot), (F.col("digest") == F.col("h")) & (F.col("bytes") == F.col("hb")), "left").drop("h", "hb")
-    rows = rows.withColumn("deal", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url"))))
-    others = groups.where(F.col("n") * HOT < total).select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "last")
-    rows = rows.join(others, (F.col("deal") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
-    last = F.coalesce("hot", "last")
-    return rows.select("page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(last), None).otherwise(last).alias("refers_to"))
+    groups = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    groups = written(groups.where("n > 1 and last is not null").withColumnRenamed("digest", "of"), f"{tag}-groups")
+    rows = looked_up(rows, "digest", F.xxhash64("page_id", "url"), groups, rows.count(), "last")
+    return rows.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
 def archive(pages: DataFrame, folder: str, least: int = 0, tag: str = "warc", texts: bool = True) -> DataFrame:
@@ -284,7 +275,7 @@ def archive(pages: DataFrame, folder: str, least: int = 0, tag: str = "warc", te
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html"),
         F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes"),
     )
-    told = _revisits(rows, least)
+    told = _revisits(rows, least, tag)
     lines = written(write_archives(told, f"{folder}/archive"), f"{tag}-lines")
     parts = written(write_index(lines, f"{folder}/index"), f"{tag}-parts")
     # one entry a part of the index, as many as shuffle partitions
