@@ -26,15 +26,20 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-#: what may be an identifier: a token with an @ or at least five digits, without punctuation at its ends. The look-ahead
-#: goes over at most 64 characters to the @ or to the next digit, or long runs would be read again from each of their places.
-CANDIDATE = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z._%+/@:-]{0,64}+[0-9]){5}|[A-Za-z0-9._%+/:-]{0,64}+@)[A-Za-z0-9](?:[A-Za-z0-9._%+/@:-]*[A-Za-z0-9])?"
+#: what may be an identifier: a token with an @ or at least five digits, without punctuation at its end. It starts where a run
+#: of these characters starts, so each run is read once whether it matches or not; punctuation before it is taken off later.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9._%+/@:-])[._%+/@:-]*+(?=(?:[A-Za-z._%+/@:-]*+[0-9]){5}|[A-Za-z0-9._%+/:-]*+@)"
+    r"[A-Za-z0-9]++(?:[._%+/@:-]++[A-Za-z0-9]++)*+"
+)
+LEAD = r"^[._%+/@:-]++"
 
 ROUNDS = 3
-BLOCK = 256  # matches of a text whose places are worked out together
+BLOCK = 32  # matches of a text whose places are worked out together
 CONFIDENT = 0.6  # of a pattern in a kind
 SEEDS = 3  # distinct seed instances that a pattern needs
 ACCEPT = 0.8  # score of an instance
+SALTS = 16  # over which the rows of one value or pattern are dealt in joins
 
 
 def _matches(body: Column, pattern: str, hint: Column) -> Column:
@@ -52,12 +57,32 @@ def _blocks(items: Column) -> Column:
     return _let(items, lambda xs: F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / BLOCK).cast("int") - 1), lambda i: F.slice(xs, i * BLOCK + 1, F.lit(BLOCK))))
 
 
+def _running(items: Column, value, merge, levels: int = 2) -> Column:
+    """For each item the merged values (ints, from 0) of those before it.
+
+    An aggregate copies what it carries at every step, so it carries a number
+    only: blocks are folded first, their totals in blocks again, then items
+    inside their block.
+    """
+    fold = lambda xs, of: F.aggregate(xs, F.lit(0), lambda a, x: merge(a, of(x)))
+    same = lambda x: x
+    before = lambda xs: F.transform(xs, lambda x, i: fold(F.slice(xs, 1, i), value))
+    if not levels:
+        return _let(items, before)
+
+    def whole(blocks):
+        bases = _running(F.transform(blocks, lambda xs: fold(xs, value)), same, merge, levels - 1)
+        return F.flatten(F.zip_with(blocks, bases, lambda xs, base: F.transform(before(xs), lambda x: merge(base, x))))
+
+    return _let(_blocks(items), whole)
+
+
 def _spans(body: Column, pattern: str, found: Column) -> Column:
     """array<struct<s, e, v, left, right>> of the matches found, in code points, end exclusive, with the text on either side; null without one.
 
     The pieces between matches alternate with them, so lengths give places and
     neighbours give contexts. found is a column of its own, so that no text is
-    searched twice; an appended array is copied, so places are worked out in blocks.
+    searched twice.
     """
 
     def items(p):
@@ -70,18 +95,13 @@ def _spans(body: Column, pattern: str, found: Column) -> Column:
             F.left(F.concat(after(i + 1), match(i + 1), after(i + 2)), F.lit(40)).alias("right"),
         ))
 
-    def one(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), *[x[k].alias(k) for k in ("v", "left", "right")])).alias("out"))
-
-    def block(acc, xs):
-        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), F.array().cast(_NONE).alias("out")), one)
-        return _let(inner, lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+    def placed(xs):
+        begin = _running(xs, lambda x: x["gap"] + F.length(x["v"]), lambda a, b: a + b)
+        whole = lambda x, at: F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + F.length(x["v"])).alias("e"), *[x[k].alias(k) for k in ("v", "left", "right")])
+        return F.zip_with(xs, begin, whole)
 
     pieces = F.struct(F.split(body, pattern, -1).alias("g"), found.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_NONE}>").alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(_blocks(_let(pieces, items)), start, block, lambda acc: F.flatten(acc["out"])))
+    return F.when(F.size(found) > 0, _let(_let(pieces, items), placed))
 
 
 def _valid(kind: str, v: Column) -> Column:
@@ -126,12 +146,37 @@ def _context(spans: Column, kind: str | None) -> Column:
 
 
 def _apart(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others; blocks of others that end before or begin after are passed over."""
-    hull = lambda xs: F.struct(F.array_min(F.transform(xs, lambda y: y["s"])).alias("s"), F.array_max(F.transform(xs, lambda y: y["e"])).alias("e"), xs.alias("in"))
-    meets = lambda x, y: (y["s"] < x["e"]) & (x["s"] < y["e"])
-    hit = lambda x, hulls: F.exists(hulls, lambda h: meets(x, h) & F.exists(h["in"], lambda y: meets(x, y)))
-    left = lambda hulls: F.filter(spans, lambda x: ~hit(x, hulls))
-    return F.when((F.size(spans) > 0) & (F.size(others) > 0), _let(F.transform(_blocks(others), hull), left)).otherwise(spans)
+    """The spans that overlap none of the others; spans are in order and apart from each other.
+
+    Both are put in order of their starts. A span goes if an other that began
+    before it reaches into it, or if the next event is an other inside it.
+    """
+    fields = lambda x: [x[k].alias(k) for k in ("v", "left", "right")]
+    blank = [F.lit("").alias(k) for k in ("v", "left", "right")]
+    event = lambda xs, mine: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), F.lit(mine).alias("mine"), x["e"].alias("e"), *(fields(x) if mine else blank)))
+
+    def free(events):
+        reach = _running(events, lambda x: F.when(x["mine"] == 0, x["e"]).otherwise(0), F.greatest)
+
+        def stays(x, i, reach):
+            after = F.get(events, i + 1)
+            return (x["mine"] == 1) & (F.get(reach, i) <= x["s"]) & F.coalesce((after["mine"] == 1) | (after["s"] >= x["e"]), F.lit(True))
+
+        return _let(reach, lambda r: F.filter(events, lambda x, i: stays(x, i, r)))
+
+    left = F.transform(_let(F.sort_array(F.concat(event(spans, 1), event(others, 0))), free), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), *fields(x)))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), left).otherwise(spans)
+
+
+def _trimmed(spans: Column) -> Column:
+    """Spans without the punctuation at their start, which goes to the text on their left."""
+
+    def one(x, v):
+        lead = F.length(x["v"]) - F.length(v)
+        left = F.right(F.concat(x["left"], F.left(x["v"], lead)), F.lit(80))
+        return F.struct((x["s"] + lead).alias("s"), x["e"].alias("e"), v.alias("v"), left.alias("left"), x["right"].alias("right"))
+
+    return F.transform(spans, lambda x: F.when(x["v"].rlike(LEAD), one(x, F.regexp_replace(x["v"], LEAD, ""))).otherwise(x))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str = "pii") -> DataFrame:
@@ -145,7 +190,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: s
     df = df.select("doc_id", "body", *[_spans(b, p, F.col(f"f_{k}")).alias(f"s_{k}") for k, p in (PATTERNS | {"other": CANDIDATE}).items()])
     none = F.array().cast(_NONE)
     valid = lambda k: F.filter(F.col(f"s_{k}"), lambda x: _valid(k, x["v"]))
-    df = df.select("doc_id", *[F.coalesce(valid(k), none).alias(k) for k in KINDS], F.coalesce("s_other", none).alias("s_other"))
+    df = df.select("doc_id", *[F.coalesce(valid(k), none).alias(k) for k in KINDS], F.coalesce(_trimmed(F.col("s_other")), none).alias("s_other"))
     base = F.concat(*[F.col(k) for k in KINDS])
     df = df.withColumn("other", _apart(F.col("s_other"), base)).drop("s_other")
     seen = F.concat(*[_context(F.col(k), k) for k in KINDS], _context(F.col("other"), None))
@@ -157,7 +202,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: s
 
 
 def _patterns(left: Column, right: Column) -> Column:
-    """Lexical patterns of a context: one and two words before, and one on either side; words in lower case, digits as 0."""
+    """Lexical patterns of a context: one and two words before, and one on either side; words in lower case, digits as 0.
+
+    A context is the 80 characters before a span and the 40 after it; of a
+    longer word the part inside them counts.
+    """
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[0-9]+", "0"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     before = F.slice(F.concat(F.array(F.lit("<"), F.lit("<")), words(left)), -2, 2)
     # a side that touches the span without a blank is part of the pattern too
@@ -166,6 +215,13 @@ def _patterns(left: Column, right: Column) -> Column:
     return F.array(F.concat(F.lit("L1 "), one), F.concat(F.lit("L2 "), two), F.concat(F.lit("B "), one, F.lit(" _ "), after))
 
 
+def _dealt(rows: DataFrame, table: DataFrame, on: Column, spread: Column) -> DataFrame:
+    """rows joined with a small table, whose rows go to SALTS places each, so that no task gets all rows of a key."""
+    table = table.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
+    return rows.join(table, on & (F.col("__salt") == F.col("__place"))).drop("__salt", "__place")
+
+
 def discover(scanned: DataFrame, tag: str = "pii") -> DataFrame | None:
     """(row, s, e, k) of the added identifiers, or None if no pattern ever is confident."""
     seen = scanned.select("row", F.explode("seen").alias("o")).select("row", "o.*")
@@ -185,14 +241,14 @@ def discover(scanned: DataFrame, tag: str = "pii") -> DataFrame | None:
         sure = written(sure, f"{tag}-sure{r}")
         if sure.isEmpty():
             return None
-        new = graph.where("seed is null").join(sure.withColumnRenamed("p", "cp"), F.col("p") == F.col("cp")).groupBy("v", "kind").agg(
+        new = _dealt(graph.where("seed is null"), sure.withColumnRenamed("p", "cp"), F.col("p") == F.col("cp"), F.xxhash64("v")).groupBy("v", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score")
         )
         scores = written(seeds.unionByName(new), f"{tag}-scores{r}")
     high = scores.where(F.col("score") >= ACCEPT).select(F.col("v").alias("hv"), F.col("kind").alias("hk"), "score")
-    added = seen.where("kind is null").join(high, F.col("v") == F.col("hv")).join(
-        sure.select(F.col("p").alias("cp"), F.col("kind").alias("ck"), "confidence"), (F.col("p") == F.col("cp")) & (F.col("hk") == F.col("ck"))
-    )
+    found = _dealt(seen.where("kind is null"), high, F.col("v") == F.col("hv"), F.xxhash64("row", "s"))
+    sure = sure.select(F.col("p").alias("cp"), F.col("kind").alias("ck"), "confidence")
+    added = _dealt(found, sure, (F.col("p") == F.col("cp")) & (F.col("hk") == F.col("ck")), F.xxhash64("row", "s"))
     names = F.array(*[F.lit(k) for k in KINDS])
     return added.groupBy("row", "s", "e").agg(F.max_by("hk", F.struct("score", "confidence", "hk")).alias("kind")).select(
         "row", "s", "e", (F.array_position(names, F.col("kind")) - 1).cast("int").alias("k")
@@ -202,8 +258,9 @@ def discover(scanned: DataFrame, tag: str = "pii") -> DataFrame | None:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str = "pii") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row.
 
-    Counts and the hash are of the base spans; spans has the added ones too. A
-    null text is empty. Repeated rows get the same result each, an empty table
+    Counts and the hash are of the base spans; spans has the added ones too,
+    which overlap no base span. A null text is empty; long texts cost in
+    proportion to their length and identifiers. Repeated rows get the same result each, an empty table
     no rows; other columns are not read.
     """
     scanned = scan(docs, id_col, text_col, tag)
