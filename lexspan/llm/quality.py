@@ -1,12 +1,21 @@
 """Quality rules: multivariate outliers by minimum covariance determinant.
 
 Each text becomes a vector of transformed statistics. For every language and
-source a robust centre and scatter are estimated by concentration steps of the
-minimum covariance determinant: from medians and quartiles, take the
-``SHARE`` of the rows with the least Mahalanobis distances, recompute mean and
-covariance from them, repeat. Rows far from the centre are rejected. Everything
-is DataFrame expressions: the Cholesky factor and the forward substitution are
-columns, the h-subset is a quantile per group.
+source a robust centre and scatter are estimated: the ``SHARE`` of the rows
+whose covariance, with the floors of ``VECTOR`` on its diagonal, has the least
+determinant. Concentration steps (take the rows with the least Mahalanobis
+distances, recompute mean and covariance, repeat) go from three fixed starts;
+after ``TRIALS`` steps the start with the least determinant goes on until its
+determinant no longer falls. Rows far from the centre are rejected. Everything
+is DataFrame expressions: the Cholesky factor, whose diagonal gives the
+determinant, and the forward substitution are columns, the subset is a quantile
+per group.
+
+Floors and cutoff follow from the distances that are no reason to reject, not
+from labels: a floor is the deviation of a statistic that texts of one source
+may show without being bad (a factor of e**0.8 = 2.2 in words, say), so that a
+source whose texts are all alike does not reject the first that differs, and
+the cutoff is met by chance by one in a million of normal vectors.
 """
 
 from __future__ import annotations
@@ -23,7 +32,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
 
 SHARE = 0.75  # of a group's rows that a concentration step keeps
-STEPS = 4
+TRIALS = 2  # concentration steps of every start
+MOST_STEPS = 20  # of the best start; determinants never rise, so a stop leaves the least found
+FALL = 1e-6  # of the logarithm of a determinant that counts as a fall
+STARTS = 3
 SMALL = 10_000  # groups whose estimates are broadcast; more are joined by shuffle
 LEAST_ROWS = 60  # a smaller group is pooled with its language, then with all
 #: statistic, and the standard deviation that is added to its own (squared): differences below it are no reason to reject.
@@ -48,7 +60,9 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     n = F.size("words")
-    at = lambda i, k: F.get(F.col("words"), i + k)
+    # words are hashed once; a window's hash is that of its words' hashes
+    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    at = lambda i, k: F.get(F.col("hashes"), i + k)
     windows = F.when(
         n > WINDOW,
         F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)])),
@@ -100,21 +114,18 @@ NAMES = list(VECTOR)
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
-def _cholesky(cov: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
-    """Columns l_i_j in an order in which each uses only earlier ones."""
-    out = []
-    for i, j in PAIRS:
-        rest = cov[i, j]
-        for k in range(j):
-            rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-        out.append((f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}")))
-    return out
-
-
 def _factored(df: DataFrame, cov: dict[tuple[int, int], Column], keep: list[str]) -> DataFrame:
-    for name, column in _cholesky(cov):
-        df = df.withColumn(name, column)
-    return df.select(*keep, *[f"m_{i}" for i in range(len(NAMES))], *[f"l_{i}_{j}" for i, j in PAIRS])
+    """keep, log_det, centre m_i and Cholesky factor l_i_j, worked out column by column."""
+    for j in range(len(NAMES)):
+        rest = {i: cov[i, j] for i in range(j, len(NAMES))}
+        for i in rest:
+            for k in range(j):
+                rest[i] = rest[i] - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        df = df.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(rest[j], F.lit(1e-12))))
+        if j + 1 < len(NAMES):
+            df = df.withColumns({f"l_{i}_{j}": rest[i] / F.col(f"l_{j}_{j}") for i in rest if i > j})
+    log_det = sum((2 * F.log(f"l_{i}_{i}") for i in range(1, len(NAMES))), 2 * F.log("l_0_0"))
+    return df.select(*keep, log_det.alias("log_det"), *[f"m_{i}" for i in range(len(NAMES))], *[f"l_{i}_{j}" for i, j in PAIRS])
 
 
 def _distanced(df: DataFrame) -> DataFrame:
@@ -167,38 +178,91 @@ def _pooled(rows: DataFrame, pools: _Pools) -> DataFrame:
     return rows.join(pools.near(pools.table), same, "left").drop("p_lang", "p_source")
 
 
+def _starts(rows: DataFrame, pools: _Pools, floors: list[float], tag: str) -> DataFrame:
+    """Three starts (pool, start, log_det, centre, factor) for each pool.
+
+    0: medians, and quartile ranges without correlations. 1: medians, with the
+    correlations of tanh of the standardised values, which outliers hardly
+    move. 2: mean and covariance of all rows.
+    """
+    size = range(len(NAMES))
+    quartiles = rows.groupBy("pool").agg(*[F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, n in enumerate(NAMES)])
+    spread = lambda i: F.sqrt(((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349) ** 2 + floors[i])
+    middle = quartiles.select("pool", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in size], *[spread(i).alias(f"s_{i}") for i in size])
+    middle = pools.kept(middle, f"{tag}-middle")
+    near = rows.join(pools.near(middle), "pool")
+    off = [F.col(n) - F.col(f"m_{i}") for i, n in enumerate(NAMES)]
+    bent = [F.tanh(off[i] / F.col(f"s_{i}")) for i in size]
+    sums = near.groupBy("pool").agg(
+        *[F.avg(off[i]).alias(f"a_{i}") for i in size], *[F.avg(off[i] * off[j]).alias(f"b_{i}_{j}") for i, j in PAIRS],
+        *[F.avg(bent[i]).alias(f"c_{i}") for i in size], *[F.avg(bent[i] * bent[j]).alias(f"d_{i}_{j}") for i, j in PAIRS],
+        *[F.first(f"m_{i}").alias(f"m_{i}") for i in size], *[F.first(f"s_{i}").alias(f"s_{i}") for i in size],
+    )
+    sums = pools.kept(sums, f"{tag}-sums")
+    var = lambda i, j: F.col(f"d_{i}_{j}") - F.col(f"c_{i}") * F.col(f"c_{j}")
+    # 0.99: a correlation matrix of values that hardly vary stays positive
+    likeness = lambda i, j: 0.99 * var(i, j) / F.sqrt(F.greatest(var(i, i) * var(j, j), F.lit(1e-12)))
+    covs = [
+        {(i, j): F.col(f"s_{i}") ** 2 if i == j else F.lit(0.0) for i, j in PAIRS},
+        {(i, j): F.col(f"s_{i}") * F.col(f"s_{j}") * (F.lit(1.0) if i == j else likeness(i, j)) for i, j in PAIRS},
+        {(i, j): F.col(f"b_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}") + (floors[i] if i == j else 0.0) for i, j in PAIRS},
+    ]
+    out = None
+    for k, cov in enumerate(covs):
+        one = _factored(sums.withColumn("start", F.lit(k)), cov, ["pool", "start"])
+        if k == 2:
+            one = one.join(sums.select(F.col("pool").alias("s_pool"), *[(F.col(f"m_{i}") + F.col(f"a_{i}")).alias(f"n_{i}") for i in size]), F.col("pool") == F.col("s_pool"))
+            one = one.select("pool", "start", "log_det", *[F.col(f"n_{i}").alias(f"m_{i}") for i in size], *[f"l_{i}_{j}" for i, j in PAIRS])
+        out = one if out is None else out.unionByName(one)
+    return pools.kept(out, f"{tag}-starts")
+
+
+def _concentrated(rows: DataFrame, state: DataFrame, pools: _Pools, floors: list[float], name: str) -> DataFrame:
+    """The state after a concentration step of each (pool, start) in it."""
+    size = range(len(NAMES))
+    near = _distanced(rows.join(pools.near(state), "pool"))
+    cut = near.groupBy("pool", "start").agg(F.percentile_approx("d2", SHARE, 2000).alias("cut")).toDF("c_pool", "c_start", "cut")
+    subset = near.join(pools.near(cut), (F.col("pool") == F.col("c_pool")) & (F.col("start") == F.col("c_start"))).where("d2 <= cut")
+    moved = [F.col(n) - F.col(f"m_{i}") for i, n in enumerate(NAMES)]  # sums about the last centre lose no digits
+    sums = subset.groupBy("pool", "start").agg(
+        *[F.avg(moved[i]).alias(f"a_{i}") for i in size], *[F.avg(moved[i] * moved[j]).alias(f"b_{i}_{j}") for i, j in PAIRS],
+        *[F.first(f"m_{i}").alias(f"o_{i}") for i in size],
+    )
+    centred = sums.select(
+        "pool", "start",
+        *[(F.col(f"o_{i}") + F.col(f"a_{i}")).alias(f"m_{i}") for i in size],
+        *[(F.col(f"b_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")).alias(f"b_{i}_{j}") for i, j in PAIRS],
+    )
+    cov = {(i, j): F.col(f"b_{i}_{j}") + (floors[i] if i == j else 0.0) for i, j in PAIRS}
+    return pools.kept(_factored(centred, cov, ["pool", "start"]), name)
+
+
 def estimate(rows: DataFrame, tag: str) -> tuple[_Pools, DataFrame]:
     """(pools, (pool, centre, factor, scale)) from rows (lang, source, vector).
 
-    rows are a written table: each concentration step reads it twice. The
+    rows are a written table: each concentration step reads it twice. Pools whose
+    determinant has stopped falling take no part in further steps. The
     tables that come back have a row for each language and source.
     """
     pools = _Pools(rows, tag)
     rows = _pooled(rows, pools)
-    size = range(len(NAMES))
     floors = [VECTOR[n] ** 2 for n in NAMES]
-    quartiles = rows.groupBy("pool").agg(*[F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, n in enumerate(NAMES)])
-    centred = quartiles.select("pool", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in size], *[((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349).alias(f"s_{i}") for i in size])
-    cov = {(i, j): F.col(f"s_{i}") ** 2 + floors[i] if i == j else F.lit(0.0) for i, j in PAIRS}
-    state = pools.kept(_factored(centred, cov, ["pool"]), f"{tag}-state0")
-    for step in range(STEPS):
-        near = _distanced(rows.join(pools.near(state), "pool"))
-        cut = near.groupBy("pool").agg(F.percentile_approx("d2", SHARE, 2000).alias("cut")).withColumnRenamed("pool", "c_pool")
-        subset = near.join(pools.near(cut), F.col("pool") == F.col("c_pool")).where("d2 <= cut")
-        moved = [F.col(n) - F.col(f"m_{i}") for i, n in enumerate(NAMES)]  # sums about the last centre lose no digits
-        sums = subset.groupBy("pool").agg(
-            F.count("*").alias("n"),
-            *[F.avg(moved[i]).alias(f"a_{i}") for i in size],
-            *[F.avg(moved[i] * moved[j]).alias(f"b_{i}_{j}") for i, j in PAIRS],
-            *[F.first(f"m_{i}").alias(f"o_{i}") for i in size],
-        )
-        centred = sums.select(
-            "pool",
-            *[(F.col(f"o_{i}") + F.col(f"a_{i}")).alias(f"m_{i}") for i in size],
-            *[(F.col(f"b_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")).alias(f"b_{i}_{j}") for i, j in PAIRS],
-        )
-        cov = {(i, j): F.col(f"b_{i}_{j}") + (floors[i] if i == j else 0.0) for i, j in PAIRS}
-        state = pools.kept(_factored(centred, cov, ["pool"]), f"{tag}-state{step + 1}")
+    state = _starts(rows, pools, floors, tag)
+    for step in range(TRIALS):
+        state = _concentrated(rows, state, pools, floors, f"{tag}-trial{step}")
+    order = F.struct("log_det", "start")
+    state = state.groupBy("pool").agg(F.min_by(F.struct(*[c for c in state.columns if c != "pool"]), order).alias("best")).select("pool", "best.*")
+    state = pools.kept(state, f"{tag}-best")
+    moving = state
+    for step in range(MOST_STEPS):
+        new = _concentrated(rows, moving, pools, floors, f"{tag}-step{step}")
+        old = state.select(F.col("pool").alias("o_pool"), F.col("log_det").alias("o_det"))
+        moving = pools.kept(new.join(old, F.col("pool") == F.col("o_pool")).where(F.col("log_det") < F.col("o_det") - FALL).drop("o_pool", "o_det"), f"{tag}-moving{step}")
+        if moving.isEmpty():
+            break
+        still = state.join(moving.select(F.col("pool").alias("n_pool")), F.col("pool") == F.col("n_pool"), "left_anti")
+        state = pools.kept(still.unionByName(moving), f"{tag}-state{step}")
+    state = state.drop("start", "log_det")
     middle = _distanced(rows.join(pools.near(state), "pool")).groupBy("pool").agg(F.percentile_approx("d2", 0.5, 2000).alias("middle"))
     # distances shrink where a group is wider than its subset says, and never grow
     scaled = state.join(middle, "pool").withColumn("scale", F.least(F.lit(1.0), MEDIAN_CHI2 / F.greatest("middle", F.lit(1e-9)))).drop("middle")
@@ -239,7 +303,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag:
     """The rows of docs that are kept, with docs' columns; no row is moved.
 
     The rows are written once beside their statistics: no text crosses a
-    shuffle, and the verdict is the row's own even where ids repeat.
+    shuffle, and the verdict is the row's own even where ids repeat. Null and
+    empty texts fail the base rules and go; null languages and sources are
+    groups of their own; ties at the cutoff stay; an empty table gives no rows.
     """
     rows = _vectors(docs, text_col).drop("stats")
     rows = written(rows, f"{tag}-stats")
