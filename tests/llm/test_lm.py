@@ -33,9 +33,10 @@ class Brute:
         count = lambda c: [sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]
         self.d, self.e = lm.discounts(count(pairs)), lm.discounts(count(self.kinds))
         self.free = sum(self.e[min(k, 3)] for k in self.kinds.values())
+        self.all_kinds, self.all = sum(self.kinds.values()), sum(self.raw.values())
 
     def p(self, v, w):
-        k = sum(self.kinds.values())
+        k = self.all_kinds
         low = max(self.kinds[w] - self.e[min(self.kinds[w], 3)], 0) / k + self.free / k / (len(self.raw) + 1)
         if v not in self.total:
             return low
@@ -44,7 +45,7 @@ class Brute:
 
     def score(self, text):
         last, out, base, known = 0, 0.0, 0.0, 0
-        n, v = sum(self.raw.values()), len(self.raw)
+        n, v = self.all, len(self.raw)
         words = words_of(text)
         for w in words:
             out += math.log10(self.p(last, w))
@@ -99,3 +100,38 @@ def test_empty(spark, none):
     assert lm.score(df, model).count() == 0
     one = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held_out boolean")
     assert lm.score(one, model).first().score == pytest.approx(0)
+
+
+def test_hot_contexts_are_dealt_and_summed(spark, monkeypatch):
+    """A context of a third of all tokens: its pairs lie in many shards, and all scores are as by brute force."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(x for _ in range(60) for x in ("hot", f"w{rng.integers(4000)}", f"w{rng.integers(40)}")), i % 7 == 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, held_out boolean")
+    brute = Brute([t for _, t, h in rows if not h])
+    model = lm.train(df.where("not held_out"), room=5_000, shard_bytes=4_000)
+    hot = lm.tokens(pa.array(["hot"]))[1][0]
+    assert hot in model.hot and len(model.hot) <= lm.HOT
+    contexts = np.full(500, hot)
+    assert len(set(lm._pair_shard(contexts, lm._pair_key(contexts, np.arange(500, dtype=np.uint64)), model.hot, model.shards).tolist())) > 4
+    got = sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in lm.score(df, model).collect())
+    assert np.allclose(got, sorted((i, *brute.score(t)[1:]) for i, t, _ in rows), rtol=1e-9)
+
+
+def test_a_missing_file_is_an_error(spark):
+    import glob
+    import os
+
+    df = spark.createDataFrame([(1, "a b c a b", False)], "doc_id long, text string, held_out boolean")
+    model = lm.train(df)
+    files = glob.glob(f"{model.folder}/pairs-*.key")
+    assert len(files) == model.shards
+    for f in files:
+        os.remove(f)
+    with pytest.raises(Exception, match="No such file"):
+        lm.score(df, model).collect()
+
+
+def test_one_long_text(spark):
+    df = spark.createDataFrame([(1, "a b c " * 400_000, False)], "doc_id long, text string, held_out boolean")
+    r = lm.score(df, lm.train(df)).first()
+    assert r.n_tokens == r.n_known == 1_200_001
