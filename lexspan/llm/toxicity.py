@@ -10,8 +10,10 @@ normalised by length, goes through a logistic curve to a score from 0 to 1.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +71,11 @@ def hits(automaton, folded: str) -> list[tuple[int, int, float]]:
     found = [(end - n, end, w) for end, (n, w) in automaton.iter(folded)] if automaton else []
     if all(w is not None for _, _, w in found):
         return found
-    safe = [(a, b) for a, b, w in found if w is None]
-    return [(a, b, w) for a, b, w in found if w is not None and not any(x <= a and b <= y for x, y in safe)]
+    # an exception covers a term if, of those that begin no later, the one that reaches farthest reaches its end
+    safe = sorted((a, b) for a, b, w in found if w is None)
+    starts, reach = [a for a, _ in safe], list(accumulate((b for _, b in safe), max))
+    free = lambda a, b: not (i := bisect_right(starts, a)) or reach[i - 1] < b
+    return [(a, b, w) for a, b, w in found if w is not None and free(a, b)]
 
 
 def features(automaton, folded: str) -> tuple[float, float, float, int]:
@@ -131,9 +136,11 @@ def _neighbours(lexicon: Lexicon):
                 phrases = set()
                 for a, b, _ in hits(automaton, folded):
                     term = folded[a:b]
-                    left, right = folded[:a].rsplit(None, 1)[-1:], folded[b:].split(None, 1)[:1]
-                    phrases.update(f"{w} {term}" for w in left)
-                    phrases.update(f"{term} {w}" for w in right)
+                    # folded words lie between single blanks
+                    if a > 1:
+                        phrases.add(f"{folded[folded.rfind(' ', 0, a - 1) + 1 : a - 1]} {term}")
+                    if b + 1 < len(folded):
+                        phrases.add(f"{term} {folded[b + 1 : folded.find(' ', b + 1)]}")
                 counts[bool(toxic)].update(phrases)
         words = list(counts[True].keys() | counts[False].keys())
         yield pa.RecordBatch.from_pydict({"term": words, "bad": [counts[True][w] for w in words], "good": [counts[False][w] for w in words]})
@@ -190,7 +197,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, hits, weight) of a frame (doc_id, text).
 
     A null or empty text has no hits and the score of a text without terms.
-    Repeated rows get equal scores; an empty table gives no rows.
+    Repeated rows get equal scores; an empty table gives no rows. A text costs
+    in proportion to its length, and its terms and exceptions as in sorting.
     """
 
     def run(batches):
@@ -203,4 +211,4 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 names=["doc_id", "score", "hits", "weight"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, hits int, weight double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, hits int, weight double")

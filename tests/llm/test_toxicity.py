@@ -75,3 +75,23 @@ def test_edges(spark, docs, none):
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score(none, lexicon).count() == 0
     assert toxicity.learn(none, labels.where(F.lit(False))).weights == {}
+
+
+def test_exceptions_against_every_pair():
+    """The covering test in order of places gives what comparing each term with each exception gives; long texts do not cost its square."""
+    import random
+    import time
+
+    rng = random.Random(0)
+    words = ["a", "b", "c", "d"]
+    lexicon = toxicity.Lexicon({"a": 1.0, "b c": 2.0, "c": 1.5}, ["a b", "b c d", "c c"])
+    automaton = lexicon.automaton()
+    for _ in range(300):
+        folded = " " + " ".join(rng.choices(words, k=rng.randrange(1, 30))) + " "
+        found = [(end - n, end, w) for end, (n, w) in automaton.iter(folded)]
+        safe = [(a, b) for a, b, w in found if w is None]
+        want = [(a, b, w) for a, b, w in found if w is not None and not any(x <= a and b <= y for x, y in safe)]
+        assert toxicity.hits(automaton, folded) == want
+    began = time.time()
+    toxicity.features(automaton, " " + "a b c d " * 100_000)
+    assert time.time() - began < 20
