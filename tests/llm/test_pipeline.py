@@ -3,20 +3,23 @@ from collections import Counter
 
 import corpus_pipeline
 from lexspan.llm import quality
+from tests.llm.test_near import brute_kept
 from tests.llm.test_packing import whole
-from tests.llm.test_simhash import brute_fingerprint, brute_groups
 
 
 def test_run_against_brute_force(spark, real):
-    """The verdicts of quality rules have their own brute-force test; the other stages are redone here."""
+    """The verdicts of quality rules have their own brute-force test; the other stages are redone here.
+
+    near_dedup follows the rule of the stage: five-word shingles, similarity 0.8 or more, all pairs compared exactly.
+    """
     kept = {r.doc_id for r in quality.judge(real).collect() if r.kept}
     rows = [(r.doc_id, r.text) for r in real.collect() if r.doc_id in kept]
     last = {}
     for i, t in rows:
         last[t] = max(i, last.get(t, i))
     rows = sorted((i, t) for t, i in last.items())
-    groups = brute_groups([brute_fingerprint(t, 5) for _, t in rows])
-    rows = [rows[k] for k in sorted(set(groups))]  # rows are sorted, so a group's root is its smallest id
+    stay, _ = brute_kept(rows)
+    rows = [r for r in rows if r[0] in stay]
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect()
     assert Counter({r.doc_id for r in out}) == Counter(i for i, _ in rows)
     whole(out, rows)
