@@ -44,13 +44,37 @@ def capital_number(text: Column, strict: bool = True) -> Column:
     return F.aggregate(chars, zero, step, lambda a: a["total"] + a["part"] + a["digit"])
 
 
+#: fixed values: how an amount is written, in order of priority; group 1 is the number
+CAPITALS = "[零壹贰叁肆伍陆柒捌玖拾佰仟万亿]+元(?:整|角|分)?"
+FIGURES = r"[0-9][0-9,，]*\.?[0-9]*"
+AMOUNT_FORMS = [
+    rf"(?:人民币|RMB|CNY)\s*({CAPITALS}|{FIGURES}[万亿]?元)",
+    rf"[¥￥]\s*({FIGURES}[万亿]?)",
+    rf"\$\s*({FIGURES})",
+    rf"({FIGURES}[万亿]?)[元圆]",
+    rf"(?:金额|价款|价格|总价|总金额|合同金额|报酬|费用|租金|借款)(?:为|：|:|\s)\s*[¥￥]?\s*({FIGURES}[万亿]?)[元圆]?",
+    f"({CAPITALS})",
+]
+
+
 def amounts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, raw, value): numbers with 元 or a currency sign, first of each raw text."""
-    p = r"(?:[¥￥$]\s*[0-9][0-9,]*\.?[0-9]*[万亿]?)|(?:[0-9][0-9,]*\.?[0-9]*[万亿]?[元圆])"
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(0))).alias("pos", "raw"))
-    first = rows.groupBy("doc_id", "raw").agg(F.min("pos").alias("pos"))
-    number = F.regexp_replace(F.regexp_extract("raw", r"([0-9][0-9,]*\.?[0-9]*)", 1), ",", "").try_cast("double")
-    value = number * F.when(F.contains("raw", F.lit("亿")), 1e8).when(F.contains("raw", F.lit("万")), 1e4).otherwise(1.0)
+    """(doc_id, raw, value) of amounts in figures or capitals, each raw text once, values above zero.
+
+    Every form is searched over the whole text, so an amount that two forms
+    write differently is told under both raw texts.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+
+    def form(p):
+        all_ = [F.regexp_extract_all(body, F.lit(p), F.lit(group)) for group in (0, 1)]
+        return F.zip_with(*all_, lambda raw, number: F.struct(F.trim(raw).alias("raw"), number.alias("number")))
+
+    found = [form(p) for p in AMOUNT_FORMS]
+    rows = docs.select("doc_id", F.posexplode(F.concat(*found)).alias("pos", "f")).select("doc_id", "pos", "f.*")
+    first = rows.groupBy("doc_id", "raw").agg(F.min_by("number", "pos").alias("number"))
+    figures = F.regexp_replace(F.regexp_extract("number", f"^({FIGURES})", 1), "[,，]", "").try_cast("double")
+    scaled = figures * F.when(F.contains("number", F.lit("亿")), 1e8).when(F.contains("number", F.lit("万")), 1e4).otherwise(1.0)
+    value = F.when(F.col("number").rlike("^[0-9]"), scaled).otherwise(capital_number(F.col("number")).cast("double"))
     return first.select("doc_id", "raw", value.alias("value")).where("value > 0")
 
 

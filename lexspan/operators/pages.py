@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.operators.segment import HEADER_WORDS
+
 #: fixed values: what ends a sentence, and how clause headers begin
 SENTENCE_END = r"[。！？；：.!?;:]\s*$"
 HEADERS = [
@@ -14,6 +16,7 @@ HEADERS = [
     r"Article\s+", r"Section\s+", r"Clause\s+", r"Paragraph\s+", r"Para\.?\s+", r"§\s*\d+",
     r"[（(][一二三四五六七八九十百\d]+[）)]", r"[（(][a-z][）)]", r"[IVXLCDM]+[.、\s]", r"附录", r"Appendix\s+",
 ]
+HEADERS += HEADER_WORDS
 TEXT = ("text", "title")
 
 

@@ -56,30 +56,38 @@ def json_in(text: str | None) -> str | None:
     return (fenced and _balanced(fenced.group(1).strip())) or _balanced(text)
 
 
+#: text fields of a finding: what stands for a missing one, and the longest kept
+TEXTS = {"name": (UNNAMED, 100), "category": (OTHER, 50), "description": ("", None), "clause_preview": ("", 200)}
+OPTIONAL = ("legal_basis", "suggestion")
+
+
+def _listed(value) -> list:
+    """The items of a parsed response: of an array, of an object's ``risks``, or the object itself."""
+    match value:
+        case {"risks": [*items]}:
+            return items
+        case dict():
+            return [value]
+    return value
+
+
+def _sure(value) -> float:
+    return round(float(value), 2) if isinstance(value, (int, float)) and 0 <= value <= 1 else CONFIDENCE
+
+
 def findings_in(response: str | None) -> list[dict]:
     """Findings of an array, of an object's ``risks`` or of a single object, with repaired fields.
 
     An unknown level is medium, a confidence that is no number from 0 to 1 the
     standard one; long fields are cut. Numbers in ids count all items of the list.
     """
-    value = json_in(response)
-    data = json.loads(value) if value else []
-    if isinstance(data, dict):
-        data = data["risks"] if isinstance(data.get("risks"), list) else [data]
-    out = []
-    for i, x in enumerate(data, 1):
-        if not isinstance(x, dict):
-            continue
-        level, sure = x.get("risk_level"), x.get("confidence", CONFIDENCE)
-        good = isinstance(sure, (int, float)) and 0 <= sure <= 1
-        text = lambda k, other="", x=x: str(x.get(k, other))
-        extra = {k: str(x[k]) if x.get(k) else None for k in ("legal_basis", "suggestion")}
-        out.append({
-            "id": f"LLM_RISK_{i:03d}", "rule_id": MODEL_RULE, "name": text("name", UNNAMED)[:100], "category": text("category", OTHER)[:50],
-            "risk_level": level if isinstance(level, str) and level in LEVELS else "medium", "description": text("description"),
-            "clause_preview": text("clause_preview")[:200], **extra, "confidence": round(float(sure if good else CONFIDENCE), 2),
-        })
-    return out
+    items = [(f"LLM_RISK_{n:03d}", x) for n, x in enumerate(_listed(json.loads(json_in(response) or "[]")), 1) if isinstance(x, dict)]
+    return [
+        {"id": name, "rule_id": MODEL_RULE, "risk_level": next((v for v in LEVELS if v == x.get("risk_level")), "medium"), "confidence": _sure(x.get("confidence"))}
+        | {k: str(x.get(k, other))[:most] for k, (other, most) in TEXTS.items()}
+        | {k: str(x[k]) if x.get(k) else None for k in OPTIONAL}
+        for name, x in items
+    ]
 
 
 @F.pandas_udf(StringType())

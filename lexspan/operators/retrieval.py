@@ -28,28 +28,37 @@ def ranked(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
 
 
 def expanded(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, query, expansions): the query with the variants of each term it contains; terms (term, kind, variant, expandable)."""
-    hit = F.contains(F.col("query"), F.col("term")) & ((F.col("kind") == "exact") | F.col("expandable"))
-    joined = queries.join(F.broadcast(terms.where("kind <> 'force'")), hit, "left")
-    rows = joined.groupBy("query_id", "query").agg(F.collect_set("variant").alias("v"))
-    return rows.select("query_id", "query", F.array_sort(F.array_union(F.array("query"), "v")).alias("expansions"))
+    """(query_id, query, expansions): the query with the variants of each term that it names; terms (term, kind, variant, expandable).
 
-
-def keyword_search(queries: DataFrame, corpus: DataFrame, k: int, legal: list[str] = (), least: float = 0.1) -> DataFrame:
-    """queries (query_id, query, expansions) against corpus (ord, title, content, keywords).
-
-    0.5 for the whole query, 0.2 for each other expansion, 0.4 or 0.15 for each
-    entry keyword (a legal term or not), 0.3 or 0.15 for the title; at most 2.
+    A query names a term by the term itself or by one of its exact variants.
+    """
+    usable = terms.where("kind <> 'force'")
+    names = usable.select("term", F.col("term").alias("name")).unionByName(usable.where("kind = 'exact'").select("term", F.col("variant").alias("name"))).distinct()
+    named = queries.join(F.broadcast(names), F.contains(F.col("query"), F.col("name"))).select("query_id", "term").distinct()
+    more = usable.where("kind = 'exact' or expandable").select("term", "variant")
+    found = named.join(F.broadcast(more), "term").groupBy("query_id").agg(F.collect_set("variant").alias("v"))
+    rows = queries.join(found, "query_id", "left")
+    return rows.select("query_id", "query", F.array_sort(F.array_union(F.array("query"), F.coalesce("v", F.array().cast("array<string>")))).alias("expansions"))
+
+
+def keyword_search(queries: DataFrame, corpus: DataFrame, k: int, legal: list[str] = (), least: float = 0.1, strict: bool = False) -> DataFrame:
+    """queries (query_id, query, expansions) against corpus (ord, law, article, title, content, keywords).
+
+    0.5 for the query in an entry's text (all of those columns), 0.2 for each
+    expansion in it, the query being one; 0.4 or 0.15 for each entry keyword (a
+    legal term or not); 0.3 for the query in the title and 0.15 for each
+    expansion in it; at most 2. strict: entries without any expansion score 0.
     """
     q, e = F.lower("query"), F.transform("expansions", lambda x: F.lower(x))
-    text = F.lower(F.concat_ws(" ", "title", "content", F.array_join("keywords", " ")))
-    base = F.when(F.contains(text, q), 0.5).otherwise(0.0)
-    more = 0.2 * F.size(F.filter(e, lambda x: (x != q) & F.contains(text, x)))
+    parts = [c for c in ("law", "article", "title", "content") if c in corpus.columns]
+    text, title = F.lower(F.concat_ws(" ", *parts, F.array_join("keywords", " "))), F.lower("title")
+    inside = lambda where: F.size(F.filter(e, lambda x: F.contains(where, x)))
     special = F.size(F.filter("keywords", lambda x: x.isin(*legal))) if legal else F.lit(0)
-    words = 0.4 * special + 0.15 * (F.size("keywords") - special)
-    title = F.when(F.contains(F.lower("title"), q), 0.3).when(F.exists(e, lambda x: F.contains(F.lower("title"), x)), 0.15).otherwise(0.0)
-    any_hit = F.exists(e, lambda x: F.contains(text, x))
-    scored = corpus.crossJoin(F.broadcast(queries)).select("query_id", "ord", F.when(any_hit, F.least(F.lit(2.0), base + more + words + title)).otherwise(0.0).alias("score"))
+    score = F.when(F.contains(text, q), 0.5).otherwise(0.0) + 0.2 * inside(text) + 0.4 * special + 0.15 * (F.size("keywords") - special)
+    score = F.least(F.lit(2.0), score + F.when(F.contains(title, q), 0.3).otherwise(0.0) + 0.15 * inside(title))
+    if strict:
+        score = F.when(inside(text) > 0, score).otherwise(0.0)
+    scored = corpus.crossJoin(F.broadcast(queries)).select("query_id", "ord", score.alias("score"))
     return ranked(scored.where(F.col("score") > least), ["query_id"], [F.desc("score"), "ord"], k)
 
 
@@ -148,3 +157,38 @@ def cited_freshness(cited: DataFrame, provisions: DataFrame, cases: DataFrame, a
     p = p.withColumns({"item_type": F.lit("provision"), "severity": stale})
     c = c.withColumns({"item_type": F.lit("case"), "severity": F.when(F.col("days") > days, "warning")})
     return p.select(*columns).unionByName(c.select(*columns)).where("severity is not null")
+
+
+def _relevance(text: Column, keywords: Column, title: Column, same: Column) -> Column:
+    """0.3 for each provision keyword and for the title in the text, 0.2 for the same category; at most 1."""
+    words = F.size(F.filter(keywords, lambda w: F.contains(text, F.lower(w))))
+    named = (F.length(title) > 0) & F.contains(text, F.lower(title))
+    return F.least(F.lit(1.0), 0.3 * words + F.when(named, 0.3).otherwise(0.0) + F.when(same, 0.2).otherwise(0.0))
+
+
+def statutes(risks: DataFrame, hybrid: DataFrame, provisions: DataFrame, k: int = 5, enough: int = 3) -> DataFrame:
+    """(risk_id, ord, law, article, reason, score, rank): the k provisions that fit a risk best.
+
+    risks are (risk_id, description, category, expansions), hybrid the fused
+    search (query_id, ord, score) of their descriptions. Where it has fewer than
+    ``enough`` provisions, those of other articles that score over 0.3 by
+    keywords, title and category join them, by the description or, below 0.3,
+    by its best expansion. provisions are a reference table, told to all tasks.
+    """
+    law = provisions.select("ord", "law", "article", "title", "keywords", F.col("category").alias("p_category"))
+    found = hybrid.select(F.col("query_id").alias("risk_id"), "ord", "score").join(F.broadcast(law), "ord")
+    few = risks.join(found.groupBy("risk_id").agg(F.count("*").alias("n")), "risk_id", "left").where(F.coalesce("n", F.lit(0)) < enough).drop("n")
+    same = F.coalesce((F.col("category") != "") & (F.col("category") == F.col("p_category")), F.lit(False))
+    by = lambda text: _relevance(text, F.col("keywords"), F.col("title"), same)
+    own = by(F.lower("description"))
+    best = F.array_max(F.transform(F.filter("expansions", lambda x: x != F.col("description")), lambda x: by(F.lower(x))))
+    score = F.when(own < 0.3, F.greatest(own, F.coalesce(best, F.lit(0.0)))).otherwise(own)
+    # a provision can only pass 0.3 if some text of the risk names it
+    texts = F.lower(F.concat_ws("\n", "description", "expansions"))
+    names = F.exists("keywords", lambda w: F.contains(texts, F.lower(w))) | F.contains(texts, F.lower("title"))
+    others = few.join(F.broadcast(law), names).select("risk_id", *law.columns, score.alias("score")).where("score > 0.3")
+    others = others.join(found.select("risk_id", "article").distinct(), ["risk_id", "article"], "left_anti")
+    both = found.withColumn("place", F.lit(0)).unionByName(others.withColumn("place", F.lit(1)), allowMissingColumns=True).join(risks.select("risk_id", "description"), "risk_id")
+    named = F.filter("keywords", lambda w: F.contains(F.lower("description"), F.lower(w)))
+    both = both.withColumn("reason", F.when(F.size(named) > 0, F.concat(F.lit("匹配关键词："), F.array_join(named, ", "))).otherwise(F.lit("与风险描述相关")))
+    return ranked(both, ["risk_id"], [F.desc("score"), "place", "ord"], k).select("risk_id", "ord", "law", "article", "reason", "score", "rank")

@@ -106,15 +106,17 @@ def deduplicated(risks: DataFrame, limit: float = 0.8) -> DataFrame:
 def traced(risks: DataFrame, clauses: DataFrame) -> DataFrame:
     """risks (doc_id, ord, name, clause_title, clause_preview, keywords) with the clause each is about.
 
-    In this order: titles contain one another, content starts with 40
-    characters of the preview, content contains 50 of it, most keywords.
+    In this order: titles contain one another; for previews of over 20
+    characters, content starts with 40 of them or contains 50; most keywords in
+    any case. Risks of documents without clauses have no clause.
     """
     r, c = risks.alias("r"), clauses.select("doc_id", "clause_id", "title", "content").alias("c")
     title, preview = F.coalesce("r.clause_title", F.lit("")), F.coalesce("r.clause_preview", F.lit(""))
     named = (F.length(title) > 0) & (F.length(F.coalesce("c.title", F.lit(""))) > 0) & (F.contains(F.col("c.title"), title) | F.contains(title, F.col("c.title")))
     starts = (F.length(preview) > 20) & F.startswith(F.col("c.content"), F.substring(preview, 1, 40))
-    inside = (F.length(preview) > 0) & F.contains(F.col("c.content"), F.substring(preview, 1, 50))
-    words = F.size(F.filter(F.col("r.keywords"), lambda k: F.contains(F.col("c.content"), k)))
+    inside = (F.length(preview) > 20) & F.contains(F.col("c.content"), F.substring(preview, 1, 50))
+    content = F.lower("c.content")
+    words = F.size(F.filter(F.col("r.keywords"), lambda k: F.contains(content, F.lower(k))))
     joined = r.join(c, F.col("r.doc_id") == F.col("c.doc_id"), "left").select(
         "r.*", F.col("c.clause_id").alias("linked_clause"), F.col("c.title").alias("linked_title"),
         F.when(named, 1).when(starts, 2).when(inside, 3).when(words > 0, 4).otherwise(9).alias("strategy"), F.when(~(named | starts | inside), words).otherwise(0).alias("score"),

@@ -59,17 +59,21 @@ def clauses(docs: DataFrame, patterns=HEADERS, words=HEADER_WORDS, text: str = "
 def pieces(docs: DataFrame, most: int = 5000, text: str = "text") -> DataFrame:
     """Greedy cuts of up to most characters: at a blank line, else a line end, else a full stop past a third, else hard.
 
-    The cut character stays with its piece and a hard cut takes one more.
+    The cut character stays with its piece and a hard cut takes one more. A
+    text that needs no cut is one piece as it is, an empty or null one an empty
+    piece; a blank rest behind the last cut is dropped.
     """
     import pyarrow as pa
 
     def cut(t: str) -> list[str]:
+        if len(t) <= most:
+            return [t]
         out = []
         while len(t) > most:
             at = next((i for i in (t.rfind(x, 0, most) for x in ("\n\n", "\n", "。")) if i >= most // 3), most)
             out.append(t[: at + 1])
             t = t[at + 1 :]
-        return [*out, t] if t else out
+        return [*out, t] if t.strip() else out
 
     def run(batches):
         for b in batches:

@@ -20,11 +20,15 @@ def _number(token: Column) -> Column:
 def clause_number(title: Column) -> dict[str, Column]:
     """level and number of a title, null for one without number."""
     cn = "[一二三四五六七八九十百千0-9]+"
+    sign = r"[.．、]"
+    deep = [(n, name) for n, name in ((1, "paragraph"), (2, "subitem"), (3, "item"))]
     forms = [
-        (f"^第({cn})章", "chapter"), (f"^第({cn})节", "section"), (f"^第({cn})条", "article"), (r"^Article\s+([0-9]+)", "article"), (r"^Section\s+([0-9]+)", "section"),
-        (r"^[0-9]+\.[0-9]+\.[0-9]+\.([0-9]+)[\s.]", "item"), (r"^[0-9]+\.[0-9]+\.([0-9]+)[\s.]", "subitem"), (r"^[0-9]+\.([0-9]+)[\s.]", "paragraph"), (r"^([0-9]+)\.", "article"),
-        ("^([一二三四五六七八九十]+)、", "article"), ("^[（(]([一二三四五六七八九十]+)[）)]", "item"),
+        (f"^第({cn})章", "chapter"), (f"^第({cn})节", "section"), (f"^第({cn})条", "article"), (r"^Article\s+([0-9]*)", "article"), (r"^Section\s+([0-9]*)", "section"),
+        (rf"^[0-9]+(?:\.[0-9]+){{3,}}\.([0-9]+)(?:\s|{sign})", "item"),
+        *[(rf"^[0-9]+(?:\.[0-9]+){{{n - 1}}}\.([0-9]+)(?:\s|{sign})", name) for n, name in reversed(deep)], (rf"^([0-9]+){sign}", "article"),
+        (f"^([一二三四五六七八九十]+){sign}", "article"), ("^[（(]([一二三四五六七八九十0-9]+)[）)]", "item"),
     ]
+    title = F.trim(title)
     level, number = F.lit(None).cast("string"), F.lit(None).cast("int")
     for p, name in reversed(forms):
         token = F.regexp_extract(title, p, 1)
@@ -55,21 +59,23 @@ def clause_tree(titles: DataFrame, key: str = "doc_id", order: str = "ord") -> D
     return df.withColumn("parent", parent.cast("long"))
 
 
-def reading_order(blocks: DataFrame) -> DataFrame:
+def reading_order(blocks: DataFrame, page_width: str = "page_width") -> DataFrame:
     """blocks (doc_id, page_index, block_id, block_type, x1, y1, x2, y2) with columns and reading_order.
 
     A page has two columns where at least 4 text blocks have area, both halves
     hold 30 % of them and the medians of the halves are over 10 % of the width
-    apart. Headers first, footers last, content by column, then y, then x.
+    apart; the width is the page's, where blocks state it, else the largest x2. Headers first, footers last, content by column, then y, then x.
     """
     page = ["doc_id", "page_index"]
     p = Window.partitionBy(*page)
     text = F.col("block_type").isin("text", "title") & ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) > 0)
-    df = blocks.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "width": F.max("x2").over(p), "text": text})
+    width = F.col(page_width) if page_width in blocks.columns else F.max("x2").over(p)
+    df = blocks.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "width": width, "text": text})
     df = df.withColumn("left", F.col("cx") < F.col("width") / 2)
     n, nl = F.count_if("text").over(p), F.count_if(F.col("text") & F.col("left")).over(p)
-    ml = F.median(F.when(F.col("text") & F.col("left"), F.col("cx"))).over(p)
-    mr = F.median(F.when(F.col("text") & ~F.col("left"), F.col("cx"))).over(p)
+    # of an even number of centres the upper middle one
+    middle = lambda mine: F.get(F.sort_array(v := F.collect_list(F.when(F.col("text") & mine, F.col("cx"))).over(p)), F.floor(F.size(v) / 2).cast("int"))
+    ml, mr = middle(F.col("left")), middle(~F.col("left"))
     two = (n >= 4) & (nl >= 0.3 * n) & (n - nl >= 0.3 * n) & (mr - ml > 0.1 * F.col("width"))
     df = df.withColumn("n_columns", F.when(F.coalesce(two, F.lit(False)), 2).otherwise(1))
     kind = F.when(F.col("block_type") == "header", 0).when(F.col("block_type") == "footer", 3).when((F.col("n_columns") == 2) & ~F.col("left"), 2).otherwise(1)

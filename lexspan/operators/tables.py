@@ -2,66 +2,58 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan.functions.markup import Mark, marks
+
 NESTED = "[嵌套表格]"  # fixed value: stands for a table inside a cell
 CELL = "struct<content:string,row_span:int,col_span:int,is_header:boolean>"
 
 
-class _Cells(HTMLParser):
-    """Cells of outer tables. ``depth`` counts open tables; only depth one (or a stray cell outside any) writes cells."""
-
-    def __init__(self):
-        super().__init__()
-        self.rows, self.row, self.cell, self.depth = [], [], None, 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.depth += 1
-            if self.depth > 1 and self.cell:
-                self.cell["text"].append(NESTED)
-        elif self.depth > 1:
-            return
-        elif tag == "tr":
-            self.row = []
-        elif tag in ("td", "th"):
-            span = dict(attrs)
-            self.cell = {"text": [], "head": tag == "th", "spans": [max(1, int(span.get(k) or 1)) for k in ("rowspan", "colspan")]}
-        elif tag == "br" and self.cell:
-            self.cell["text"].append("\n")
-
-    def handle_endtag(self, tag):
-        if tag == "table":
-            self.depth = max(0, self.depth - 1)
-        elif self.depth > 1:
-            return
-        elif tag in ("td", "th") and self.cell:
-            self.row.append(("".join(self.cell["text"]).strip(), *self.cell["spans"], self.cell["head"]))
-            self.cell = None
-        elif tag == "tr" and self.row:
-            self.rows.append(self.row)
-            self.row = []
-
-    def handle_data(self, data):
-        if self.cell and self.depth <= 1:
-            self.cell["text"].append(data)
+def _outer(found: list[Mark]) -> list[tuple[Mark, str]]:
+    """(mark, text after it) of all marks that lie in no inner table; an inner table leaves the mark that opens it, as NESTED."""
+    depths = list(accumulate(found, lambda d, m: d if m.tag != "table" else max(0, d - 1) if m.closes else d + 1, initial=0))
+    out = []
+    for m, before, after in zip(found, depths, depths[1:]):
+        if after <= 1:
+            # the end of an inner table is no mark of the outer one, but what follows it is text of the outer one
+            inner_end = before > 1
+            lead = "\n" if m.tag == "br" and not m.closes else ""
+            out.append((Mark() if inner_end else m, lead + "".join(m.chunks)))
+        elif m.tag == "table" and not m.closes:
+            out.append((Mark(), NESTED))
+    return out
+
+
+def _span(m: Mark, name: str) -> int:
+    return max(1, int(m.attributes.get(name) or 1))
 
 
 def cells_of(html: str | None) -> list[list[tuple[str, int, int, bool]]]:
-    """Rows of (content, row_span, col_span, is_header); none without a table or where a span is no number."""
+    """Rows of (content, row_span, col_span, is_header); none without a table or where a span is no number.
+
+    A cell is an opening td or th whose next td or th closes; a row holds the
+    cells that close between its end and the row mark before that.
+    """
     if not html or "<table" not in html.lower():
         return []
-    p = _Cells()
+    outer = _outer(marks(html))
+    at = lambda *tags: [i for i, (m, _) in enumerate(outer) if m.tag in tags]
+    edges, ends = at("td", "th"), at("tr")
     try:
-        p.feed(html)
-        p.close()
+        spans = {i: (_span(outer[i][0], "rowspan"), _span(outer[i][0], "colspan")) for i in edges if not outer[i][0].closes}
     except ValueError:
         return []
-    return p.rows
+    cells = {
+        j: ("".join(text for _, text in outer[i:j]).strip(), *spans[i], outer[i][0].tag == "th")
+        for i, j in pairwise(edges) if i in spans and j not in spans
+    }
+    rows = [[cell for j, cell in cells.items() if a < j < b] for a, b in pairwise([-1, *ends]) if outer[b][0].closes]
+    return [row for row in rows if row]
 
 
 def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -142,3 +142,44 @@ def test_tracked_changes(spark):
     df = spark.createDataFrame([(1, tracked()), (2, b"no file"), (3, None)], "doc_id long, content binary")
     rows = [(x.doc_id, x.ord, x.kind, x.content, x.author, x.date) for x in word.tracked_changes(df).collect()]
     assert sorted(rows) == [(1, 0, "comment", "why", "B", None), (1, 1, "insert", "new", "A", "2024-01-02"), (1, 2, "delete", "old", word.UNKNOWN, None)]
+
+
+def test_risks_are_linked_by_each_strategy(spark):
+    from lexspan.operators import rules
+
+    clauses = spark.createDataFrame([(1, 1, "Payment", "The buyer pays within thirty days of delivery."), (1, 2, "Liability", "The seller is LIABLE for short delays, and for defects of the goods.")], "doc_id long, clause_id long, title string, content string")
+    risks = [
+        (1, 1, "r", "Liability clause", "", []), (1, 2, "r", "", "The buyer pays within thirty", []), (1, 3, "r", "", "liable is not here but this is long", []), (1, 4, "r", "", "is LIABLE for short delays", []),
+        (1, 5, "r", "", "short", []), (1, 6, "r", "", "", ["liable", "Defects"]), (1, 7, "r", "", "", ["none"]), (2, 1, "r", "", "", ["liable"]),
+    ]
+    df = spark.createDataFrame(risks, "doc_id long, ord long, name string, clause_title string, clause_preview string, keywords array<string>")
+    got = {(r.doc_id, r.ord): (r.linked_clause, r.strategy) for r in rules.traced(df, clauses).collect()}
+    assert got == {(1, 1): (2, 1), (1, 2): (1, 2), (1, 3): (None, None), (1, 4): (2, 3), (1, 5): (None, None), (1, 6): (2, 4), (1, 7): (None, None), (2, 1): (None, None)}
+
+
+def test_ends_of_segments(spark):
+    from lexspan.operators import segment
+
+    texts = {1: "", 2: None, 3: "x" * 5 + "   ", 4: "abcdefgh", 5: "a\n" * 6}
+    out = segment.pieces(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), most=4).collect()
+    got = {i: [r.content for r in sorted(out, key=lambda r: r.piece) if r.doc_id == i] for i in texts}
+    assert got == {1: [""], 2: [""], 3: ["xxxxx"], 4: ["abcde", "fgh"], 5: ["a\na\n", "a\na\n", "a\na\n"]}
+
+
+def test_columns_by_the_page_width(spark):
+    """Of four centres the upper middle one counts, and the page's width, not that of its text."""
+    from lexspan.operators import structure
+
+    rows = [(1, 0, f"b{i}", "text", x, 10.0 * i, x + 2, 10.0 * i + 5, w) for w in (100.0,) for i, x in enumerate((10.0, 20.0, 54.0, 60.0))]
+    rows += [(2, *r[1:8], 300.0) for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, block_id string, block_type string, x1 double, y1 double, x2 double, y2 double, page_width double")
+    assert {(r.doc_id, r.n_columns) for r in structure.reading_order(df).collect()} == {(1, 2), (2, 1)}
+
+
+def test_cells_and_texts_of_nested_html():
+    from lexspan.sources import files
+
+    page = "<table><tr><th colspan=2>h<br>i</th></tr><tr><td>a<table><tr><td>in</td></tr></table>b</td><td>c</td></tr><tr><td>open</tr><tr><td rowspan='2'>&amp;x</td></tr></table>"
+    assert tables.cells_of(page) == [[("h\ni", 1, 2, True)], [("a[嵌套表格]b", 1, 1, False), ("c", 1, 1, False)], [("&x", 2, 1, False)]]
+    assert tables.cells_of("<table><tr><td colspan=x>a</td></tr></table>") == []
+    assert files.html_text("<head><title>t</title></head><p> a <b>b</b> c</p><script>no</script>d<br/>e\n\n<li>f</li>") == "tabc\nd\nef"
