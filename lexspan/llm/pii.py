@@ -246,6 +246,9 @@ def discover(scanned: DataFrame, tag: str = "pii") -> DataFrame | None:
         )
         scores = written(seeds.unionByName(new), f"{tag}-scores{r}")
     high = scores.where(F.col("score") >= ACCEPT).select(F.col("v").alias("hv"), F.col("kind").alias("hk"), "score")
+    # most scores are the seeds' own; only values that occur outside base spans are told to the copies of the join
+    loose = seen.where("kind is null").select(F.col("v").alias("loose")).distinct()
+    high = written(high.join(loose, F.col("hv") == F.col("loose"), "left_semi"), f"{tag}-high")
     found = _dealt(seen.where("kind is null"), high, F.col("v") == F.col("hv"), F.xxhash64("row", "s"))
     sure = sure.select(F.col("p").alias("cp"), F.col("kind").alias("ck"), "confidence")
     added = _dealt(found, sure, (F.col("p") == F.col("cp")) & (F.col("hk") == F.col("ck")), F.xxhash64("row", "s"))
