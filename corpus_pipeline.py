@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspan.llm import exact_dedup, mixing, packing, quality, scratch, simhash
+from lexspan.llm.queries import DEFAULT_TARGET, TARGETS
 
 
 def _quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,9 @@ def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the schedule of their sources."""
+    """All documents, in the order of the schedule of their sources by op6's target weights."""
     scratch.forget(spark, "pipeline-")
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, targets=TARGETS, default=DEFAULT_TARGET, tag="pipeline-mix")
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
