@@ -28,7 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~_split("doc_id", 4))
-    lexicon = toxicity.learn(docs, labels)
+    lexicon = toxicity.learn(docs, labels, tag="op1")
     rows = toxicity.score(docs, lexicon)
     return rows.select("doc_id", _split("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "hits")
 

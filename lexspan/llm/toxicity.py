@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.llm import scratch
+
 #: look-alikes of the Latin letters below them, and signs that stand for letters (fixed values); l folds to i as 1 may be either
 LOOK_ALIKES = "аɑαвьсϲԁеєёεһніїιıјκкӏмոոопοσрρгѕтτυսνѵωѡхχуγүz"
 LATIN_____ = "aaabbccdeeeehhiiiijkkimnnonooppgsttuuvvwwxxyyyz"
@@ -107,77 +109,108 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(map(float, b))
 
 
-def _word_counts(batches):
-    """(word, toxic texts, clean texts) partial sums over (text, toxic)."""
-    counts = {True: Counter(), False: Counter()}
-
-    def out():
-        words = list(counts[True].keys() | counts[False].keys())
-        yield pa.RecordBatch.from_pydict({"term": words, "bad": [counts[True][w] for w in words], "good": [counts[False][w] for w in words]})
-
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-            counts[bool(toxic)].update(set(fold(text.as_py() or "").split()))
-        if len(counts[True]) + len(counts[False]) > 300_000:
-            yield from out()
-            counts = {True: Counter(), False: Counter()}
-    yield from out()
-
-
-def _neighbours(lexicon: Lexicon):
-    """(phrase, toxic texts, clean texts) of the two-word phrases around terms."""
+def _counted(items_of):
+    """Partial sums (term, toxic texts, clean texts) over (folded, toxic) of the distinct items of each text."""
 
     def run(batches):
-        automaton = lexicon.automaton()
+        items = items_of()
         counts = {True: Counter(), False: Counter()}
+
+        def out():
+            words = list(counts[True].keys() | counts[False].keys())
+            yield pa.RecordBatch.from_pydict({"term": words, "bad": [counts[True][w] for w in words], "good": [counts[False][w] for w in words]})
+
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                folded = fold(text.as_py() or "")
-                phrases = set()
-                for a, b, _ in hits(automaton, folded):
-                    term = folded[a:b]
-                    # folded words lie between single blanks
-                    if a > 1:
-                        phrases.add(f"{folded[folded.rfind(' ', 0, a - 1) + 1 : a - 1]} {term}")
-                    if b + 1 < len(folded):
-                        phrases.add(f"{term} {folded[b + 1 : folded.find(' ', b + 1)]}")
-                counts[bool(toxic)].update(phrases)
-        words = list(counts[True].keys() | counts[False].keys())
-        yield pa.RecordBatch.from_pydict({"term": words, "bad": [counts[True][w] for w in words], "good": [counts[False][w] for w in words]})
+            for folded, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                counts[bool(toxic)].update(items(folded.as_py()))
+            if len(counts[True]) + len(counts[False]) > 300_000:
+                yield from out()
+                counts = {True: Counter(), False: Counter()}
+        yield from out()
 
     return run
 
 
+def _words():
+    return lambda folded: set(folded.split())
+
+
+def _neighbours(weights: dict[str, float]):
+    """The two-word phrases around the terms of a text."""
+
+    def make():
+        automaton = Lexicon(weights).automaton()
+
+        def items(folded):
+            phrases = set()
+            for a, b, _ in hits(automaton, folded):
+                term = folded[a:b]
+                # folded words lie between single blanks
+                if a > 1:
+                    phrases.add(f"{folded[folded.rfind(' ', 0, a - 1) + 1 : a - 1]} {term}")
+                if b + 1 < len(folded):
+                    phrases.add(f"{term} {folded[b + 1 : folded.find(' ', b + 1)]}")
+            return phrases
+
+        return items
+
+    return make
+
+
 _COUNTS = "term string, bad long, good long"
 
 
-def learn(texts: DataFrame, labels: DataFrame, rows: int = 40_000, terms: int = 2_000) -> Lexicon:
+def _folded(batches):
+    for batch in batches:
+        folded = pa.array([fold(t.as_py() or "") for t in batch.column(0)], pa.string())
+        yield pa.RecordBatch.from_arrays([folded, batch.column(1).cast(pa.int32()), batch.column(2)], names=["folded", "toxic", "half"])
+
+
+def _lexicon(rows: DataFrame) -> Lexicon:
+    """Terms and exceptions of rows (folded, toxic); none without labels of both kinds."""
+    totals = {bool(r[0]): r[1] for r in rows.groupBy(F.col("toxic") > 0).agg(F.count("*")).collect()}
+    bad, good = totals.get(True, 0), totals.get(False, 0)
+    if not bad or not good:
+        return Lexicon({})
+    rows = rows.select("folded", "toxic")
+    summed = lambda items: rows.mapInArrow(_counted(items), _COUNTS).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
+    # likelihood ratio of one rate for both kinds against two; 25 is five standard deviations, at small counts too
+    texts = F.col("bad") + F.col("good")
+    part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / (of * texts / (bad + good)))).otherwise(0.0)
+    g = 2 * sum((part(F.col(c), n) + part(n - F.col(c), n * (bad + good - texts) / texts) for c, n in (("bad", bad), ("good", good))), F.lit(0.0))
+    found = summed(_words).where("bad >= 5").select("term", ratio.alias("w"), g.alias("g")).where("w >= 1.5 and g >= 25").collect()
+    lexicon = Lexicon({r.term: float(r.w) for r in sorted(found, key=lambda r: r.term)})
+    if lexicon.weights:
+        lexicon.exceptions = sorted(r.term for r in summed(_neighbours(lexicon.weights)).where("good >= 8 and bad = 0").select("term").collect())
+    return lexicon
+
+
+def learn(texts: DataFrame, labels: DataFrame, rows: int = 40_000, tag: str = "toxicity") -> Lexicon:
     """A lexicon from texts (doc_id, text) with labels (doc_id, toxic).
 
     At most ``rows`` labelled ids, by hash, are used, so that the labels fit a
-    broadcast; the lexicon holds at most ``terms`` terms and as many
-    exceptions. A term is a folded word that is far likelier in toxic texts
-    than in others; an exception is a phrase of two words around a term that is
-    met in others only. Without labels of both kinds the lexicon is empty.
+    broadcast; their texts are folded and written once. A term is a folded word
+    that is far likelier in toxic texts than in others; an exception is a phrase
+    of two words around a term that is met in others only. Terms stand in five
+    toxic texts of the sample and exceptions in eight others at least, and
+    nothing else bounds their number. Each half of the sample chooses a lexicon
+    for the other half's features, on which the curve is fitted, so no text
+    helps to choose the terms that its own features count; the lexicon that
+    scores is of both halves. Without labels of both kinds the lexicon is empty
+    and the score is the share of toxic labels.
     """
     sample = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(rows)
-    mine = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    totals = {bool(r[0]): r[1] for r in mine.groupBy(F.col("toxic") > 0).agg(F.count("*")).collect()}
-    bad, good = totals.get(True, 0), totals.get(False, 0)
-    if not bad or not good:
-        return Lexicon({}, [], (np.log((bad + 0.5) / (good + 0.5)), 0.0, 0.0, 0.0))
-    sums = mine.mapInArrow(_word_counts, _COUNTS).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    z = ratio / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    found = sums.where(F.col("bad") >= 5).select("term", ratio.alias("w"), z.alias("z")).where("w >= 1.5 and z >= 5")
-    found = found.orderBy(F.desc("z"), "term").limit(terms).collect()
-    lexicon = Lexicon({r.term: float(r.w) for r in found})
-    if lexicon.weights:
-        around = mine.mapInArrow(_neighbours(lexicon), _COUNTS).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        safe = around.where("good >= 8 and bad = 0").orderBy(F.desc("good"), "term").limit(terms).collect()
-        lexicon.exceptions = [r.term for r in safe]
-    table = _featured(mine, lexicon).toPandas()  # at most ``rows`` rows of four numbers
+    mine = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic", (F.xxhash64(F.lit("half"), "doc_id") % 2 == 0).alias("half"))
+    mine = scratch.written(mine.mapInArrow(_folded, "folded string, toxic int, half boolean"), f"{tag}-sample")
+    lexicon = _lexicon(mine)
+    if not lexicon.weights:
+        bad, good = (mine.where(x).count() for x in ("toxic > 0", "not toxic > 0"))
+        lexicon.coefficients = (float(np.log((bad + 0.5) / (good + 0.5))), 0.0, 0.0, 0.0)
+        return lexicon
+    halves = [_featured(mine.where(F.col("half") == side), _lexicon(mine.where(F.col("half") != side))) for side in (True, False)]
+    table = halves[0].unionByName(halves[1]).toPandas()  # at most ``rows`` texts, four numbers each
     lexicon.coefficients = fit_curve(table[["a", "b", "c"]].to_numpy(), (table.toxic > 0).to_numpy(float))
     return lexicon
 
@@ -186,11 +219,11 @@ def _featured(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches):
         automaton = lexicon.automaton()
         for batch in batches:
-            x = [features(automaton, fold(t.as_py() or ""))[:3] for t in batch.column(0)]
+            x = [features(automaton, t.as_py())[:3] for t in batch.column(0)]
             a, b, c = zip(*x) if x else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()) for v in (a, b, c)] + [batch.column(1).cast(pa.int32())], names=["a", "b", "c", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()) for v in (a, b, c)] + [batch.column(1)], names=["a", "b", "c", "toxic"])
 
-    return rows.mapInArrow(run, "a double, b double, c double, toxic int")
+    return rows.select("folded", "toxic").mapInArrow(run, "a double, b double, c double, toxic int")
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

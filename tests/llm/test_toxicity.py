@@ -95,3 +95,61 @@ def test_exceptions_against_every_pair():
     began = time.time()
     toxicity.features(automaton, " " + "a b c d " * 100_000)
     assert time.time() - began < 20
+
+
+def brute_lexicon(rows):
+    """Terms and exceptions of (text, toxic), counted text by text."""
+    import math
+    from collections import Counter
+
+    bad, good = sum(t > 0 for _, t in rows), sum(not t > 0 for _, t in rows)
+    if not bad or not good:
+        return toxicity.Lexicon({})
+    folded = [(toxicity.fold(x).split(), t > 0) for x, t in rows]
+    seen = {kind: Counter(w for words, t in folded if t is kind for w in set(words)) for kind in (True, False)}
+    weights = {}
+    for w, b in seen[True].items():
+        g = seen[False][w]
+        cells = [(b, bad, b + g), (bad - b, bad, bad + good - b - g), (g, good, b + g), (good - g, good, bad + good - b - g)]
+        ratio = 2 * sum(n * math.log(n * (bad + good) / (of * all_)) for n, of, all_ in cells if n)
+        weight = math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1))
+        if b >= 5 and weight >= 1.5 and ratio >= 25:
+            weights[w] = weight
+    around = {True: Counter(), False: Counter()}
+    for words, t in folded:
+        pairs = {f"{x} {y}" for x, y in zip(words, words[1:]) if x in weights or y in weights}
+        around[t].update(pairs)
+    return toxicity.Lexicon(weights, sorted(p for p, n in around[False].items() if n >= 8 and not around[True][p]))
+
+
+def test_query_against_brute_force(spark):
+    """op1 as registered: split, lexicon of all, curve on halves that chose no term of their own, scores and verdicts."""
+    import zlib
+
+    from lexspan.llm.queries import op1_toxicity
+
+    sf = "/root/testdata/sf0.01"
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("half", F.xxhash64(F.lit("half"), "doc_id") % 2 == 0).collect()
+    rows = [(texts[r.doc_id], r.toxic, r.half) for r in labels if r.toxic is not None and r.doc_id in texts and not out(r.doc_id)]
+    full = brute_lexicon([r[:2] for r in rows])
+    halves = {side: brute_lexicon([r[:2] for r in rows if r[2] is not side]) for side in (True, False)}
+    x = [toxicity.features(halves[h].automaton(), toxicity.fold(t))[:3] for t, _, h in rows]
+    full.coefficients = toxicity.fit_curve(np.array(x), np.array([t > 0 for _, t, _ in rows], float))
+    assert full.weights
+    got = {r.doc_id: r for r in op1_toxicity(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        want = toxicity.probability(full.coefficients, toxicity.features(full.automaton(), toxicity.fold(t))[:3])[0]
+        assert got[i].score == pytest.approx(want, abs=1e-9)
+        assert got[i].held_out is out(i) and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_nothing_bounds_the_lexicon(spark):
+    """3,000 words of toxic texts alone are 3,000 terms, and as many phrases of other texts alone exceptions."""
+    bad = [(i, " ".join(f"bad{k}x" for k in range(3000)), 1) for i in range(40)]
+    good = [(100 + i, " ".join(f"bad{k}x safe{k}x" for k in range(2500)) if i < 9 else "calm", 0) for i in range(400)]
+    rows = spark.createDataFrame(bad + good, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert len(lexicon.weights) == 3000 and len(lexicon.exceptions) >= 2500
