@@ -2,48 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.edit import difference, indel_ratio
 from lexspan.functions.text import grams, jaccard, occurrences, similarity
 from lexspan.operators import classify, dialog, entities, metadata, pages as layout, privacy, redline, report, responses, retrieval, rules, segment, structure, tables
 from lexspan.plans.packs import BUYER, LATIN, LEVELS, NEUTRAL, Playbook, Rule
+from lexspan.registry import ORACLE_SQL, QUERIES, fixture, lit, query, table, values  # noqa: F401
 from lexspan.sources import files, word
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def lit(x) -> str:
-    return "'" + str(x).replace("'", "''") + "'"
-
-
-def fixture(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def values(names: str, rows: list[tuple]) -> str:
-    one = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "[" + ",".join(map(one, x)) + "]" if isinstance(x, list) else lit(x)
-    return f"(VALUES {','.join('(' + ','.join(map(one, r)) + ')' for r in rows)}) AS t({names})"
-
-
 # rules over documents
 
 

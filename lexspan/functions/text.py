@@ -56,9 +56,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(a) * norm(b))).otherwise(F.lit(0.0))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Cosine of uni- and bigram counts of the first 500 characters in lower case; equal texts 1, empty ones 0."""
-    a, b = (F.substring(F.lower(x), 1, 500) for x in (a, b))
+def similarity(a: Column, b: Column, most: int = 500) -> Column:
+    """Cosine of uni- and bigram counts of the first characters in lower case; equal texts 1, empty ones 0."""
+    a, b = (F.substring(F.lower(x), 1, most) for x in (a, b))
     bag = lambda x: F.concat(grams(x, 1), grams(x, 2))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(cosine(bag(a), bag(b)))
 

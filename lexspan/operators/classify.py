@@ -13,6 +13,16 @@ TYPE_WORDS = {
     "agreement": ["协议", "合作", "双方", "约定"],
     "privacy_policy": ["隐私政策", "个人信息", "数据收集", "cookie", "用户信息"],
 }
+#: fixed values: words of legal texts, and words of code and its documentation
+SIGNALS = [
+    "合同", "协议", "甲方", "乙方", "丙方", "当事人", "签约", "条款", "违约", "赔偿", "仲裁", "诉讼", "管辖", "解除", "隐私政策", "个人信息", "用户协议", "服务条款", "保密",
+    "知识产权", "许可", "授权", "法律", "法规", "法院", "裁定", "判决", "起诉", "应诉", "代理", "委托", "租赁", "借款", "担保", "抵押", "质押", "转让",
+]
+CODE = [
+    "import ", "def ", "class ", "return", "self.", "__init__", "function", "const ", "var ", "let ", "module", "package", "require(", "from ", "export", "async ", "await ",
+    "try:", "except:", "raise ", "print(", "logger", "git", "dockerfile", "makefile", "readme", ".py", ".js", "src/", "tests/", "config", "setup.py", "requirements", "github",
+    "npm", "pip install", "todo", "fixme", "hack", "refactor", "commit", "merge", "branch", "deploy",
+]
 SCOPE_WORDS = ["刑事犯罪", "刑罚", "有期徒刑", "拘役", "管制", "无期徒刑", "死刑"]
 SCOPE_SAFE = ["保密义务", "刑事责任条款", "法律法规", "适用法律", "管辖", "合规", "刑事附带民事"]
 CLAUSE_TYPES = [
@@ -83,5 +93,6 @@ def error_class(message: Column) -> Column:
 
 
 def gated(docs: DataFrame, doc_type: str = "doc_type") -> tuple[DataFrame, DataFrame]:
-    """(documents of a known type, the others)."""
-    return docs.where(F.col(doc_type) != "unknown"), docs.where(F.col(doc_type) == "unknown")
+    """(documents of a known type, the others); the type is an opaque item to the optimizer, which would multiply out a computed one."""
+    unknown = F.exists(F.array(doc_type), lambda t: t == "unknown")
+    return docs.where(~unknown), docs.where(unknown)

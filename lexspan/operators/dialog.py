@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import first_match
+from lexspan.functions.text import first_match, keyword_hits, similarity
 
 #: price per million tokens in and out (fixed values); an unknown model has the second's
 PRICES = {
@@ -72,6 +72,28 @@ def stagnation(steps: DataFrame, run: str = "run_id", order: str = "step") -> Da
     return df.withColumns({"repeated": F.coalesce(same | three, F.lit(False)), "empty": empty}).drop("__a")
 
 
+#: fixed values: words of a result that found nothing
+NOTHING_FOUND = ["未找到", "没有找到", "不存在", "无相关", "not found", "no results", "无匹配"]
+
+
+def information_gain(steps: DataFrame, run: str = "run_id", order: str = "step", gain: float = 0.2, most_empty: int = 2, back: int = 4) -> DataFrame:
+    """The tool results of steps (run, step, action, content) with low_gain and no_results.
+
+    low_gain: more like a result of the last ``back`` steps than 1 - gain allows,
+    by the first 2,000 characters. no_results: it and at least ``most_empty``
+    results right before it found nothing, by their words.
+    """
+    by = Window.partitionBy(run).orderBy(order)
+    body = F.coalesce("content", F.lit(""))
+    result = F.col("action") == "tool_result"
+    df = steps.withColumn("__last", F.collect_list(F.when(result, body)).over(by.rowsBetween(-back, -1)))
+    df = df.where(result).withColumn("__none", keyword_hits(body, NOTHING_FOUND) > 0)
+    df = df.withColumn("__group", F.sum((~F.col("__none")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    streak = F.sum(F.col("__none").cast("int")).over(Window.partitionBy(run, "__group").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    alike = F.exists("__last", lambda x: similarity(body, x, 2000) > 1 - gain)
+    return df.withColumns({"low_gain": alike, "no_results": F.col("__none") & (streak >= most_empty)}).drop("__last", "__none", "__group")
+
+
 def paired_calls(messages: DataFrame, call: str = "user", result: str = "assistant") -> DataFrame:
     """Calls that a result follows in the next turn."""
     r = messages.where(F.col("role") == result).select(F.col("conv_id").alias("rc"), (F.col("turn") - 1).alias("rt"))
@@ -115,6 +137,33 @@ def freshness_report(checked: DataFrame, critical_days: int = 365) -> DataFrame:
     )
 
 
+def freshness_status(critical, outdated, total):
+    return F.when(critical > 0, "critical").when(outdated > 0.3 * total, "needs_review").otherwise("healthy")
+
+
+def freshness_warnings(items: DataFrame, as_of: str, warn_days: int = 180, critical_days: int = 365) -> DataFrame:
+    """(ord, place, item_type, name, status, message, severity, old): every warning on items (ord, item_type, name, status, last_verified, repealed_by).
+
+    Provisions warn by age in two steps, and where they are repealed or amended;
+    cases by age past the second step. old marks a warning past that step. An
+    item without a date that can be read has no age.
+    """
+    days = F.datediff(F.lit(as_of).cast("date"), F.try_to_date("last_verified", "yyyy-MM-dd"))
+    law = F.col("item_type") == "provision"
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    row = lambda place, message, severity, old=False: F.struct(F.lit(place).alias("place"), message.alias("message"), F.lit(severity).alias("severity"), F.lit(old).alias("old"))
+    by = F.when(F.length("repealed_by") > 0, say("（被", F.col("repealed_by"), "取代）")).otherwise(F.lit(""))
+    found = F.array(
+        F.when(law & (days > critical_days), row(0, say("该法条已 ", days, f" 天未验证（超过 {critical_days} 天），建议核实是否仍然有效"), "critical", True)),
+        F.when(law & (days > warn_days) & (days <= critical_days), row(0, say("该法条已 ", days, " 天未验证，建议核实最新状态"), "warning")),
+        F.when(law & (F.col("status") == "repealed"), row(1, say("该法条已废止", by), "critical")),
+        F.when(law & (F.col("status") == "amended"), row(2, say("该法条已修订，请使用最新版本"), "warning")),
+        F.when(~law & (days > critical_days), row(3, say("该案例已 ", days, " 天未验证，裁判规则可能已变化"), "critical", True)),
+    )
+    rows = items.select("ord", "item_type", "name", "status", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    return rows.select("ord", "x.place", "item_type", "name", "status", "x.message", "x.severity", "x.old")
+
+
 def call_costs(calls: DataFrame) -> DataFrame:
     """Totals and cost by model of calls (model, prompt_tokens, completion_tokens)."""
     price = lambda i: _price(i)

@@ -15,8 +15,13 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_search(queries: DataFrame, corpus: DataFrame, k: int, least: float = 0.3) -> DataFrame:
-    """(query_id, vec_id, score, rank): max(0, 1 - squared distance), at least ``least``, the k best; queries are a stated, small set."""
+def vector_search(queries: DataFrame, corpus: DataFrame, k: int, least: float = 0.3, keep: Column | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank): max(0, 1 - squared distance), at least ``least``, the k best; queries are a stated, small set.
+
+    keep is a condition on corpus rows, such as a category, told to the scan.
+    """
+    if keep is not None:
+        corpus = corpus.where(keep)
     scored = corpus.crossJoin(F.broadcast(queries)).select(
         "query_id", "vec_id", F.greatest(F.lit(0.0), 1 - squared_distance(F.col("embedding"), F.col("query"))).alias("score")
     )
@@ -41,14 +46,17 @@ def expanded(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.select("query_id", "query", F.array_sort(F.array_union(F.array("query"), F.coalesce("v", F.array().cast("array<string>")))).alias("expansions"))
 
 
-def keyword_search(queries: DataFrame, corpus: DataFrame, k: int, legal: list[str] = (), least: float = 0.1, strict: bool = False) -> DataFrame:
+def keyword_search(queries: DataFrame, corpus: DataFrame, k: int, legal: list[str] = (), least: float = 0.1, strict: bool = False, category: str | None = None) -> DataFrame:
     """queries (query_id, query, expansions) against corpus (ord, law, article, title, content, keywords).
 
     0.5 for the query in an entry's text (all of those columns), 0.2 for each
     expansion in it, the query being one; 0.4 or 0.15 for each entry keyword (a
     legal term or not); 0.3 for the query in the title and 0.15 for each
     expansion in it; at most 2. strict: entries without any expansion score 0.
+    With a category only its entries are searched.
     """
+    if category:
+        corpus = corpus.where(F.col("category") == category)
     q, e = F.lower("query"), F.transform("expansions", lambda x: F.lower(x))
     parts = [c for c in ("law", "article", "title", "content") if c in corpus.columns]
     text, title = F.lower(F.concat_ws(" ", *parts, F.array_join("keywords", " "))), F.lower("title")
@@ -79,12 +87,18 @@ def fused(vector: DataFrame, keyword: DataFrame, force: DataFrame, k: int) -> Da
     return ranked(union.withColumn("score", 1 / (rv + RRF) + 1 / (rk + RRF)), ["query_id"], [F.desc("score"), "ord"], k)
 
 
-def case_search(queries: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
+def case_search(queries: DataFrame, cases: DataFrame, k: int = 5, court: str | None = None, case_type: str | None = None) -> DataFrame:
     """queries (query_id, query) against cases (ord, title, issue, holding, keywords).
 
+    Only cases whose court contains ``court`` and whose type is ``case_type``, where those are told.
+
     2 for each query word in the case, 3 for each in its keywords, 5 times the
     Jaccard of bigrams; normalised by 5 n + 5, at most 1.
     """
+    if court:
+        cases = cases.where(F.contains(F.coalesce("court", F.lit("")), F.lit(court)))
+    if case_type:
+        cases = cases.where(F.col("case_type") == case_type)
     words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) >= 2)
     text = F.lower(F.concat_ws(" ", "title", "issue", "holding", F.array_join("keywords", " ")))
     keys = F.lower(F.array_join("keywords", " "))

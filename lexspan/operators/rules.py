@@ -66,6 +66,12 @@ def findings(docs: DataFrame, rules: list[Rule], doc_type: str = "contract", pla
     return lowered.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
 
 
+def described(risks: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Findings with the description, legal basis and suggestion of their rules, from a literal map of the pack."""
+    told = [x for r in rules for x in (F.lit(r.rule_id), F.struct(*[F.lit(getattr(r, c)).alias(c) for c in ("description", "legal_basis", "suggestion")]))]
+    return risks.withColumn("__rule", F.create_map(*told)[F.col("rule_id")]).select("*", "__rule.*").drop("__rule")
+
+
 def level_counts(risks: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Findings per document and level; with docs, documents without findings too."""
     counts = risks.groupBy("doc_id").agg(F.count("*").alias("n_risks"), *[F.count_if(F.col("risk_level") == x).alias(f"n_{x}") for x in LEVELS])

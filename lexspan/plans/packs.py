@@ -8,6 +8,7 @@ tables.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -57,6 +58,10 @@ class Playbook:
     focus: tuple[str, ...] = ()
     excluded: tuple[str, ...] = ()
     levels: dict[str, str] = field(default_factory=dict)
+    description: str = ""
+    required: tuple[str, ...] = ()
+    prompts: dict[str, str] = field(default_factory=dict)
+    builtin: bool = False
 
 
 def _yaml(path: str | Path):
@@ -83,9 +88,10 @@ def valid_patterns(patterns) -> tuple[str, ...]:
 
 
 def load_rules(path: str | Path) -> list[Rule]:
-    """Rules of a YAML file with a list ``rules``; invalid patterns are left out."""
+    """Rules of a YAML file with a list ``risk_rules`` (or ``rules``); invalid patterns are left out."""
+    data = _yaml(path)
     out = []
-    for r in _yaml(path).get("rules") or ():
+    for r in data.get("risk_rules") or data.get("rules") or ():
         d = r.get("detection") or {}
         t = lambda k, d=d: tuple(d.get(k) or ())
         out.append(
@@ -98,26 +104,82 @@ def load_rules(path: str | Path) -> list[Rule]:
     return out
 
 
+STRICTNESS = ("low", "medium", "high", "strict")
+
+
 def load_playbook(path: str | Path) -> Playbook:
+    """A playbook of a YAML file; an unknown strictness is medium, a file without an id an error."""
     d = _yaml(path)
+    if "id" not in d:
+        raise PackError(f"{path}: no id")
     levels = {}
     for rule, x in (d.get("risk_weight_adjustments") or {}).items():
-        levels[rule] = (x.get("level") or x.get("adjusted_level")) if isinstance(x, dict) else x
+        levels[rule] = x.get("level", x.get("adjusted_level", "medium")) if isinstance(x, dict) else x
     strict = d.get("strictness", "medium")
     return Playbook(
-        d["id"], d.get("name", ""), d.get("role", ""), strict if strict in ("low", "medium", "high") else "medium", tuple(d.get("focus_areas") or ()), tuple(d.get("excluded_rules") or ()), levels
-    )
+        d["id"], d.get("name", d["id"]), d.get("role", "neutral"), strict if strict in STRICTNESS else "medium", tuple(d.get("focus_areas") or ()), tuple(d.get("excluded_rules") or ()), levels,
+        d.get("description", ""), tuple(d.get("required_clauses") or ()), dict(d.get("custom_prompts") or {}),
+    )
 
 
 def load_playbooks(builtin: list[Playbook], folder: str | Path | None = None) -> dict[str, Playbook]:
-    """By id; files of the folder, in order of name, override."""
+    """By id; files of the folder, in order of name, override. A file that is no playbook is left out with a warning."""
     out = {p.playbook_id: p for p in builtin}
-    for path in sorted(p for p in Path(folder).iterdir() if p.suffix in (".yaml", ".yml")) if folder else ():
-        p = load_playbook(path)
+    for path in sorted(p for p in Path(folder).iterdir() if p.suffix in (".yaml", ".yml")) if folder and Path(folder).is_dir() else ():
+        try:
+            p = load_playbook(path)
+        except PackError as e:
+            warnings.warn(str(e), stacklevel=2)
+            continue
         out[p.playbook_id] = p
     return out
 
 
+def load_provisions(path: str | Path) -> list[dict]:
+    """Rows (ord, law, article, title, content, keywords, category, status, last_verified) of a YAML file with a list ``legal_provisions``."""
+    rows = enumerate(_yaml(path).get("legal_provisions") or (), 1)
+    return [
+        {
+            "ord": i, "law": x["law"], "article": x["article"], "title": x["title"], "content": x["content"], "keywords": list(x.get("keywords") or ()),
+            "category": x.get("category", "其他"), "status": x.get("status", "active"), "last_verified": _day(x.get("last_verified")),
+        }
+        for i, x in rows
+    ]
+
+
+def load_cases(path: str | Path) -> list[dict]:
+    """Rows (ord, title, case_number, court, case_type, issue, holding, keywords, status, last_verified) of a YAML file with a list ``cases``."""
+    texts = ("title", "case_number", "court", "case_type", "issue", "holding")
+    rows = enumerate(_yaml(path).get("cases") or (), 1)
+    return [
+        {"ord": i, **{k: x.get(k, "") for k in texts}, "keywords": list(x.get("keywords") or ()), "status": x.get("status", "active"), "last_verified": _day(x.get("last_verified"))} for i, x in rows
+    ]
+
+
+def _day(x) -> str | None:
+    return None if x is None else str(x)
+
+
+#: fixed values: the playbooks that come with the library
+PLAYBOOKS = [
+    Playbook("neutral", "中立审查", "neutral", "medium", ("条款完整性", "合规性", "格式条款"), description="标准中立审查，平衡双方利益", builtin=True),
+    Playbook(
+        "party_a", "甲方立场", "party_a", "high", ("违约责任", "赔偿上限", "解除权", "知识产权归属", "保密条款"),
+        levels={"IMBALANCE_001": "critical", "IMBALANCE_002": "critical", "COMPLIANCE_002": "high", "MISSING_CLAUSE_001": "critical"},
+        description="保护甲方利益，重点关注乙方违约责任和履约能力", builtin=True,
+    ),
+    Playbook(
+        "party_b", "乙方立场", "party_b", "high", ("责任限制", "付款条件", "甲方义务", "合理免责", "争议解决"),
+        levels={"IMBALANCE_001": "critical", "IMBALANCE_002": "critical", "FORMAT_001": "high", "FORMAT_002": "critical", "IMBALANCE_003": "high"},
+        description="保护乙方利益，重点关注责任限制和甲方义务", builtin=True,
+    ),
+    Playbook(
+        "privacy_compliance", "隐私合规专项", "neutral", "strict", ("个人信息收集", "数据跨境", "用户权利", "安全措施", "合法性基础"),
+        description="专注于个人信息保护和数据合规审查", required=("信息收集范围", "信息使用目的", "信息共享规则", "信息安全措施", "用户权利", "联系方式"), builtin=True,
+    ),
+    Playbook("labor_contract", "劳动合同专项", "neutral", "high", ("劳动报酬", "工作时间", "社会保险", "解除条件", "竞业限制"), description="专注于劳动合同合规审查", builtin=True),
+]
+
 #: A pack over words that occur in the synthetic documents.
 LATIN = [
     Rule("MISSING_001", "license line", "completeness", "high", ("contract", "agreement"), "missing", presence=("licensed under", "license"), substance=(r"version [0-9]", r"cc by")),
