@@ -9,7 +9,7 @@ from lexspan.functions.edit import difference, indel_ratio
 from lexspan.functions.text import grams, jaccard, occurrences, similarity
 from lexspan.operators import classify, dialog, entities, metadata, pages as layout, privacy, redline, report, responses, retrieval, rules, segment, structure, tables
 from lexspan.plans.packs import BUYER, LATIN, LEVELS, NEUTRAL, Playbook, Rule
-from lexspan.registry import ORACLE_SQL, QUERIES, fixture, lit, query, table, values  # noqa: F401
+from lexspan.registry import ORACLE_SQL, QUERIES, fixture, lit, query, similarity_sql, table, values  # noqa: F401
 from lexspan.sources import files, word
 
 # rules over documents
@@ -93,7 +93,12 @@ def q_risk_dedup(spark, sf_dir):
     return rules.deduplicated(df.where("rule_id <> ''")).select("doc_id", "place", "rule_id", "risk_level")
 
 
-@query()
+_LOOSE = f"(SELECT * FROM {values('doc_id,ord,rule_id,name,risk_level,clause_preview', FX_RISKS)} WHERE rule_id='')"
+
+
+@query(f"""SELECT doc_id, ord, rule_id, risk_level FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY {_RANK} DESC, ord) AS rn FROM {values('doc_id,ord,rule_id,name,risk_level,clause_preview', FX_RISKS)} WHERE rule_id<>'') WHERE rn=1
+UNION ALL SELECT doc_id, ord, rule_id, risk_level FROM {_LOOSE} a WHERE NOT EXISTS (SELECT 1 FROM {_LOOSE} b WHERE a.doc_id=b.doc_id AND lower(a.name)=lower(b.name) AND a.ord>b.ord AND a.clause_preview<>'' AND b.clause_preview<>''
+AND {similarity_sql('substr(a.clause_preview,1,100)', 'substr(b.clause_preview,1,100)')}>0.8)""")
 def q_risk_dedup_fuzzy(spark, sf_dir):
     df = fixture(spark, "doc_id long, ord long, rule_id string, name string, risk_level string, clause_preview string", FX_RISKS)
     return rules.deduplicated(df).select("doc_id", "ord", "rule_id", "risk_level")
@@ -148,7 +153,20 @@ def q_risk_trace(spark, sf_dir):
     return rules.traced(asked, clauses).select("doc_id", "ord", "linked_clause")
 
 
-@query()
+def _last(mark: str, n: int) -> str:
+    """SQL of the last place of a mark in the first 5,000 characters, from 0, or -1."""
+    at = f"instr(reverse(left(rest,5000)), {mark})"
+    return f"CASE WHEN {at}>0 THEN 5001-{n}-{at} ELSE -1 END"
+
+
+_CUTS = f"""WITH RECURSIVE s(doc_id, piece, content, rest) AS (SELECT doc_id, -1, NULL::VARCHAR, coalesce(text,'') FROM documents UNION ALL
+SELECT doc_id, piece+1, CASE WHEN length(rest)<=5000 THEN rest ELSE left(rest,place+1) END, CASE WHEN length(rest)>5000 THEN CASE WHEN length(rest)-place-1>5000 OR regexp_matches(substr(rest,place+2),'\\S') THEN substr(rest,place+2) END END
+FROM (SELECT *, CASE WHEN blank>=1666 THEN blank WHEN line>=1666 THEN line WHEN stop>=1666 THEN stop ELSE 5000 END AS place FROM (
+SELECT *, {_last('chr(10)||chr(10)', 2)} AS blank, {_last('chr(10)', 1)} AS line, {_last("'。'", 1)} AS stop FROM s WHERE rest IS NOT NULL)))
+SELECT doc_id, piece, content, count(*) OVER (PARTITION BY doc_id) AS n FROM s WHERE piece>=0"""
+
+
+@query(f"SELECT doc_id, piece::BIGINT AS piece, length(content)::BIGINT AS n_chars FROM ({_CUTS}) WHERE n<=3 OR piece IN (0, n//2, n-1)")
 def q_segments(spark, sf_dir):
     cut = segment.pieces(table(spark, sf_dir, "documents"))
     return segment.first_middle_last(cut, "doc_id", "piece").select("doc_id", "piece", F.length("content").cast("long").alias("n_chars"))
@@ -352,7 +370,7 @@ def q_case_search(spark, sf_dir):
 FX_PAIRS = [(1, "night", "nacht"), (2, "same text", "Same Text"), (3, "", "x"), (4, "the supplier may change prices", "the supplier may change price"), (5, "abc", "xyz")]
 
 
-@query()
+@query(f"SELECT id::BIGINT AS id, round({similarity_sql('a', 'b')},6) AS similarity, round(coalesce(len(list_intersect({_grams_sql('a')},{_grams_sql('b')}))::DOUBLE/nullif(len(list_distinct(list_concat({_grams_sql('a')},{_grams_sql('b')}))),0),0),6) AS jaccard FROM {values('id,a,b', FX_PAIRS)}")
 def q_similarity_ngram(spark, sf_dir):
     df = fixture(spark, "id long, a string, b string", FX_PAIRS)
     return df.select("id", F.round(similarity(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(jaccard(grams(F.col("a"), 2), grams(F.col("b"), 2)), 6).alias("jaccard"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexspan import catalogue as base
 from lexspan.operators import classify, dialog, feedback, pages, privacy, redline, report, retrieval, rules
 from lexspan.plans.packs import LATIN, LEVELS, PLAYBOOKS, load_rules
-from lexspan.registry import ORACLE_SQL, fixture, lit, query, table, values
+from lexspan.registry import ORACLE_SQL, bag_sql, cosine_sql, fixture, lit, query, table, values
 
 PACK = load_rules(Path(__file__).parent / "plans" / "contract_zh.yaml")
 PARTY_A = next(p for p in PLAYBOOKS if p.playbook_id == "party_a")
@@ -253,25 +253,14 @@ def q_few_shot(spark, sf_dir):
 _STEPS = "SELECT conv_id AS run_id, turn AS step, CASE WHEN role='user' THEN 'tool_call' ELSE 'tool_result' END AS action, CASE WHEN (conv_id + turn) % 3 > 0 AND conv_id % 4 = 0 THEN 'not found: '||turn WHEN conv_id % 4 = 1 THEN left(text, 24) ELSE left(text, 60) END AS content FROM conversations"
 
 
-def _bag(x):
-    return f"list_concat(list_transform(range(1, length({x})+1), lambda i: substr({x}, i::INT, 1)), list_transform(range(1, length({x})), lambda i: substr({x}, i::INT, 2)))"
-
-
-def _cosine(a, b):
-    """SQL of the similarity of two bags a and b."""
-    count = lambda of: f"len(list_filter({of}, lambda y: y = g))::DOUBLE"
-    norm = lambda of: f"sqrt(list_sum(list_transform(list_distinct({of}), lambda g: {count(of)} * {count(of)})))"
-    return f"list_sum(list_transform(list_distinct({a}), lambda g: {count(a)} * {count(b)})) / ({norm(a)} * {norm(b)})"
-
-
 _NONE = " OR ".join(f"contains(content,{lit(w)})" for w in dialog.NOTHING_FOUND)
 
 
-@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS n, substr(lower(content),1,2000) AS c FROM ({_STEPS})), b AS (SELECT *, {_bag('c')} AS bag FROM s WHERE action='tool_result'),
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS n, substr(lower(content),1,2000) AS c FROM ({_STEPS})), b AS (SELECT *, {bag_sql('c')} AS bag FROM s WHERE action='tool_result'),
 r AS (SELECT run_id, step, n, ({_NONE}) AS e FROM s WHERE action='tool_result'),
 g AS (SELECT *, sum((NOT e)::INT) OVER (PARTITION BY run_id ORDER BY step) AS grp FROM r)
 SELECT g.run_id, g.step, coalesce(l.low, false) AS low_gain, e AND sum(e::INT) OVER (PARTITION BY g.run_id, grp ORDER BY g.step) > 2 AS no_results FROM g LEFT JOIN (
-SELECT x.run_id, x.n, bool_or(CASE WHEN x.c='' OR y.c='' THEN false WHEN x.c=y.c THEN true ELSE {_cosine('x.bag', 'y.bag')} > 0.8 END) AS low FROM b x JOIN b y ON x.run_id=y.run_id AND y.n BETWEEN x.n-4 AND x.n-1 GROUP BY 1,2) l ON l.run_id=g.run_id AND l.n=g.n""")
+SELECT x.run_id, x.n, bool_or(CASE WHEN x.c='' OR y.c='' THEN false WHEN x.c=y.c THEN true ELSE {cosine_sql('x.bag', 'y.bag')} > 0.8 END) AS low FROM b x JOIN b y ON x.run_id=y.run_id AND y.n BETWEEN x.n-4 AND x.n-1 GROUP BY 1,2) l ON l.run_id=g.run_id AND l.n=g.n""")
 def q_information_gain(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     kind, text = F.col("conv_id") % 4, F.col("text")
