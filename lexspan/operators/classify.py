@@ -63,19 +63,28 @@ def code_hits(text: Column, words: list[str]) -> Column:
 def document_type(
     text: Column, types: dict[str, list[str]], signals: list[str], code: list[str], least_type: int = 2, least_signals: int = 5, density: float = 0.005, penalty_from: int = 5
 ) -> Column:
-    """The type with most words, the first on ties, if there are enough and dense enough signals; else ``unknown``."""
-    text = F.lower(text)
-    scores = {t: keyword_hits(text, w) for t, w in types.items()}
-    best_score = F.greatest(*scores.values())
-    best = F.lit(list(types)[-1])
-    for t in reversed(list(types)[:-1]):
-        best = F.when(scores[t] == best_score, F.lit(t)).otherwise(best)
-    hits = keyword_hits(text, signals)
-    words = F.greatest(F.regexp_count(text, F.lit("[一-鿿]+|[a-zA-Z]+")), F.lit(1))
-    dense = hits / words >= density
-    codes = code_hits(text, code)
-    least = F.when(codes >= penalty_from, least_signals + codes).otherwise(F.lit(least_signals))
-    return F.when((best_score >= least_type) & dense, best).when((hits >= least) & dense, F.when(best_score > 0, best).otherwise(F.lit("contract"))).otherwise(F.lit("unknown"))
+    """The type with most words, the first on ties, if there are enough and dense enough signals; else ``unknown``.
+
+    The counts are worked out once a text, as fields of an item: a filter on the
+    type would otherwise be multiplied out over all of them by the optimizer.
+    """
+
+    def count(t):
+        by_type = [keyword_hits(t, w).alias(f"t{i}") for i, w in enumerate(types.values())]
+        words = F.greatest(F.regexp_count(t, F.lit("[一-鿿]+|[a-zA-Z]+")), F.lit(1))
+        return F.struct(*by_type, keyword_hits(t, signals).alias("hits"), words.alias("words"), code_hits(t, code).alias("codes"))
+
+    def decide(f):
+        scores = {t: f[f"t{i}"] for i, t in enumerate(types)}
+        best_score = F.greatest(*scores.values())
+        best = F.lit(list(types)[-1])
+        for t in reversed(list(types)[:-1]):
+            best = F.when(scores[t] == best_score, F.lit(t)).otherwise(best)
+        dense = f["hits"] / f["words"] >= density
+        least = F.when(f["codes"] >= penalty_from, least_signals + f["codes"]).otherwise(F.lit(least_signals))
+        return F.when((best_score >= least_type) & dense, best).when((f["hits"] >= least) & dense, F.when(best_score > 0, best).otherwise(F.lit("contract"))).otherwise(F.lit("unknown"))
+
+    return F.get(F.transform(F.transform(F.array(F.lower(text)), count), decide), F.lit(0))
 
 
 def out_of_scope(text: Column, words: list[str] = SCOPE_WORDS, safe: list[str] = SCOPE_SAFE) -> Column:
@@ -93,6 +102,5 @@ def error_class(message: Column) -> Column:
 
 
 def gated(docs: DataFrame, doc_type: str = "doc_type") -> tuple[DataFrame, DataFrame]:
-    """(documents of a known type, the others); the type is an opaque item to the optimizer, which would multiply out a computed one."""
-    unknown = F.exists(F.array(doc_type), lambda t: t == "unknown")
-    return docs.where(~unknown), docs.where(unknown)
+    """(documents of a known type, the others)."""
+    return docs.where(F.col(doc_type) != "unknown"), docs.where(F.col(doc_type) == "unknown")
