@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 over their whole tables, and their SQL."""
+"""The registered queries op1 to op13 over their whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -94,7 +94,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactGroups(_table(spark, sf_dir, "documents").select("doc_id", "text"), tag="op10").decisions()
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_lm_scoring, op4_quality, op5_simhash, op6_mixing, op7_sharding, op8_warc, op9_packing, op10_exact_dedup)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.lexical import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), tag="op12")
+
+
+_ALL = (
+    op1_toxicity, op2_pii, op3_lm_scoring, op4_quality, op5_simhash, op6_mixing, op7_sharding, op8_warc, op9_packing, op10_exact_dedup,
+    op11_token_counts, op12_lexical_search,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
@@ -103,4 +119,25 @@ ORACLE_SQL = {
                doc_id = max(doc_id) over (partition by body) as kept, sha256(body) as text_sha256
         from t
     """,
+    "op12_lexical_search": """
+        with words as (
+            select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+            from documents
+        ), tf as (select doc_id, term, count(*) as tf from words group by all),
+        lengths as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+        total as (select count(*) as nd, sum(n)::bigint as nt from lengths),
+        dfs as (select term, count(*) as df from tf group by term),
+        asked as (
+            select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+            from benchmark
+        ), scores as (
+            select item_id, doc_id, sum(floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)::double))::bigint
+                * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // nt))))::bigint as score
+            from asked join tf using (term) join dfs using (term) join lengths using (doc_id) cross join total
+            group by item_id, doc_id
+        ), ranked as (
+            select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scores where score > 0
+        )
+        select item_id, rank, doc_id, score from ranked where rank <= 50
+    """,
 }
