@@ -106,12 +106,36 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), tag="op12")
 
 
+def op13_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.sequences import click_events, closed, mine
+
+    found = closed(mine(click_events(_table(spark, sf_dir, "clicks")), tag="op13"))
+    return found.select(F.array_join("pattern", ">").alias("pattern"), F.size("pattern").alias("length"), "support", "clients_crc", "n_wider", "closed")
+
+
 _ALL = (
     op1_toxicity, op2_pii, op3_lm_scoring, op4_quality, op5_simhash, op6_mixing, op7_sharding, op8_warc, op9_packing, op10_exact_dedup,
-    op11_token_counts, op12_lexical_search,
+    op11_token_counts, op12_lexical_search, op13_sequences,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+
+def _crc_sql(x: str) -> str:
+    """CRC-32 of an integer's decimal digits, bit by bit."""
+    bit = "lambda u, z: xor(u >> 1, 3988292384 * (u & 1))"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), {byte}), 4294967295::BIGINT)"
+
+
+def _longer_sql(shorter: str) -> str:
+    """The occurrences of patterns one event longer, each with its latest first event."""
+    return f"""
+        select o.client, o.session, o.p || '>' || e.type as p, e.us, max(o.begun) as begun
+        from {shorter} o join e on e.client = o.client and e.session = o.session
+            and e.us > o.us and e.us - o.us <= 900000000 and e.us - o.begun <= 2250000000
+        group by all"""
+
+
 ORACLE_SQL = {
     "op10_exact_dedup": """
         with t as (select doc_id, coalesce(text, '') as body from documents)
@@ -140,4 +164,34 @@ ORACLE_SQL = {
         )
         select item_id, rank, doc_id, score from ranked where rank <= 50
     """,
+    # an occurrence never leaves a session, a run of a client's events of which neighbours are at most the gap apart
+    "op13_sequences": f"""
+        with c as (
+            select client_id as client, epoch_us(ts) as us, kind as type, click_id from clicks
+            where client_id is not null and ts is not null and kind is not null
+        ), marked as (select client, us from c where {_crc_sql('click_id')} % 5 = 0),
+        all_events as (
+            select client, us, type from c
+            union select client, us - 1000000, 'open' from marked
+            union select client, us + 1000000, 'shut' from marked
+        ), gaps as (
+            select *, case when us - lag(us) over (partition by client order by us) > 900000000 then 1 else 0 end as new from all_events
+        ), e as (
+            select client, us, type, sum(new) over (partition by client order by us range between unbounded preceding and current row) as session from gaps
+        ), o1 as (select client, session, type as p, us, us as begun from e),
+        o2 as ({_longer_sql('o1')}), o3 as ({_longer_sql('o2')}), o4 as ({_longer_sql('o3')}),
+        who as (
+            select distinct p, client from (select p, client from o1 union all select p, client from o2 union all select p, client from o3 union all select p, client from o4)
+        ), crcs as (select client, {_crc_sql('client')} as crc from (select distinct client from e)),
+        kept as (
+            select p, len(string_split(p, '>'))::int as length, count(*) as support, sum(crc)::bigint as crc, '<' || replace(p, '>', '><') || '>' as parts
+            from who join crcs using (client) group by p
+            having count(*) >= 2 and 100 * count(*) >= 30 * (select count(*) from crcs)
+        ), wider as (
+            select a.p, count(*) as n from kept a join kept b
+            on a.support = b.support and b.length > a.length and b.parts like '%' || replace(a.parts, '><', '>%<') || '%' group by a.p
+        )
+        select p as pattern, length, support, crc as clients_crc, coalesce(n, 0)::bigint as n_wider, coalesce(n, 0) = 0 as closed
+        from kept left join wider using (p)
+    """,
 }
