@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from lexspan import catalogue, catalogue_zh  # noqa: F401
+from lexspan import catalogue, catalogue_volume, catalogue_zh  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = ["documents", "embeddings", "pages", "labels", "conversations", "events", "benchmark"]
