@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexspan import catalogue  # noqa: F401, its SQL is used again
-from lexspan.operators import inverted, vectors
+from lexspan.operators import inverted, set_join, vectors
 from lexspan.registry import ORACLE_SQL, query, table
 from lexspan.tables import shared_folder
 
@@ -69,3 +69,49 @@ def q_vector_index(spark, sf_dir):
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     found = vectors.search(index, queries, 10, least=0.3, exact=True)
     return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _runs_sql(text: str, n: int) -> str:
+    """The distinct runs of n words, as set_join.shingles has them."""
+    run = f"lambda w: list_transform(range(1, greatest(len(w) - {n - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+    return f"list_distinct(list_filter(flatten(list_transform([regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')], {run})), lambda x: x <> ''))"
+
+
+def _pairs_sql(left: str, right: str, score: str, least: float) -> str:
+    """Pairs of classes from SQL of (id, grams) of both sides, by counting all grams in common."""
+    return f"""
+        with l as (select min(id) as l, count(*) as n_left, grams, len(grams) as l_size from (select id, list_sort(grams) as grams from ({left})) where len(grams) > 0 group by grams),
+        lg as (select l, n_left, l_size, unnest(grams) as gram from l), vocabulary as (select distinct gram from lg),
+        rg as (select id, len(grams) as r_size, unnest(grams) as gram from ({right})),
+        r as (select id, r_size, list(gram order by gram) as grams from rg where gram in (select gram from vocabulary) group by all),
+        rc as (select min(id) as r, count(*) as n_right, r_size, grams from r group by grams, r_size),
+        met as (
+            select l, r, n_left, n_right, l_size, r_size, count(*) as common from lg join (select r, n_right, r_size, unnest(grams) as gram from rc) using (gram) group by all
+        )
+        select l, r, n_left, n_right, common, round({score}, 6) as score from met where {score} >= {least}"""
+
+
+def _pairs(found):
+    return found.pairs.select(F.col("left").alias("l"), F.col("right").alias("r"), "n_left", "n_right", "common", F.round("score", 6).alias("score"))
+
+
+@query(_pairs_sql(f"select item_id as id, {_runs_sql('text', 3)} as grams from benchmark", f"select doc_id as id, {_runs_sql('text', 3)} as grams from documents", "common / l_size", 0.5))
+def q_containment(spark, sf_dir):
+    """Documents that hold at least half of an item's runs of three words."""
+    runs = lambda t, key: t.select(F.col(key).alias("id"), set_join.shingles(F.col("text"), 3).alias("grams"))
+    return _pairs(set_join.similar(runs(table(spark, sf_dir, "benchmark"), "item_id"), runs(table(spark, sf_dir, "documents"), "doc_id"), 0.5))
+
+
+_TURN = "conv_id * 1000 + turn"
+
+
+@query(
+    _pairs_sql(
+        f"select {_TURN} as id, {_runs_sql('text', 2)} as grams from conversations where conv_id % 100 = 0",
+        f"select {_TURN} as id, {_runs_sql('text', 2)} as grams from conversations", "common / (l_size + r_size - common)", 0.3,
+    )
+)
+def q_similar_turns(spark, sf_dir):
+    """Turns that share three tenths of their pairs of words with a turn of every hundredth conversation."""
+    turns = table(spark, sf_dir, "conversations").select(F.expr(_TURN).alias("id"), set_join.shingles(F.col("text"), 2).alias("grams"))
+    return _pairs(set_join.similar(turns.where("id div 1000 % 100 = 0"), turns, 0.3, "jaccard"))
