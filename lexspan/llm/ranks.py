@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan.llm.scratch import fresh
+
 #: salts of a group: fixed, so that numbers depend on the rows and not on the cluster; a window holds 1/SALTS of a group
 SALTS = 256
 
@@ -22,20 +24,21 @@ def numbered(df: DataFrame, groups: list[str], salt: Column, salts: int, order:
     inside a salt; rows that tie on it get any of their numbers. Groups of
     null are groups like any other.
     """
-    s, n, base = "__salt", "__n", "__base"
+    s, n, base, of = fresh([*df.columns, name], "salt", "n", "base", "of")
+    own = fresh([*df.columns, name, s, n, base, of], *["group"] * len(groups))
     df = df.withColumn(s, F.pmod(salt, F.lit(salts)).cast("int"))
     counts = df.groupBy(*groups, s).agg(F.count("*").alias(n))
     before = Window.partitionBy(*groups).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
-        F.col(s).alias("__s"),
+        *[F.col(g).alias(o) for g, o in zip(groups, own)],
+        F.col(s).alias(of),
         F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base),
     )
     inside = Window.partitionBy(*groups, s).orderBy(*order)
     ranked = df.withColumn(name, F.row_number().over(inside).cast("long") - 1)
-    match = F.col(s) == F.col("__s")
-    for i, g in enumerate(groups):
-        match &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    match = F.col(s) == F.col(of)
+    for g, o in zip(groups, own):
+        match &= F.col(g).eqNullSafe(F.col(o))
     # every (group, salt) of ranked has its base, so inner loses no row
     joined = ranked.join(bases, match, "inner")
-    return joined.withColumn(name, F.col(name) + F.col(base)).drop(s, "__s", base, *[f"__g{i}" for i in range(len(groups))])
+    return joined.withColumn(name, F.col(name) + F.col(base)).drop(s, of, base, *own)

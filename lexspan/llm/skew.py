@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.llm.scratch import fresh
+
 HOT = 1000  # a key with 1/HOT of all rows is hot; there are at most HOT of them
 
 
@@ -14,12 +16,13 @@ def looked_up(rows: DataFrame, key: str, spread: Column, table: DataFrame, total
     n is the number of rows with the key ``of``, total that of all rows. Hot
     keys, at most ``HOT``, are told to every task; their rows go to the join by
     spread, an integer of the row, so that no task gets all rows of a key. A
-    null key has a null value.
+    null key has a null value. rows may have columns of any name but ``value``.
     """
-    hot = table.where(F.col("n") * HOT >= total).select(F.col("of").alias("__hot"), F.col(value).alias("__v"))
-    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    alone = F.col("__hot").isNotNull() | F.col(key).isNull()
-    rows = rows.withColumn("__deal", F.when(alone, 1 + F.pmod(spread, F.lit(1 << 30))).otherwise(F.lit(0).cast("long")))
-    rest = table.where(F.col("n") * HOT < total).select(F.col("of").alias("__of"), F.col(value).alias("__w"), F.lit(0).cast("long").alias("__zero"))
-    out = rows.join(rest, (F.col(key) == F.col("__of")) & (F.col("__deal") == F.col("__zero")), "left")
-    return out.withColumn(value, F.coalesce("__v", "__w")).drop("__hot", "__v", "__deal", "__of", "__w", "__zero")
+    at, found, deal, of, own, zero = fresh([*rows.columns, *table.columns], "hot", "found", "deal", "of", "own", "zero")
+    hot = table.where(F.col("n") * HOT >= total).select(F.col("of").alias(at), F.col(value).alias(found))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col(at), "left")
+    alone = F.col(at).isNotNull() | F.col(key).isNull()
+    rows = rows.withColumn(deal, F.when(alone, 1 + F.pmod(spread, F.lit(1 << 30))).otherwise(F.lit(0).cast("long")))
+    rest = table.where(F.col("n") * HOT < total).select(F.col("of").alias(of), F.col(value).alias(own), F.lit(0).cast("long").alias(zero))
+    out = rows.join(rest, (F.col(key) == F.col(of)) & (F.col(deal) == F.col(zero)), "left")
+    return out.withColumn(value, F.coalesce(found, own)).drop(at, found, deal, of, own, zero)

@@ -39,6 +39,28 @@ def test_stages_return_documents(spark, docs):
         assert ids == {r.doc_id for r in kept.collect()}
 
 
+def test_two_runs_stand_side_by_side(spark):
+    a = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    b = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert rows(a) == rows(b) and a.count()
+
+
+def test_names_that_stages_use_themselves(spark, docs):
+    """Extra columns called like helpers of the stages, and the verdicts on null, empty, blank and repeated rows."""
+    from pyspark.sql import functions as F
+
+    names = ["__hot", "__deal", "__v", "__of", "__w", "__zero", "hot", "deal", "found", "of", "own", "zero", "salt", "n", "base", "group", "cls", "fp", "component_id"]
+    table = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long"), **{c: F.lit("clash") for c in names}})
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda name: sorted((r.doc_id is None, r.doc_id) for r in stages[name](spark, table, "").select("doc_id").collect())
+    some = lambda *x: sorted((i is None, i) for i in x)
+    assert ids("exact_dedup") == some(2, 3, 6, 5, 7, 9, 10, 11)  # of null and empty texts the largest id, of the rows that repeat one of them
+    assert ids("near_dedup") == some(1, 4, 7, 7, 9, 10, 11)  # 10 and 11 share two of three distinct shingles
+    assert ids("mixing") == some(*(r.doc_id for r in docs.collect()))
+    assert all(stages[name](spark, table, "").columns == table.columns for name in ("exact_dedup", "near_dedup", "mixing", "quality_rules"))
+
+
 def test_native_stages(spark, real):
     for name, stage in corpus_pipeline.STAGES:
         if name in ("quality_rules", "mixing"):
