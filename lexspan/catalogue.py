@@ -219,7 +219,40 @@ def q_scan_detect(spark, sf_dir):
 _MAIL = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"
 
 
-@query()
+def _matches_sql(k: int, kind: str, pattern: str, value: str = "v", where: str = "true") -> str:
+    """Matches of a pattern with their places: each is put between two marks, and the lengths of the pieces add up."""
+    return f"""
+        select doc_id, {k} as k, s, s + length(v) as e, v, {lit(kind)} as type from (
+            select doc_id, {value} as v, s from (
+                select doc_id, split_part(piece, chr(2), 1) as v, split_part(piece, chr(2), 2) as tail, n, n = max(n) over (partition by doc_id) as last,
+                    (sum(length(piece) - case when n = 1 then 0 else 1 end) over (partition by doc_id order by n) - length(piece) + 1)::bigint as s
+                from (
+                    select doc_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) as n
+                    from (select doc_id, string_split(regexp_replace(text, {lit('(' + pattern + ')')}, chr(1) || '\\1' || chr(2), 'g'), chr(1)) as pieces from documents)
+                )
+            ) where n > 1
+        ) where {where}"""
+
+
+_LUHN = "list_sum(list_transform(range(1, length(v) + 1), lambda i: case when i % 2 = 1 then ascii(substr(v, -i, 1)) - 48 else (2 * (ascii(substr(v, -i, 1)) - 48)) % 10 + (2 * (ascii(substr(v, -i, 1)) - 48)) // 10 end)) % 10 = 0"
+# a match that no digit may precede or follow is a whole run of digits
+_KINDS_SQL = [
+    _matches_sql(0, "身份证号", "[0-9]+", "case when length(v) = 17 and (regexp_matches(tail, '(?s)^[Xx].') or lower(tail) = 'x' and last) then v || tail[1] else v end", "length(v) = 18"),
+    _matches_sql(1, "手机号", "[0-9]+", where="length(v) = 11 and v[1] = '1' and v[2] between '3' and '9'"),
+    _matches_sql(2, "邮箱", _MAIL),
+    _matches_sql(3, "银行卡号", "[0-9]+", where=f"length(v) between 16 and 19 and {_LUHN}"),
+    _matches_sql(4, "统一社会信用代码", "[0-9A-HJ-NPQRTUWXY]{2}[0-9]{6}[0-9A-HJ-NPQRTUWXY]{10}"),
+]
+_MASK_SQL = """case k when 1 then substr(v, 1, 3) || '****' || right(v, 4) when 3 then substr(v, 1, 4) || '****' || right(v, 4)
+    when 2 then substr(split_part(v, '@', 1), 1, greatest(1, length(split_part(v, '@', 1)) // 2)::int) || '***@' || split_part(v, '@', 2) else substr(v, 1, 6) || '****' || right(v, 4) end"""
+_ACCEPTED_SQL = "with " + ", ".join(
+    f"a{k} as ({'select * from a' + str(k - 1) + ' union all ' if k else ''}select c.* from ({one}) c"
+    + (f" where not exists (select 1 from a{k - 1} a where a.doc_id = c.doc_id and a.s < c.e and c.s < a.e))" if k else ")")
+    for k, one in enumerate(_KINDS_SQL)
+)
+
+
+@query(f"{_ACCEPTED_SQL} select doc_id, type, s as start_pos, e as end_pos, {_MASK_SQL} as masked_value from a4")
 def q_pii_spans(spark, sf_dir):
     return privacy.pii_spans(table(spark, sf_dir, "documents"))
 
@@ -229,10 +262,17 @@ def q_pii_email_counts(spark, sf_dir):
     return q_pii_spans(spark, sf_dir).where(F.col("type") == "邮箱").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    _ACCEPTED_SQL
+    + f""", parts as (
+        select doc_id, string_agg(substr(text, before + 1, s - before) || {_MASK_SQL}, '' order by s) as head, max(e) as last, count(*) as n_spans,
+            array_to_string([w[2] for w in [{', '.join(f"['{k}', {lit(privacy.WARNINGS[x])}]" for k, x in enumerate(privacy.KINDS))}] if list_contains(list(k::varchar), w[1])], '、') as warning
+        from (select *, coalesce(lag(e) over (partition by doc_id order by s), 0) as before from a4) join documents using (doc_id) group by doc_id
+    )
+    select doc_id, md5(coalesce(head || substr(text, last + 1), text)) as masked_md5, coalesce(n_spans, 0) as n_spans, warning from documents left join parts using (doc_id)"""
+)
 def q_pii_mask(spark, sf_dir):
-    df = table(spark, sf_dir, "documents")
-    return df.select("doc_id", F.md5(privacy.mask_text(F.col("text"))).alias("masked_md5"), privacy.warning(F.col("text")).alias("warning"))
+    return privacy.masked_texts(table(spark, sf_dir, "documents")).select("doc_id", F.md5("masked").alias("masked_md5"), "n_spans", "warning")
 
 
 FX_SCOPE = [(1, "判处有期徒刑三年"), (2, "适用法律与管辖,有期徒刑"), (3, "普通合同"), (4, "死刑与刑罚"), (5, "合规,拘役")]
