@@ -119,7 +119,21 @@ def _clauses(spark, sf_dir):
     return segment.clauses(table(spark, sf_dir, "documents"), LATIN_HEADERS, [])
 
 
-@query(_CLAUSES)
+@query("""
+    with raw as (
+        select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
+    ), lines as (
+        select doc_id, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') as line, length(raw) - length(regexp_replace(raw, '^\\s+', '')) as lead,
+            (sum(length(raw) + 1) over (partition by doc_id order by pos) - length(raw) - 1)::bigint as place
+        from raw
+    ), marked as (select *, (regexp_matches(line, '^Licensed under') or regexp_matches(line, '^[A-Z][a-z]+\\.$'))::int as head from lines),
+    numbered as (select *, sum(head) over (partition by doc_id order by pos) as seg, sum(head) over (partition by doc_id) as heads from marked),
+    found as (
+        select doc_id, seg, max(line) filter (head = 1) as title, regexp_replace(string_agg(line, chr(10) order by pos) filter (head = 0), '^\\s+|\\s+$', '', 'g') as content,
+            min(place + lead) filter (head = 0 and line <> '') as start_pos, max(place + lead + length(line)) filter (head = 0 and line <> '') as end_pos
+        from numbered where seg > 0 or heads = 0 group by doc_id, seg
+    )
+    select doc_id, row_number() over (partition by doc_id order by seg) as clause_id, title, content, start_pos, end_pos from found where content <> ''""")
 def q_clause_split(spark, sf_dir):
     return _clauses(spark, sf_dir)
 

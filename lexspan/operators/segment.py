@@ -1,7 +1,7 @@
 """Clauses of documents: header lines start them, bodies follow.
 
-Lines of one document are numbered in place and grouped by document and
-clause; the only shuffle is by document.
+A document's lines are an array of its own row, and so are its clauses and
+their places; documents never move.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import strip
+from lexspan.functions.text import running, strip
 
 #: fixed values: header patterns in order of priority, and header words
 HEADERS = [
@@ -39,21 +39,39 @@ def is_header(line: Column, patterns=HEADERS, words=HEADER_WORDS) -> Column:
 
 
 def clauses(docs: DataFrame, patterns=HEADERS, words=HEADER_WORDS, text: str = "text") -> DataFrame:
-    """(doc_id, clause_id, title, content): ids from 1 without gaps.
+    """(doc_id, clause_id, title, content, start_pos, end_pos): ids from 1 without gaps.
 
     What stands before the first header is dropped; a header without a body
     gives nothing; a document without headers is one clause without title;
-    blank lines inside a body stay, those at its ends go.
+    blank lines inside a body stay, those at its ends go. Content are the
+    body's lines without white space at their ends; start_pos and end_pos
+    (exclusive) are the places of its first and last character in the text, in
+    code points, so that the text between them is the content but for such
+    white space.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "raw"))
-    lines = lines.select("doc_id", "pos", strip(F.col("raw")).alias("line"))
-    lines = lines.withColumn("head", is_header(F.col("line"), patterns, words).cast("int"))
-    by_doc = Window.partitionBy("doc_id")
-    lines = lines.withColumn("seg", F.sum("head").over(by_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).withColumn("heads", F.sum("head").over(by_doc))
-    kept = lines.where("seg > 0 or heads = 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    rows = kept.groupBy("doc_id", "seg").agg(F.max(F.when(F.col("head") == 1, F.col("line"))).alias("title"), strip(body).alias("content")).where("content <> ''")
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seg")).cast("long").alias("clause_id"), "title", "content")
+    info = lambda x: F.struct(F.length(x).alias("n"), (F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))).alias("lead"), strip(x).alias("line"))
+    rows = docs.select("doc_id", F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), info).alias("lines"))
+    heads = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: is_header(F.get("lines", i)["line"], patterns, words))
+    rows = rows.select("doc_id", "lines", running(F.transform("lines", lambda x: x["n"] + 1)).alias("at"), heads.alias("heads"))
+
+    def part(h: Column, k: Column) -> Column:
+        body = F.slice("lines", h + 2, F.coalesce(F.get("heads", k + 1), F.size("lines")) - h - 1)
+        return F.struct(h.alias("h"), F.get("lines", h)["line"].alias("title"), F.transform(body, lambda x: x["line"]).alias("body"))
+
+    whole = F.array(F.struct(F.lit(-1).alias("h"), F.lit(None).cast("string").alias("title"), F.transform("lines", lambda x: x["line"]).alias("body")))
+    rows = rows.select("doc_id", "lines", "at", F.when(F.size("heads") > 0, F.transform("heads", part)).otherwise(whole).alias("parts"))
+
+    def clause(p: Column) -> Column:
+        full = F.transform(p["body"], lambda x: x != "")
+        first = (p["h"] + F.array_position(full, True)).cast("int")
+        last = (p["h"] + F.size(p["body"]) + 1 - F.array_position(F.reverse(full), True)).cast("int")
+        end = F.get("at", last) + F.get("lines", last)["lead"] + F.length(F.get("lines", last)["line"])
+        place = F.struct((F.get("at", first) + F.get("lines", first)["lead"]).alias("start_pos"), end.alias("end_pos"))
+        return F.struct(p["title"].alias("title"), strip(F.array_join(p["body"], "\n")).alias("content"), place.alias("place"))
+
+    found = F.filter(F.transform("parts", clause), lambda c: c["content"] != "")
+    rows = rows.select("doc_id", F.posexplode(found).alias("pos", "c"))
+    return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("clause_id"), "c.title", "c.content", "c.place.start_pos", "c.place.end_pos")
 
 
 def pieces(docs: DataFrame, most: int = 5000, text: str = "text") -> DataFrame:
