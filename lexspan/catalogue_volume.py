@@ -6,11 +6,14 @@ divisible by 100, against all rows.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from lexspan import catalogue  # noqa: F401, its SQL is used again
-from lexspan.operators import inverted, set_join, vectors
-from lexspan.registry import ORACLE_SQL, query, table
+from lexspan.operators import inverted, rule_table, set_join, vectors
+from lexspan.plans.packs import Rule
+from lexspan.registry import ORACLE_SQL, lit, query, table
 from lexspan.tables import shared_folder
 
 #: weights of an entry's fields in hundredths: its text, its title, its keywords
@@ -115,3 +118,52 @@ def q_similar_turns(spark, sf_dir):
     """Turns that share three tenths of their pairs of words with a turn of every hundredth conversation."""
     turns = table(spark, sf_dir, "conversations").select(F.expr(_TURN).alias("id"), set_join.shingles(F.col("text"), 2).alias("grams"))
     return _pairs(set_join.similar(turns.where("id div 1000 % 100 = 0"), turns, 0.3, "jaccard"))
+
+
+def large_pack(n: int) -> list[Rule]:
+    """A pack of n rules whose keywords are made of parts of the documents' words; every hundredth asks for a clause."""
+    rng = random.Random(n)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "en", "es", "or", "ti", "ch", "qu", "ge", "sch", "que", "eau", "ción", "mente", " d", ". A"]
+    word = lambda most: "".join(rng.choice(parts) for _ in range(rng.randrange(2, most)))
+    out = []
+    for i in range(n):
+        words = lambda k, most=5: tuple(word(most) for _ in range(k))
+        if i % 100 == 7:
+            out.append(Rule(f"MISSING_{i}", f"clause {i}", "completeness", "high", ("contract",), "missing", presence=words(3, 4), substance=("[0-9]{2}", word(3).strip())))
+        else:
+            strict = i % 3 == 0
+            out.append(Rule(f"COND_{i}", f"condition {i}", "style", "low", ("contract",), "condition", risk=words(1 + i % 3), safe=words(i % 2, 4), require_safe_absence=strict))
+    return out
+
+
+def _large_pack_sql(pack: list[Rule]) -> str:
+    rows = ",".join(
+        f"({i},{lit(r.rule_id)},{lit(r.level)},{str(r.missing).lower()},{str(r.require_safe_absence).lower()},{_list(r.presence)},{_list(r.risk)},{_list(r.safe)},{_list(r.substance)})" for i, r in enumerate(pack)
+    )
+    hits = lambda c: f"len(list_filter({c}, lambda w: contains(body, w)))"
+    return f"""
+        with rules as (select * from (values {rows}) as t(ord, rule_id, risk_level, missing, strict, presence, risk, safe, substance)),
+        counts as (
+            select doc_id, ord, rule_id, risk_level, missing, strict, {hits('presence')} as p, {hits('risk')} as r, {hits('safe')} as s,
+                len(presence) as np, len(risk) as nr, len(safe) as ns, missing and len(list_filter(substance, lambda x: regexp_matches(body, x))) > 0 as there
+            from (select doc_id, lower(text) as body from documents), rules
+        ), found as (
+            select doc_id, ord, rule_id, risk_level, case when missing then case when p = 0 then 0.9 when not there then greatest(0.3, 0.7 - 0.3 * (p / np)) end
+                when r > 0 and not (s >= r and s > 0) and not (strict and s > 0) then greatest(0.3, least(0.95, 0.5 + 0.4 * (r / nr) - 0.4 * (s / greatest(ns, 1)))) end as confidence
+            from counts
+        )
+        select doc_id, ord, rule_id, risk_level, round(confidence::double, 6) as confidence from found where confidence is not null"""
+
+
+def _list(words) -> str:
+    return f"[{','.join(map(lit, words))}]::varchar[]"
+
+
+LARGE = large_pack(1000)
+
+
+@query(_large_pack_sql(LARGE))
+def q_rule_table(spark, sf_dir):
+    """A pack of a thousand rules as a table."""
+    found = rule_table.findings(table(spark, sf_dir, "documents"), LARGE)
+    return found.select("doc_id", "ord", "rule_id", "risk_level", F.round("confidence", 6).alias("confidence"))
