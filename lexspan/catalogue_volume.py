@@ -11,9 +11,11 @@ import random
 from pyspark.sql import functions as F
 
 from lexspan import catalogue  # noqa: F401, its SQL is used again
-from lexspan.operators import inverted, rule_table, set_join, vectors
+from lexspan.operators import inverted, metrics, rule_table, set_join, trees, vectors
 from lexspan.plans.packs import Rule
 from lexspan.registry import ORACLE_SQL, lit, query, table
+from lexspan.sources.feedback_log import FeedbackLog
+from lexspan.streaming import capacity
 from lexspan.tables import shared_folder
 
 #: weights of an entry's fields in hundredths: its text, its title, its keywords
@@ -167,3 +169,84 @@ def q_rule_table(spark, sf_dir):
     """A pack of a thousand rules as a table."""
     found = rule_table.findings(table(spark, sf_dir, "documents"), LARGE)
     return found.select("doc_id", "ord", "rule_id", "risk_level", F.round("confidence", 6).alias("confidence"))
+
+
+def outline(docs):
+    """The lines of documents as nodes: the fewer words, the higher the heading."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    n = F.size(F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    return lines.select("doc_id", "ord", n.alias("words")).where("words > 0").withColumn("level", F.expr("case when words <= 3 then 0 when words <= 10 then 1 when words <= 25 then 2 else 3 end"))
+
+
+@query("""
+    with recursive lines as (
+        select doc_id, ord, words, case when words <= 3 then 0 when words <= 10 then 1 when words <= 25 then 2 else 3 end as level from (
+            select doc_id, ord, len(regexp_extract_all(line, '[\\p{L}\\p{N}]+')) as words
+            from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents)
+        ) where words > 0
+    ), parents as (
+        select a.*, (select max(b.ord) from lines b where b.doc_id = a.doc_id and b.ord < a.ord and b.level < a.level) as parent from lines a
+    ), up as (
+        select doc_id, ord, ord as above, 0 as steps, words from parents
+        union all select u.doc_id, u.ord, p.parent, u.steps + 1, u.words from up u join parents p on p.doc_id = u.doc_id and p.ord = u.above where p.parent is not null
+    ), depths as (select doc_id, ord, max(steps) as depth from up group by all)
+    select doc_id, above - 1 as ord, depth, count(*) - 1 as n_descendants, sum(words)::bigint as subtotal
+    from up join depths on up.doc_id = depths.doc_id and up.above = depths.ord group by up.doc_id, above, depth""".replace("select doc_id, above - 1", "select up.doc_id, above - 1"))
+def q_subtrees(spark, sf_dir):
+    """For each line of a document the depth, nodes and words of the outline below it."""
+    rows = trees.numbered(outline(table(spark, sf_dir, "documents")), "level", value="words", levels=4)
+    return rows.select("doc_id", "ord", "depth", "n_descendants", "subtotal")
+
+
+def _stream(spark, sf_dir, name: str, files: int = 1):
+    """A given table, a folder or one file, as a stream of its files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    one = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    read = spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", files)
+    # a stream's path is a folder
+    return read.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if one else read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""
+    select user_id as record_id, event_type as user_action, value, event_id
+    from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events where user_id is not null) where n = 1""")
+def q_feedback_log(spark, sf_dir):
+    """Events as a stream of records by user, merged batch by batch, compacted; the last record of each."""
+    folder = shared_folder(spark, "feedback-log")
+    log = FeedbackLog(f"{folder}/log", order=("ts", "event_id"))
+    records = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), "ts", "event_id", F.col("event_type").alias("user_action"), "value")
+    log.follow(records, f"{folder}/checkpoint").awaitTermination()
+    log.compact(spark)
+    return log.current(spark).select("record_id", "user_action", "value", "event_id")
+
+
+@query("""
+    select ts::date as day, event_type as stage, count(*) as n, round(sum(value), 2) as total, true as quantiles_hold, true as users_hold from events where ts is not null group by all""")
+def q_metrics_daily(spark, sf_dir):
+    """A day's metrics from its hours' sketches, held to exact ranks and counts."""
+    events = table(spark, sf_dir, "events")
+    days = metrics.merged(metrics.hourly(events), ["day", "stage"])
+    exact = events.where("ts is not null").join(
+        metrics.told(days).select(F.col("day").alias("d"), F.col("stage").alias("s"), "p50", "p95", "users"), (F.to_date("ts") == F.col("d")) & F.col("event_type").eqNullSafe(F.col("s"))
+    )
+    below = lambda p, strict: F.avg((F.col("value") < F.col(p) if strict else F.col("value") <= F.col(p)).cast("double"))
+    held = lambda p, rank: (below(p, True) <= rank + metrics.RANK_ERROR) & (below(p, False) >= rank - metrics.RANK_ERROR)
+    users = F.abs(F.first("users") - F.count_distinct("user_id")) <= F.greatest(F.lit(1.0), metrics.DISTINCT_ERROR * F.count_distinct("user_id"))
+    checks = exact.groupBy("d", "s").agg((held("p50", 0.5) & held("p95", 0.95)).alias("quantiles_hold"), users.alias("users_hold"))
+    found = days.join(checks, (F.col("day") == F.col("d")) & F.col("stage").eqNullSafe(F.col("s")))
+    return found.select("day", "stage", "n", F.round("total", 2).alias("total"), "quantiles_hold", "users_hold")
+
+
+@query()
+def q_session_capacity(spark, sf_dir):
+    """Sessions of events by user that end by idleness or because their shard is full; tests hold it to a sequential model."""
+    folder = shared_folder(spark, "sessions")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, capacity.ROCKS)
+    try:
+        ended = capacity.ended_sessions(_stream(spark, sf_dir, "events"), most=20, ttl_ms=6 * 3_600_000, shards=8)
+        ended.writeStream.format("parquet").option("path", f"{folder}/ended").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(capacity.ENDED).parquet(f"{folder}/ended")
