@@ -24,21 +24,14 @@ def numbered(df: DataFrame, groups: list[str], salt: Column, salts: int, order:
     inside a salt; rows that tie on it get any of their numbers. Groups of
     null are groups like any other.
     """
-    s, n, base, of = fresh([*df.columns, name], "salt", "n", "base", "of")
-    own = fresh([*df.columns, name, s, n, base, of], *["group"] * len(groups))
-    df = df.withColumn(s, F.pmod(salt, F.lit(salts)).cast("int"))
-    counts = df.groupBy(*groups, s).agg(F.count("*").alias(n))
-    before = Window.partitionBy(*groups).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(
-        *[F.col(g).alias(o) for g, o in zip(groups, own)],
-        F.col(s).alias(of),
-        F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base),
-    )
-    inside = Window.partitionBy(*groups, s).orderBy(*order)
+    s, n, base, of, group, own = fresh([*df.columns, name], "salt", "n", "base", "of", "group", "own")
+    # one key for all groups, in which nulls are equal, so that the window's partitioning serves the join as well
+    df = df.withColumn(s, F.pmod(salt, F.lit(salts)).cast("int")).withColumn(group, F.struct(*groups))
+    counts = df.groupBy(group, s).agg(F.count("*").alias(n))
+    before = Window.partitionBy(group).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col(group).alias(own), F.col(s).alias(of), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy(group, s).orderBy(*order)
     ranked = df.withColumn(name, F.row_number().over(inside).cast("long") - 1)
-    match = F.col(s) == F.col(of)
-    for g, o in zip(groups, own):
-        match &= F.col(g).eqNullSafe(F.col(o))
     # every (group, salt) of ranked has its base, so inner loses no row
-    joined = ranked.join(bases, match, "inner")
-    return joined.withColumn(name, F.col(name) + F.col(base)).drop(s, of, base, *own)
+    joined = ranked.join(bases, (F.col(group) == F.col(own)) & (F.col(s) == F.col(of)), "inner")
+    return joined.withColumn(name, F.col(name) + F.col(base)).drop(s, of, base, group, own)
