@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions.text import occurrences, places
 
+#: fixed values: capital numerals, their units, and how dates are written
 DIGITS = {"零": 0, "壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9}
 UNITS = {"拾": 10, "佰": 100, "仟": 1000}
 DATE_FORMS = [(r"([0-9]{4})\s*年\s*([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日", 0), (r"([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", 2), (r"([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", 3), (r"([0-9]{4})\.([0-9]{1,2})\.([0-9]{1,2})", 4)]
@@ -117,7 +118,7 @@ def signature_lines(docs: DataFrame, roles: list[str], words: list[str], text: s
     return rows.groupBy("doc_id", "role").agg(F.min_by("signed", "line").alias("signed"), F.min("line").cast("long").alias("line"))
 
 
-#: fixed values
+#: fixed values: roles of dates with their words, dates in numerals and relative ones
 DATE_ROLES = [
     ("签署日期", ["签署日期", "签字日期", "签订日期", "签约日期", "签订之日"]),
     ("生效日期", ["生效日期", "生效之日", "生效日", "自.*起生效"]),
@@ -183,14 +184,36 @@ def date_mentions(docs: DataFrame, text: str = "text", strict: bool = True, keys
     return rows.select(*keys, "raw", F.col("at").cast("long").alias("start_pos"), "normalized", date_role(F.col("near")).alias("role"))
 
 
-CAPITALS = "零壹贰叁肆伍陆柒捌玖拾佰仟万亿"
-PAIR = rf"([0-9][0-9,，]*\.?[0-9]*[万亿]?)[元圆]?\s*[（(]\s*大写[：:]?\s*(?:人民币)?([{CAPITALS}]+)[元圆]"
+#: fixed values: an amount in figures with the same in capitals behind it, or the other way round
+NUMERALS = "零壹贰叁肆伍陆柒捌玖拾佰仟万亿"
+PAIR = rf"([0-9][0-9,，]*\.?[0-9]*[万亿]?)[元圆]?\s*[（(]\s*大写[：:]?\s*(?:人民币)?([{NUMERALS}]+)[元圆]"
+PAIR_BACK = rf"[（(]\s*(?:大写[：:]?\s*)?(?:人民币)?([{NUMERALS}]+)[元圆](?:整|角|分)?\s*[）)]\s*[¥￥]?\s*([0-9][0-9,，]*\.?[0-9]*[万亿]?)[元圆]?"
+
+
+def capitals(number: Column) -> Column:
+    """A whole number from 1 up to 10^12 in capital numerals; null for others."""
+    places = F.filter(F.split(F.lpad(number.cast("long").cast("string"), 12, "0"), ""), lambda c: c != "")
+    numerals, units = (F.array(*map(F.lit, x)) for x in (NUMERALS[:10], ["仟", "佰", "拾", ""]))
+    begin = F.struct(F.lit("").alias("out"), F.lit(False).alias("zero"), F.lit(0).alias("i"), F.lit(0).alias("section"))
+
+    def step(a: Column, c: Column) -> Column:
+        d = c.cast("int")
+        digit = F.concat(F.when(a["zero"], "零").otherwise(""), F.get(numerals, d), F.get(units, a["i"] % 4))
+        out = F.concat(a["out"], F.when(d > 0, digit).otherwise(""))
+        section = a["section"] + d
+        mark = F.when((a["i"] == 3) & (section > 0), "亿").when((a["i"] == 7) & (section > 0), "万").otherwise("")
+        zero = (d == 0) & (out != "")
+        return F.struct(F.concat(out, mark).alias("out"), zero.alias("zero"), (a["i"] + 1).alias("i"), F.when(a["i"] % 4 == 3, 0).otherwise(section).alias("section"))
+
+    return F.when((number >= 1) & (number < 10**12), F.aggregate(places, begin, step, lambda a: a["out"]))
 
 
 def amount_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, lower, upper, consistent): amounts in digits with the same in capitals beside them; consistent is null where one has no value."""
+    """(doc_id, lower, upper, consistent): amounts in digits with the same in capitals before or behind them; consistent is null where one has no value."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(PAIR), F.lit(i)).alias(n) for i, n in ((1, "lower"), (2, "upper"))])
+    both = F.lit(f"{PAIR}|{PAIR_BACK}")
+    groups = F.arrays_zip(*[F.regexp_extract_all(body, both, F.lit(i)).alias(n) for i, n in enumerate(("a", "b", "c", "d"), 1)])
+    found = F.transform(groups, lambda x: F.when(x["a"] != "", F.struct(x["a"].alias("lower"), x["b"].alias("upper"))).otherwise(F.struct(x["d"].alias("lower"), x["c"].alias("upper"))))
     rows = docs.select("doc_id", F.explode(F.array_distinct(found)).alias("x")).select("doc_id", "x.lower", "x.upper")
     number = F.regexp_replace(F.regexp_extract("lower", r"([0-9][0-9,，]*\.?[0-9]*)", 1), "[,，]", "").try_cast("double")
     low = number * F.when(F.contains("lower", F.lit("亿")), 1e8).when(F.contains("lower", F.lit("万")), 1e4).otherwise(1.0)
@@ -198,6 +221,96 @@ def amount_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("consistent", F.when((low > 0) & (high > 0), F.abs(low - high) < 0.01))
 
 
+#: fixed values: a party's line, and the words of signing and sealing
+PARTY_LINE = "(甲|乙|丙|丁|出租|承租|买|卖|委托|受托|发包|承包)[方人]"
+SIGNED = ["签字", "签名", "签署", "签章"]
+SEALED = ["盖章", "公章", "合同专用章", "法人章"]
+ZONE = ["签章", "签字盖章", "签字", "盖章", "签名", "甲方", "乙方", "签章日期", "签订日期"]
+NOBODY = "未知"
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def _role(text: Column) -> Column:
+    found = F.regexp_extract(text, PARTY_LINE, 1)
+    return F.when(F.length(found) == 1, F.concat(found, F.lit("方"))).when(found != "", found)
+
+
+def signatures(docs: DataFrame, blocks: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """(doc_id, role, has_signature, has_seal, line, page): of each party the first line that names it, and what stands two lines around it.
+
+    A text that names no party but has a signing word is signed by nobody
+    known. blocks (doc_id, page, text, top, page_height) are parts of pages:
+    those in the lowest three tenths that speak of signing tell of parties that
+    the text does not name, by their own words; line is null for these, as page
+    is for the others.
+    """
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    rows = docs.select("doc_id", F.col(text).alias("body"), lines.alias("lines")).withColumn("roles", F.transform("lines", _role))
+    # the first line of each role; no other is looked at
+    first = F.filter(F.transform("roles", lambda r, i: F.struct(r.alias("role"), i.alias("line"))), lambda x: x["role"].isNotNull() & (F.array_position("roles", x["role"]) == x["line"] + 1))
+
+    def marks(x: Column) -> Column:
+        low = F.greatest(x["line"] - 2, F.lit(0))
+        near = F.array_join(F.slice("lines", low + 1, x["line"] + 3 - low), "\n")
+        return F.struct(x["role"].alias("role"), _any(near, SIGNED).alias("has_signature"), _any(near, SEALED).alias("has_seal"), x["line"].cast("long").alias("line"))
+
+    kind = "array<struct<role:string,has_signature:boolean,has_seal:boolean,line:bigint>>"
+    nobody = F.array(F.struct(F.lit(NOBODY).alias("role"), F.lit(True).alias("has_signature"), F.lit(False).alias("has_seal"), F.lit(None).cast("long").alias("line")))
+    rows = rows.withColumn("first", first)
+    rows = rows.withColumn("found", F.when(F.size("first") > 0, F.transform("first", marks)).when(_any(F.col("body"), SIGNED + SEALED), nobody).otherwise(F.array().cast(kind)))
+    told = rows.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*", F.lit(None).cast("long").alias("page"))
+    if blocks is None:
+        return told
+    low = blocks.where((F.col("page_height") > 0) & (F.col("top") >= 0.7 * F.col("page_height"))).where(_any(F.lower(text), ZONE)).withColumn("role", _role(F.col(text))).where("role is not null")
+    best = low.select("doc_id", "role", "page", "top", _any(F.col(text), ["签字", "签名"]).alias("s"), _any(F.col(text), ["盖章", "公章"]).alias("e"))
+    score = F.col("s").cast("int") + F.col("e").cast("int")
+    one = best.groupBy("doc_id", "role").agg(F.max_by(F.struct("s", "e", "page"), F.struct(score, -F.col("page"), -F.col("top"))).alias("x"))
+    others = one.join(told.select("doc_id", "role"), ["doc_id", "role"], "left_anti")
+    return told.unionByName(others.select("doc_id", "role", F.col("x.s").alias("has_signature"), F.col("x.e").alias("has_seal"), F.lit(None).cast("long").alias("line"), F.col("x.page").cast("long").alias("page")))
+
+
+#: fixed values: names before their short forms, what opens and closes a section of definitions, and a definition there
+NAMED = "([\u4e00-\u9fffA-Za-z][\u4e00-\u9fffA-Za-z0-9·（()）]{2,30})\\s*[(（]\\s*(?:以下简称|下称)\\s*['‘\"“「]?\\s*(.+?)\\s*['’\"”」]?\\s*[)）]"
+SECTION = ["定义", "术语定义", "名词解释", "词语定义", "词语解释", "本合同中", "本合同中下列词语", "下列术语", "下列用语"]
+HEADING = r"^(?:第[一二三四五六七八九十百千]+[条章节]|[0-9]+[.．、])"
+MEANS = "['‘\"“]?([\u4e00-\u9fffA-Za-z][\u4e00-\u9fffA-Za-z0-9]{1,15})['’\"”]?\\s*(?:是指|指|系指|是|为)\\s*(.{5,100}?)(?:[。；;]|$)"
+
+
+def defined_terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, term, definition, form): short names with what they stand for (named), else alone (short), and terms that a section of definitions explains (means).
+
+    Each term once, in this order. A section begins with a line that speaks of
+    definitions and ends behind a numbered heading that does not.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    struct = lambda term, definition, form: F.struct(F.trim(term).alias("term"), definition.alias("definition"), F.lit(form).alias("form"))
+    pairs = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(NAMED), F.lit(i)).alias(n) for i, n in ((1, "full"), (2, "short"))])
+    named = F.transform(pairs, lambda x: struct(x["short"], F.trim(x["full"]), "named"))
+    short = F.transform(_terms(body), lambda t: struct(t, F.trim(t), "short"))
+    rows = docs.select("doc_id", F.concat(named, short).alias("inline"), F.transform(F.split(body, "\n"), F.trim).alias("lines"))
+    at = lambda test: F.filter(F.transform("lines", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumns({"opens": at(lambda x: _any(x, SECTION)), "closes": at(lambda x: x.rlike(HEADING) & ~_any(x, SECTION))})
+    last = lambda places, test: F.coalesce(F.array_max(F.filter(places, test)), F.lit(-1))
+    # the first line closes nothing
+    open_ = lambda i: last("opens", lambda k: k <= i) > last("closes", lambda k: (k < i) & (k > 0))
+
+    def explained(line: Column) -> Column:
+        found = F.arrays_zip(*[F.regexp_extract_all(line, F.lit(MEANS), F.lit(i)).alias(n) for i, n in ((1, "term"), (2, "means"))])
+        return F.transform(found, lambda x: struct(x["term"], F.trim(x["means"]), "means"))
+
+    means = F.flatten(F.transform(F.filter(F.transform("lines", lambda x, i: F.when(open_(i), x)), lambda x: x.isNotNull()), explained))
+    rows = rows.select("doc_id", F.concat("inline", means).alias("every"))
+    terms = F.transform("every", lambda x: x["term"])
+    once = F.filter("every", lambda x, i: (F.array_position(terms, x["term"]) == i + 1) & F.length(x["term"]).between(1, 20))
+    return rows.select("doc_id", F.explode(once).alias("x")).select("doc_id", "x.*")
+
+
 def richest_signatures(found: DataFrame) -> DataFrame:
     """found (doc_id, ord, role, has_signature, has_seal, has_riding_seal): of each role the record with the most marks, the first on ties."""
     marks = sum((F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("has_signature", "has_seal", "has_riding_seal")), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions.text import first_match, strip
 
-#: fixed values
+#: fixed values: what a contract is called, its types with their words, and how parties, addresses, disputes and law are written
 NAMES = [r"(?Udm)^\s*(.{2,30}(?:合同|协议|契约|合约))\s*$", r"(?Ud)((?:关于|有关).{2,20}(?:合同|协议))"]
 TYPES = [
     ("买卖合同", ["买卖合同", "购销合同", "采购合同", "销售合同"]),
@@ -61,9 +61,12 @@ def parties(text: Column, head: int = 2000, near: int = 200) -> Column:
             _first(F.substring(F.concat(x["m"], x["t"]), 1, near), REPRESENTATIVE, 1).alias("representative"),
         ))
 
-    every = F.concat(*[of(p) for p in PARTIES])
-    roles = F.transform(every, lambda x: x["role"])
-    return F.filter(every, lambda x, i: (F.array_position(roles, x["role"]) == i + 1) & (F.length(x["name"]) >= 2))
+    def once(every: Column) -> Column:
+        roles = F.transform(every, lambda x: x["role"])
+        return F.filter(every, lambda x, i: (F.array_position(roles, x["role"]) == i + 1) & (F.length(x["name"]) >= 2))
+
+    # bound to a name, so that the patterns are matched once
+    return F.flatten(F.transform(F.array(F.concat(*[of(p) for p in PARTIES])), once))
 
 
 def addresses(text: Column, most: int = 5) -> Column:
