@@ -11,7 +11,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexspan import catalogue  # noqa: F401, its SQL is used again
-from lexspan.operators import inverted, metrics, rule_table, set_join, trees, vectors
+from lexspan.operators import dialog, inverted, metrics, retrieval, rule_table, set_join, trees, vectors
 from lexspan.plans.packs import Rule
 from lexspan.registry import ORACLE_SQL, lit, query, table
 from lexspan.sources.feedback_log import FeedbackLog
@@ -250,3 +250,40 @@ def q_session_capacity(spark, sf_dir):
     finally:
         spark.conf.set(provider, before)
     return spark.read.schema(capacity.ENDED).parquet(f"{folder}/ended")
+
+
+@query(f"""
+    with impacts as ({_IMPACTS}), asked as (select doc_id as q, {_WORDS.format('split_part(text, chr(10), 1)')} as word from documents where doc_id % 100 = 0),
+    scores as (select q, doc_id, sum(impact) / 100.0 as k from asked join impacts using (word) group by all),
+    keyword as (select q, doc_id as ord, k from (select *, row_number() over (partition by q order by k desc, doc_id) as n from scores) where n <= 20),
+    force as (select distinct q, doc_id as ord, 0.7 as k from asked join impacts using (word) where word in (select word from impacts group by word having count(*) <= 3)),
+    far as (
+        select q.vec_id as q, c.vec_id as ord, greatest(0.0, 1 - list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) as v
+        from embeddings c, embeddings q where q.vec_id % 100 = 0
+    ), vector as (select q, ord, v from (select *, row_number() over (partition by q order by v desc, ord) as n from far where v >= 0.3) where n <= 20),
+    united as (select q, ord, max(v) as v, max(k) as k from (select q, ord, v, 0.0 as k from vector union all select q, ord, 0.0, k from keyword union all select q, ord, 0.0, k from force) group by all),
+    fused as (select q, ord, 1 / (row_number() over (partition by q order by v desc, ord) + 60) + 1 / (row_number() over (partition by q order by k desc, ord) + 60) as score from united)
+    select q as query_id, ord, rank::bigint as rank, round(score, 9) as score from (select *, row_number() over (partition by q order by round(score, 12) desc, ord) as rank from fused) where rank <= 5""")
+def q_hybrid_index(spark, sf_dir):
+    """Every hundredth document by its first line and its vector; ranks of both indexes and of forced documents are fused."""
+    docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    folder = shared_folder(spark, "hybrid")
+    index = inverted.build(entries(docs), f"{folder}/words", FIELDS, "doc_id")
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), inverted.words(F.substring_index("text", "\n", 1)).alias("words"))
+    keyword = inverted.search(index, asked, 20).select("query_id", "ord", (F.col("score") / 100).alias("score"))
+    rare = index.table(spark, "terms").where("n <= 3").select("word")
+    force = inverted.holding(index, asked.select(F.col("query_id").alias("term_id"), F.explode("words").alias("word")).join(rare, "word"))
+    force = force.select(F.col("term_id").alias("query_id"), "ord").distinct().withColumn("score", F.lit(0.7))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = vectors.search(vectors.build(e, f"{folder}/vectors"), queries, 20, least=0.3, exact=True).select("query_id", F.col("vec_id").alias("ord"), "score")
+    found = retrieval.fused(near, keyword, force, 5)
+    return found.select("query_id", "ord", "rank", F.round("score", 9).alias("score"))
+
+
+@query("""
+    select event_id, event_type from (select *, row_number() over (partition by done order by ts, event_id) as n, count(*) over (partition by done) as total
+        from (select *, event_type in ('purchase', 'error') as done from events)) where not done or n > total // 2""")
+def q_task_half(spark, sf_dir):
+    """Of the tasks that are done, purchases and errors, the older half goes."""
+    kept = dialog.without_oldest_half(table(spark, sf_dir, "events"), 100, F.col("event_type").isin("purchase", "error"), "ts", "event_id")
+    return kept.select("event_id", "event_type")

@@ -134,7 +134,7 @@ def q_full_report(spark, sf_dir):
     return report.full(_report_docs(spark, sf_dir), _report_risks(spark, sf_dir), items, AT)
 
 
-_JSON_RISK = f"{{ord: ord, name: name, category: category, risk_level: risk_level, risk_level_cn: {_name('risk_level', report.LEVEL_NAMES, lit('中'))}, description: description, legal_basis: legal_basis, suggestion: suggestion, confidence: confidence}}"
+_JSON_RISK = f"{{id: rule_id, name: name, category: category, risk_level: risk_level, risk_level_cn: {_name('risk_level', report.LEVEL_NAMES, lit('中'))}, description: description, clause_position: NULL, legal_basis: legal_basis, suggestion: suggestion, confidence: confidence}}"
 _SUMMARY = "{" + ", ".join(f"{x}: coalesce(n_{x},0)" for x in LEVELS) + ", total: coalesce(n,0)}"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import first_match, keyword_hits, similarity
+from lexspan.tables import in_order
 
 #: price per million tokens in and out (fixed values); an unknown model has the second's
 PRICES = {
@@ -56,6 +57,20 @@ def retained(rows: DataFrame, key: str, by: str, tie: str, most: int) -> DataFra
     return rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most).drop("__rn")
 
 
+def without_oldest_half(tasks: DataFrame, most: int, done, at: str, tie: str) -> DataFrame:
+    """tasks without the older half of the done ones, where more than half of ``most`` are done.
+
+    done is a condition; at is the time of completion (null: the oldest) and
+    tie settles equal ones. An odd number keeps the larger half.
+    """
+    rows = tasks.where(done)
+    n = rows.count()
+    if n <= most // 2:
+        return tasks
+    keys = in_order(rows.select(at, tie), [F.asc_nulls_first(at), F.asc(tie)], "__n").where(F.col("__n") <= n // 2).select(F.col(tie).alias("__gone"))
+    return tasks.join(keys, F.col(tie) == F.col("__gone"), "left_anti")
+
+
 def stagnation(steps: DataFrame, run: str = "run_id", order: str = "step") -> DataFrame:
     """steps (run, step, tool, args, content) with repeated and empty flags.
 

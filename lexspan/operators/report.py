@@ -92,7 +92,8 @@ _TEXTS = ("name", "category", "description", "clause_title", "clause_lines", "cl
 def _by_document(risks: DataFrame) -> DataFrame:
     """(doc_id, n, counts by level, x): a document's risks gathered in order of ord; a pack's rules bound their number."""
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in _TEXTS if c in risks.columns]
-    row = F.struct((-level_rank(F.col("risk_level"), 2)).alias("r"), F.col("ord"), F.coalesce("risk_level", F.lit("")).alias("risk_level"), F.col("confidence"), *texts)
+    more = [F.col(c) if c in risks.columns else F.lit(None).cast("string").alias(c) for c in ("rule_id", "clause_position")]
+    row = F.struct((-level_rank(F.col("risk_level"), 2)).alias("r"), F.col("ord"), F.coalesce("risk_level", F.lit("")).alias("risk_level"), F.col("confidence"), *texts, *more)
     return risks.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("x"), F.count("*").alias("n"), *[F.count_if(F.col("risk_level") == x).alias(f"n_{x}") for x in LEVELS])
 
 
@@ -131,19 +132,23 @@ def full(docs: DataFrame, risks: DataFrame, items: DataFrame, at: str, freshness
 
 
 def dictionary(docs: DataFrame, risks: DataFrame, at: str) -> DataFrame:
-    """(doc_id, report): the review as a JSON object, its risks in order of ord."""
+    """(doc_id, report): the review as a JSON object, its risks in order of ord.
+
+    A risk's id is that of its rule; its clause_position, the title of the
+    clause that it is about, is null where risks have no such column.
+    """
     rows = docs.join(_by_document(risks), "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     summary = F.struct(*[zero(f"n_{x}").alias(x) for x in LEVELS], zero("n").alias("total"))
     by_place = F.array_sort("x", lambda a, b: (a["ord"] - b["ord"]).cast("int"))
     one = lambda r: F.struct(
-        *[r[c].alias(c) for c in ("ord", "name", "category", "risk_level")], named(r["risk_level"], LEVEL_NAMES, F.lit("中")).alias("risk_level_cn"),
-        *[r[c].alias(c) for c in ("description", "legal_basis", "suggestion", "confidence")],
+        r["rule_id"].alias("id"), *[r[c].alias(c) for c in ("name", "category", "risk_level")], named(r["risk_level"], LEVEL_NAMES, F.lit("中")).alias("risk_level_cn"),
+        *[r[c].alias(c) for c in ("description", "clause_position", "legal_basis", "suggestion", "confidence")],
     )
     listed = F.transform(by_place, one)
     body = F.struct(
         F.lit(report_id(at)).alias("report_id"), "document_name", F.col("doc_type").alias("document_type"), F.lit(at).alias("review_time"), summary.alias("risk_summary"),
-        F.coalesce(listed, F.array().cast("array<struct<ord:int,name:string,category:string,risk_level:string,risk_level_cn:string,description:string,legal_basis:string,suggestion:string,confidence:double>>")).alias("risks"),
+        F.coalesce(listed, F.array().cast("array<struct<id:string,name:string,category:string,risk_level:string,risk_level_cn:string,description:string,clause_position:string,legal_basis:string,suggestion:string,confidence:double>>")).alias("risks"),
         "security_warning", F.lit(DISCLAIMER).alias("disclaimer"), F.lit(timeliness(at)).alias("timeliness_disclaimer"),
     )
     return rows.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))

@@ -135,13 +135,31 @@ def load_playbooks(builtin: list[Playbook], folder: str | Path | None = None) ->
     return out
 
 
+def load_clause_patterns(path: str | Path, patterns: list[str], words: list[str]) -> tuple[list[str], list[str]]:
+    """(header patterns in order of priority, header words) of a YAML file with lists ``patterns`` and ``title_keywords``.
+
+    Patterns that are invalid or have no text are left out; what the file has
+    none of, or a file that cannot be read, leaves the defaults given.
+    """
+    try:
+        data = _yaml(path)
+    except PackError as e:
+        warnings.warn(str(e), stacklevel=2)
+        return patterns, words
+    listed = data.get("patterns")
+    own = [x for x in (listed if isinstance(listed, list) else []) if isinstance(x, dict) and isinstance(x.get("regex"), str) and valid_patterns([x["regex"]])]
+    own.sort(key=lambda x: int(x.get("priority", 99)))
+    titles = data.get("title_keywords")
+    return [x["regex"] for x in own] or patterns, [x for x in (titles if isinstance(titles, list) else []) if isinstance(x, str)] or words
+
+
 def load_provisions(path: str | Path) -> list[dict]:
-    """Rows (ord, law, article, title, content, keywords, category, status, last_verified) of a YAML file with a list ``legal_provisions``."""
+    """Rows (ord, law, article, title, content, keywords, category, status, last_verified, repealed_by) of a YAML file with a list ``legal_provisions``."""
     rows = enumerate(_yaml(path).get("legal_provisions") or (), 1)
     return [
         {
             "ord": i, "law": x["law"], "article": x["article"], "title": x["title"], "content": x["content"], "keywords": list(x.get("keywords") or ()),
-            "category": x.get("category", "其他"), "status": x.get("status", "active"), "last_verified": _day(x.get("last_verified")),
+            "category": x.get("category", "其他"), "status": x.get("status", "active"), "last_verified": _day(x.get("last_verified")), "repealed_by": x.get("repealed_by") or "",
         }
         for i, x in rows
     ]

@@ -50,3 +50,14 @@ def best(df: DataFrame, keys: list[str], order: list, k: int, spread: str) -> Da
     some = some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).drop("__salt")
     last = Window.partitionBy(*keys).orderBy(*order)
     return some.withColumn("rank", F.row_number().over(last).cast("long")).where(F.col("rank") <= k)
+
+
+def in_order(df: DataFrame, order: list, name: str = "n") -> DataFrame:
+    """df, written, with a long column of numbers from 1 in this order, which rows must not tie on; ranges of it are numbered apart and shifted."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    rows = written(spread, "order")
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__count"))
+    # a row for each partition
+    before = counts.withColumn("__before", F.coalesce(F.sum("__count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return rows.withColumn(name, own).join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__count", "__before")

@@ -71,3 +71,29 @@ def test_word_found_as_code_only_alone(spark):
     texts = ["git x", "digit", "src/a", "xsrc/a", "requirements", "myrequirementsx"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(code_hits(F.col("t"), ["git", "src/", "requirements"])).collect()
     assert [r[0] for r in rows] == [1, 0, 0, 0, 1, 1]
+
+
+def test_clause_patterns_of_a_file(tmp_path):
+    text = """
+patterns:
+  - {regex: "^B", priority: 2, name: b}
+  - {regex: "^A", priority: 1}
+  - {regex: "(", priority: 0}
+  - {name: none}
+  - odd
+  - {regex: "^C"}
+title_keywords: [总则, 3, 附则]
+"""
+    path = tmp_path / "patterns.yaml"
+    path.write_text(text, encoding="utf-8")
+    assert packs.load_clause_patterns(path, ["x"], ["y"]) == (["^A", "^B", "^C"], ["总则", "附则"])
+    path.write_text("patterns: odd", encoding="utf-8")
+    assert packs.load_clause_patterns(path, ["x"], ["y"]) == (["x"], ["y"])
+    with pytest.warns(UserWarning):
+        assert packs.load_clause_patterns(tmp_path / "none.yaml", ["x"], ["y"]) == (["x"], ["y"])
+
+
+def test_repealed_by_is_kept(tmp_path):
+    path = tmp_path / "laws.yaml"
+    path.write_text("legal_provisions:\n  - {law: a, article: b, title: c, content: d, status: repealed, repealed_by: e}\n  - {law: a, article: b, title: c, content: d}\n", encoding="utf-8")
+    assert [x["repealed_by"] for x in packs.load_provisions(path)] == ["e", ""]
