@@ -12,7 +12,6 @@ their place by their number among the pieces of their length.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from bisect import bisect_right
@@ -21,11 +20,12 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.llm.ranks import numbered
-from lexspan.llm.scratch import partitions, written
+from lexspan.llm.scratch import fresh, partitions, written
+from lexspan.tables import small_side
 
 CAPACITY = 2048
 END = 0  # id that ends a document
@@ -236,22 +236,23 @@ class Places:
     def __init__(self, shapes: list[tuple[tuple[int, ...], int]]):
         starts: dict[int, list[int]] = {}
         slots: dict[int, list[tuple[int, int, int]]] = {}
+        spread: dict[int, list[tuple[float, int]]] = {}
         used: dict[int, int] = {}
         base = 0
-        for lengths, times in shapes:
+        for shape, (lengths, times) in enumerate(shapes):
             offset = 0
             for place, n in enumerate(lengths):
                 starts.setdefault(n, []).append(used.get(n, 0))
                 slots.setdefault(n, []).append((base, offset, place))
+                spread.setdefault(n, []).append((shape * 0.6180339887498949 % 1, times))
                 used[n] = used.get(n, 0) + times
                 offset += n
             base += times
         self.sequences = base
-        self.times = np.array([t for _, t in shapes], np.int64)
-        self.bases = np.cumsum(self.times) - self.times
-        self.spread: dict[int, np.ndarray] = {}
         self.starts = {n: np.array(x, np.int64) for n, x in starts.items()}
         self.slots = {n: np.array(x, np.int64) for n, x in slots.items()}
+        self.phases = {n: np.array([p for p, _ in x]) for n, x in spread.items()}
+        self.times = {n: np.array([t for _, t in x], np.int64) for n, x in spread.items()}
 
     def of(self, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """(sequence, offset, place) rows."""
@@ -263,48 +264,60 @@ class Places:
             out[at, 0] += rank[at] - self.starts[n][i]
         return out
 
-    def _along(self, n: int, pieces: int) -> np.ndarray:
-        """The places of all pieces of a length, in the order of when their sequences come.
+    def _stretch(self, n: int, ranks: np.ndarray) -> np.ndarray:
+        """The places of pieces of a length with these ascending ranks, in the order of when their sequences come.
 
-        A shape's sequences are spread evenly over the whole, each shape from
-        a start of its own, so that every stretch has its part of each shape.
+        A shape's sequences are spread evenly over the whole, the k-th of t at
+        (k + phase) / t with a phase of its own, so that every stretch has its
+        part of each shape. A rank's moment is known to as many sequences as there
+        are shapes; only those about the stretch are laid out and sorted.
         """
-        if n not in self.spread:
-            if len(self.spread) >= 64:
-                self.spread.clear()
-            k = np.arange(pieces)
-            all_ = self.of(np.full(pieces, n), k)
-            shape = np.searchsorted(self.bases, all_[:, 0], "right") - 1
-            when = (all_[:, 0] - self.bases[shape] + shape * 0.6180339887498949 % 1) / self.times[shape]
-            self.spread[n] = all_[np.lexsort((k, when))]
-        return self.spread[n]
-
-    def along(self, length: np.ndarray, rank: np.ndarray, histogram: dict[int, int]) -> np.ndarray:
+        phases, times = self.phases[n], self.times[n]
+        many, total = len(times), int(times.sum())
+        low, high = (int(ranks[0]) - many) / total, (int(ranks[-1]) + 1 + many) / total
+        first = np.clip(np.floor(low * times - phases).astype(np.int64) - 1, 0, times)
+        size = np.clip(np.floor(high * times - phases).astype(np.int64) + 2, first, times) - first
+        shape = np.repeat(np.arange(many), size)
+        k = np.arange(len(shape)) + np.repeat(first - (np.cumsum(size) - size), size)
+        # what comes before the stretch is not laid out, and comes before all of it
+        chosen = np.lexsort((k, shape, (k + phases[shape]) / times[shape]))[ranks - first.sum()]
+        found = self.slots[n][shape[chosen]]
+        found[:, 0] += k[chosen]
+        return found
+
+    def along(self, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """(sequence, offset, place) rows, where rank follows an order that the sequences are to follow."""
         out = np.empty((len(length), 3), np.int64)
-        for n in np.unique(length).tolist():
-            at = length == n
-            out[at] = self._along(n, histogram[n])[rank[at]]
+        order = np.lexsort((rank, length))
+        n, r = length[order], rank[order]
+        new = np.flatnonzero((n[1:] != n[:-1]) | (r[1:] - r[:-1] > 64)) + 1
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(n)]):
+            if b > a:
+                out[order[a:b]] = self._stretch(int(n[a]), r[a:b])
         return out
 
 
 def in_order(docs: DataFrame, tag: str) -> tuple[DataFrame, Column, int]:
-    """(docs, number of each row from 0, rows), in the order in which the rows were written.
+    """(docs with their files' places, number of each row from 0, rows), in the order in which the rows were written.
 
     Spark's writers number their files by partition; a row's number is that of
     its file's first row and its place in the file. A frame that is not read
-    from files is written first. The files' counts meet on the driver.
+    from files is written first. There is a row for each file in a written
+    table, which is told to all tasks where it is small and joined otherwise.
     """
     try:
         docs.select("_metadata.file_name", "_metadata.row_index")
     except AnalysisException:
         docs = written(docs, f"{tag}-order")
-    files = dict(map(tuple, docs.select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count("*")).collect()))
-    firsts, total = {}, 0
-    for name in sorted(files):
-        firsts[name], total = total, total + files[name]
-    told = F.from_json(F.lit(json.dumps(firsts)), "map<string,bigint>")
-    return docs, F.element_at(told, F.col("_metadata.file_name")) + F.col("_metadata.row_index"), total
+    file, row, of, start, n = fresh(docs.columns, "file", "row", "of", "start", "n")
+    docs = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    counts = docs.groupBy(F.col(file).alias(of)).agg(F.count("*").alias(n))
+    # by the number in the name, as digits grow in number as files do
+    order = Window.orderBy(F.coalesce(F.regexp_extract(of, r"^part-([0-9]+)", 1).try_cast("long"), F.lit(-1)), of).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = written(counts.withColumn(start, F.coalesce(F.sum(n).over(order), F.lit(0))), f"{tag}-files")
+    total = firsts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    placed = docs.join(small_side(firsts.select(of, start)), F.col(file) == F.col(of))
+    return placed, F.col(start) + F.col(row), total
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tag: str = "pack", ordered: bool = False) -> DataFrame:
@@ -318,8 +331,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     ordered: sequences follow the order of docs' rows as written. The pieces of
     a length go to sequences in that order, and sequences are numbered by the
-    mean place of their pieces in it. A worker then holds the places of the
-    lengths at hand, 24 bytes a piece.
+    mean place of their pieces in it. A worker holds the places of the pieces
+    of its batch.
     """
     spark = docs.sparkSession
     at, total = F.lit(0).cast("long"), 0
@@ -328,17 +341,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), at.alias("at"))
     cut = written(pieces(rows, tokenizer, capacity), f"{tag}-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = spark.sparkContext.broadcast((Places(plan(histogram, capacity)), histogram))
+    places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
     salts = max(8, partitions(spark))
     stretch = lambda x: F.floor(x * salts / max(1, total))
     salt = stretch(F.col("at")) if ordered else F.xxhash64("doc_id", "piece")
     ranked = numbered(cut, ["length"], salt, salts, ["at", "doc_id", "piece"], "rank")
 
     def run(batches):
-        found_places, lengths = places.value
         for batch in batches:
             length, rank = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("length", "rank"))
-            found = found_places.along(length, rank, lengths) if ordered else found_places.of(length, rank)
+            found = places.value.along(length, rank) if ordered else places.value.of(length, rank)
             columns = [batch.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "at")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, *(pa.array(found[:, i]) for i in range(3))],

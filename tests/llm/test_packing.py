@@ -73,3 +73,50 @@ def test_plan_uses_every_length_and_stays_small():
         assert len(shapes) <= 8 * 2048
         if size >= 500:
             assert sum(t for _, t in shapes) <= 1.02 * sum(n * c for n, c in histogram.items()) / 2048 + 1
+
+
+def laid_out(shapes, n):
+    """The places of all pieces of a length, each laid out and sorted by when its sequence comes."""
+    base, out = 0, []
+    for shape, (lengths, times) in enumerate(shapes):
+        offset = 0
+        for place, x in enumerate(lengths):
+            if x == n:
+                out += [((k + shape * 0.6180339887498949 % 1) / times, (shape, place), k, (base + k, offset, place)) for k in range(times)]
+            offset += x
+        base += times
+    return [row for *_, row in sorted(out)]
+
+
+def test_ordered_places_are_found_without_laying_all_out():
+    rng = np.random.default_rng(3)
+    shapes = [(tuple(int(x) for x in rng.integers(1, 5, rng.integers(1, 5))), int(t)) for t in [1, 1, 2, 3, 7, 50, 1000, 1001, 333, 40]]
+    places = packing.Places(shapes)
+    for n in range(1, 5):
+        want = laid_out(shapes, n)
+        everything = np.arange(len(want))
+        assert places.along(np.full(len(want), n), everything).tolist() == [list(x) for x in want]
+        some = rng.permutation(everything)[: len(want) // 50]
+        assert places.along(np.full(len(some), n), some).tolist() == [list(want[r]) for r in some]
+    assert places.along(np.array([], np.int64), np.array([], np.int64)).shape == (0, 3)
+
+
+def test_a_batch_costs_its_own_places():
+    """A length with ten thousand million pieces."""
+    places = packing.Places([((7, 7), 10**9), ((7,), 8 * 10**9), ((7, 3), 3)])
+    ranks = np.array([0, 5, 5 * 10**9, 5 * 10**9 + 1, 10**10 + 2])
+    found = places.along(np.full(5, 7), ranks)
+    assert len({tuple(x) for x in found.tolist()}) == 5 and (np.diff(ranks) > 0).all()
+
+
+def test_files_are_taken_by_number(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x") for i in range(6)], "doc_id long, text string")
+    for i in range(6):
+        rows.where(f"doc_id = {i}").coalesce(1).write.parquet(str(tmp_path / f"one{i}"))
+    folder = tmp_path / "all"
+    folder.mkdir()
+    for i, number in enumerate((3, 20, 99_999, 100_000, 100_001, 1_000_000)):
+        part = next((tmp_path / f"one{i}").glob("part-*.parquet"))
+        part.rename(folder / f"part-{number:05d}-x.parquet")
+    docs, at, total = packing.in_order(spark.read.parquet(str(folder)), "files")
+    assert total == 6 and sorted((r["at"], r["doc_id"]) for r in docs.select(at.alias("at"), "doc_id").collect()) == [(i, i) for i in range(6)]
