@@ -23,8 +23,10 @@ CODE = [
     "try:", "except:", "raise ", "print(", "logger", "git", "dockerfile", "makefile", "readme", ".py", ".js", "src/", "tests/", "config", "setup.py", "requirements", "github",
     "npm", "pip install", "todo", "fixme", "hack", "refactor", "commit", "merge", "branch", "deploy",
 ]
+#: fixed values: words of criminal law, and phrases that hold them without meaning it
 SCOPE_WORDS = ["刑事犯罪", "刑罚", "有期徒刑", "拘役", "管制", "无期徒刑", "死刑"]
 SCOPE_SAFE = ["保密义务", "刑事责任条款", "法律法规", "适用法律", "管辖", "合规", "刑事附带民事"]
+#: fixed values: clause types with their words, in order
 CLAUSE_TYPES = [
     ("违约责任", ["违约责任", "违约", "违约金", "赔偿", "损害赔偿"]),
     ("争议解决", ["争议解决", "争议", "仲裁", "诉讼", "管辖", "法院"]),
@@ -35,6 +37,7 @@ CLAUSE_TYPES = [
     ("生效条款", ["生效", "本合同自", "签字盖章"]),
     ("当事人信息", ["甲方", "乙方", "当事人", "地址", "法定代表人"]),
 ]
+#: fixed values: codes of errors with words of their messages, in order
 ERRORS = [
     ("LLM_TIMEOUT", ["timeout", "timed out"]),
     ("LLM_API_KEY_INVALID", ["api key", "unauthorized", "401"]),

@@ -102,6 +102,7 @@ def definitions(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def revisions(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, kind, content) of marked deletions and insertions."""
+    # fixed values: how deletions and insertions are marked
     forms = [("delete", r"~~(.+?)~~"), ("delete", r"\[删除：(.+?)\]"), ("insert", r"\[新增：(.+?)\]"), ("insert", r"\[修改：(.+?)\]"), ("insert", r"\+\+(.+?)\+\+")]
     every = F.concat(*[_tagged(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)), "kind", k, "content") for k, p in forms])
     return docs.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*")

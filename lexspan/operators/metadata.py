@@ -35,7 +35,7 @@ ADDRESS = r"(?Ud)(?:住所地|地址|住址)[：:]\s*(.{5,80}?)(?:\s*$|。)"
 DISPUTES = [
     r"(?Ud)(?:提交|约定).{0,5}(?:仲裁|仲裁委员会)",
     r"(?Ud)(?:向|由).{0,20}(?:人民法院|法院)(?:起诉|提起诉讼|管辖)",
-    r"(?Ud)争议解决[：:]?\s*(?:.{5,30}?(?:仲裁|诉讼|法院|管辖).{0,10})",
+    r"(?Ud)争议解决[：:]?\s*(.{5,30}?(?:仲裁|诉讼|法院|管辖).{0,10})",
 ]
 LAW = r"(?Ud)(?:适用|依据|根据).{0,10}(中华人民共和国.{0,20}法)"
 

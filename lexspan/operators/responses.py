@@ -57,7 +57,7 @@ def json_in(text: str | None) -> str | None:
 
 
 #: text fields of a finding: what stands for a missing one, and the longest kept
-TEXTS = {"name": (UNNAMED, 100), "category": (OTHER, 50), "description": ("", None), "clause_preview": ("", 200)}
+LIMITS = {"name": (UNNAMED, 100), "category": (OTHER, 50), "description": ("", None), "clause_preview": ("", 200)}
 OPTIONAL = ("legal_basis", "suggestion")
 
 
@@ -84,7 +84,7 @@ def findings_in(response: str | None) -> list[dict]:
     items = [(f"LLM_RISK_{n:03d}", x) for n, x in enumerate(_listed(json.loads(json_in(response) or "[]")), 1) if isinstance(x, dict)]
     return [
         {"id": name, "rule_id": MODEL_RULE, "risk_level": next((v for v in LEVELS if v == x.get("risk_level")), "medium"), "confidence": _sure(x.get("confidence"))}
-        | {k: str(x.get(k, other))[:most] for k, (other, most) in TEXTS.items()}
+        | {k: str(x.get(k, other))[:most] for k, (other, most) in LIMITS.items()}
         | {k: str(x[k]) if x.get(k) else None for k in OPTIONAL}
         for name, x in items
     ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: fixed values: levels of clause numbers, and numerals
 LEVEL = {"chapter": 1, "section": 2, "article": 3, "paragraph": 4, "subitem": 5, "item": 6}
 CHINESE = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
 
