@@ -88,8 +88,6 @@ def q_playbooks(spark, sf_dir):
 # reports
 
 AT = "2026-09-01 08:30:00"
-_MAIL = "regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')"
-_MASKED = "left(split_part(x,'@',1), greatest(1, length(split_part(x,'@',1))//2)::INT)||'***@'||split_part(x,'@',2)"
 _FOUND = f"SELECT * FROM ({_described_sql(base.RULES_SQL, LATIN)})"
 _LEVEL = "CASE risk_level WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'low' THEN 1 ELSE 2 END"
 
@@ -108,13 +106,15 @@ _DETAIL = f"""chr(10)||'### '||{_name('risk_level', report.LEVEL_ICONS, "'⚪'")
 _ADVICE = f"'- ['||{_name('risk_level', report.LEVEL_NAMES, 'risk_level')}||'] '||name||': '||suggestion"
 _DETAILS = f"SELECT doc_id, count(*) AS n, {', '.join(f'count(*) FILTER (risk_level={lit(x)}) AS n_{x}' for x in LEVELS)}, string_agg({_DETAIL}, chr(10) ORDER BY place) AS details, string_agg({_ADVICE}, chr(10) ORDER BY ord) FILTER (suggestion<>'') AS advice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_LEVEL} DESC, ord) AS place FROM ({_FOUND})) GROUP BY doc_id"
 _COUNTS = "||".join(f"{lit(chr(10) + '| ' + report.LEVEL_ICONS[k] + ' ' + v + '风险 | ')}||coalesce(n_{k},0)||' |'" for k, v in report.LEVEL_NAMES.items())
-_REPORT_DOCS = f"SELECT doc_id, 'doc-'||doc_id AS document_name, t.doc_type, CASE WHEN contains(text,'@mail') THEN '检测到电子邮箱' END AS security_warning, {_MAIL} AS mails FROM documents JOIN ({ORACLE_SQL['q_doc_type']}) t USING (doc_id)"
+_REPORT_DOCS = f"""SELECT doc_id, 'doc-'||doc_id AS document_name, t.doc_type, '检测到'||m.warning AS security_warning, coalesce(i.items, []) AS items FROM documents JOIN ({ORACLE_SQL['q_doc_type']}) t USING (doc_id)
+JOIN ({ORACLE_SQL['q_pii_mask']}) m USING (doc_id) LEFT JOIN (SELECT doc_id, list('| '||type||' | '||masked_value||' |' ORDER BY start_pos) AS items FROM ({ORACLE_SQL['q_pii_spans']}) GROUP BY doc_id) i USING (doc_id)"""
 
 
 def _report_docs(spark, sf_dir):
     kind = classify.document_type(F.col("text"), classify.LATIN_TYPES, classify.LATIN_SIGNALS, classify.LATIN_CODE)
-    warned = F.when(F.contains("text", F.lit("@mail")), "检测到电子邮箱")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("document_name"), kind.alias("doc_type"), warned.alias("security_warning"))
+    docs = table(spark, sf_dir, "documents")
+    warned = privacy.masked_texts(docs).select("doc_id", F.concat(F.lit("检测到"), "warning").alias("security_warning"))
+    return docs.select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("document_name"), kind.alias("doc_type")).join(warned, "doc_id")
 
 
 def _report_risks(spark, sf_dir):
@@ -123,14 +123,14 @@ def _report_risks(spark, sf_dir):
 
 @query(f"""SELECT doc_id, {lit(f'# 📋 法务审查报告{chr(10)}{chr(10)}| 项目 | 内容 |{chr(10)}|------|------|{chr(10)}| 报告编号 | {report.report_id(AT)} |{chr(10)}| 文件名称 | ')}||document_name||{lit(' |' + chr(10) + '| 文件类型 | ')}
 ||{_name('doc_type', report.TYPE_NAMES, 'doc_type')}||{lit(f' |{chr(10)}| 审查时间 | {AT} |{chr(10)}{chr(10)}')}
-||CASE WHEN security_warning<>'' THEN {lit(f'## 🔒 安全提示{chr(10)}{chr(10)}')}||security_warning||CASE WHEN len(mails)>0 THEN {lit(f'{chr(10)}{chr(10)}### 检测到的敏感信息{chr(10)}{chr(10)}| 类型 | 原始值（已脱敏） |{chr(10)}|------|-----------------|')}
-||array_to_string(list_transform(mails[1:10], lambda x: chr(10)||'| 邮箱 | '||{_MASKED}||' |'), '')||{lit(report.MASK_ADVICE)} ELSE '' END||{lit(chr(10) * 2)} ELSE '' END
+||CASE WHEN security_warning<>'' THEN {lit(f'## 🔒 安全提示{chr(10)}{chr(10)}')}||security_warning||CASE WHEN len(items)>0 THEN {lit(f'{chr(10)}{chr(10)}### 检测到的敏感信息{chr(10)}{chr(10)}| 类型 | 原始值（已脱敏） |{chr(10)}|------|-----------------|')}
+||array_to_string(list_transform(items[1:10], lambda x: chr(10)||x), '')||{lit(report.MASK_ADVICE)} ELSE '' END||{lit(chr(10) * 2)} ELSE '' END
 ||{lit(f'## 📊 风险概览{chr(10)}{chr(10)}| 风险等级 | 数量 |{chr(10)}|----------|------|')}||{_COUNTS}||{lit(chr(10) + '| **合计** | **')}||coalesce(n,0)||'** |'||CASE WHEN n IS NULL THEN {lit(report.NO_RISKS)} ELSE '' END
 ||{lit(f'{chr(10)}{chr(10)}## 📝 详细风险分析')}||coalesce(chr(10)||details, {lit(report.NO_DETAILS)})||{lit(f'{chr(10)}{chr(10)}## 💡 合规建议')}||coalesce({lit(chr(10) * 2)}||advice||{lit(report.ADVICE)}, {lit(report.NO_SUGGESTIONS)})
 ||{lit(f'{chr(10)}{chr(10)}---{chr(10)}{chr(10)}## ⚖️ 免责声明{chr(10)}{chr(10)}{report.DISCLAIMER}{chr(10)}{chr(10)}---{chr(10)}{chr(10)}{report.timeliness(AT)}{chr(10)}{chr(10)}---{chr(10)}*本报告由 AI 辅助生成，审查时间：{AT}*')} AS report
 FROM ({_REPORT_DOCS}) LEFT JOIN ({_DETAILS}) USING (doc_id)""")
 def q_full_report(spark, sf_dir):
-    items = privacy.pii_spans(table(spark, sf_dir, "documents")).where(F.col("type") == "邮箱")
+    items = privacy.pii_spans(table(spark, sf_dir, "documents"))
     return report.full(_report_docs(spark, sf_dir), _report_risks(spark, sf_dir), items, AT)
 
 
