@@ -216,7 +216,7 @@ def q_citation_text(spark, sf_dir):
 
 # corrections
 
-_LINKED = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS risk_idx, name, risk_level, 1 + ord % 2 AS clause_id FROM ({base.RULES_SQL})"
+_LINKED = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS risk_idx, name, risk_level, t.linked_clause AS clause_id FROM ({base.RULES_SQL}) LEFT JOIN ({ORACLE_SQL['q_risk_trace']}) t USING (doc_id, ord)"
 
 
 @query(f"""SELECT l.doc_id, l.doc_id % 3 + 1 AS risk_idx, r.name AS risk_name, r.risk_level, coalesce(c.title,'') AS clause_title, md5(coalesce(c.content,'')) AS clause_md5 FROM labels l
@@ -224,7 +224,8 @@ JOIN ({_LINKED}) r ON r.doc_id=l.doc_id AND r.risk_idx=l.doc_id % 3 + 1 LEFT JOI
 def q_feedback_clauses(spark, sf_dir):
     """A correction of each labelled document: of its first, second or third finding, by its id."""
     given = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 3 + 1).alias("risk_idx"))
-    risks = base._risks(spark, sf_dir).withColumn("linked_clause", (F.col("ord") % 2 + 1).cast("long"))
+    traced = base.QUERIES["q_risk_trace"](spark, sf_dir)
+    risks = base._risks(spark, sf_dir).withColumn("ord", F.col("ord").cast("long")).join(traced, ["doc_id", "ord"], "left")
     out = feedback.with_clauses(given, risks, base._clauses(spark, sf_dir))
     return out.select("doc_id", "risk_idx", "risk_name", "risk_level", "clause_title", F.md5("clause_text").alias("clause_md5"))
 
