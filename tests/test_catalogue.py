@@ -3,10 +3,10 @@ import math
 import duckdb
 import pytest
 
-from lexspan import catalogue, catalogue_contracts, catalogue_volume, catalogue_zh  # noqa: F401
+from lexspan import catalogue, catalogue_contracts, catalogue_orders, catalogue_volume, catalogue_zh  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
-TABLES = ["documents", "embeddings", "pages", "labels", "conversations", "events", "benchmark", "orders", "customer", "nation"]
+TABLES = ["documents", "embeddings", "pages", "labels", "conversations", "events", "benchmark", "orders", "lineitem", "customer", "nation"]
 
 
 @pytest.fixture(scope="module")
