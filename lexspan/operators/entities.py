@@ -192,30 +192,30 @@ PAIR_BACK = rf"[（(]\s*(?:大写[：:]?\s*)?(?:人民币)?([{NUMERALS}]+)[元
 
 
 def capitals(number: Column) -> Column:
-    """A whole number from 1 up to 10^12 in capital numerals; null for others."""
-    places = F.filter(F.split(F.lpad(number.cast("long").cast("string"), 12, "0"), ""), lambda c: c != "")
-    numerals, units = (F.array(*map(F.lit, x)) for x in (NUMERALS[:10], ["仟", "佰", "拾", ""]))
-    begin = F.struct(F.lit("").alias("out"), F.lit(False).alias("zero"), F.lit(0).alias("i"), F.lit(0).alias("section"))
+    """A whole number from 1 up to 10^12 in capital numerals; null for others.
 
-    def step(a: Column, c: Column) -> Column:
-        d = c.cast("int")
-        digit = F.concat(F.when(a["zero"], "零").otherwise(""), F.get(numerals, d), F.get(units, a["i"] % 4))
-        out = F.concat(a["out"], F.when(d > 0, digit).otherwise(""))
-        section = a["section"] + d
-        mark = F.when((a["i"] == 3) & (section > 0), "亿").when((a["i"] == 7) & (section > 0), "万").otherwise("")
-        zero = (d == 0) & (out != "")
-        return F.struct(F.concat(out, mark).alias("out"), zero.alias("zero"), (a["i"] + 1).alias("i"), F.when(a["i"] % 4 == 3, 0).otherwise(section).alias("section"))
-
-    return F.when((number >= 1) & (number < 10**12), F.aggregate(places, begin, step, lambda a: a["out"]))
+    Every digit is told with its unit, and then what zeros leave unsaid goes.
+    """
+    digits = F.translate(F.lpad(number.cast("long").cast("string"), 12, "0"), "0123456789", NUMERALS[:10])
+    units = ["仟", "佰", "拾", "亿", "仟", "佰", "拾", "万", "仟", "佰", "拾", ""]
+    out = F.concat(*[x for i, u in enumerate(units) for x in (F.substring(digits, i + 1, 1), F.lit(u))])
+    # a section without digits has no mark, and a zero before a mark is told behind it
+    for old, new in (("零[仟佰拾]", "零"), ("零{4}[亿万]", "零"), ("零+([亿万])", "$1零"), ("^零+|零+$", ""), ("零{2,}", "零")):
+        out = F.regexp_replace(out, old, new)
+    return F.when((number >= 1) & (number < 10**12), out)
 
 
 def amount_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, lower, upper, consistent): amounts in digits with the same in capitals before or behind them; consistent is null where one has no value."""
+    """(doc_id, lower, upper, consistent): amounts in digits with the same in capitals before or behind them, each raw text once; consistent is null where one has no value.
+
+    The same amount in both orders is two raw texts, and so two rows.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    both = F.lit(f"{PAIR}|{PAIR_BACK}")
-    groups = F.arrays_zip(*[F.regexp_extract_all(body, both, F.lit(i)).alias(n) for i, n in enumerate(("a", "b", "c", "d"), 1)])
-    found = F.transform(groups, lambda x: F.when(x["a"] != "", F.struct(x["a"].alias("lower"), x["b"].alias("upper"))).otherwise(F.struct(x["d"].alias("lower"), x["c"].alias("upper"))))
-    rows = docs.select("doc_id", F.explode(F.array_distinct(found)).alias("x")).select("doc_id", "x.lower", "x.upper")
+    both = f"{PAIR}|{PAIR_BACK}"
+    raws = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(both), F.lit(0)))).alias("raw"))
+    group = lambda i: F.regexp_extract("raw", both, i)
+    behind = group(1) != ""
+    rows = raws.select("doc_id", F.when(behind, group(1)).otherwise(group(4)).alias("lower"), F.when(behind, group(2)).otherwise(group(3)).alias("upper"))
     number = F.regexp_replace(F.regexp_extract("lower", r"([0-9][0-9,，]*\.?[0-9]*)", 1), "[,，]", "").try_cast("double")
     low = number * F.when(F.contains("lower", F.lit("亿")), 1e8).when(F.contains("lower", F.lit("万")), 1e4).otherwise(1.0)
     high = capital_number(F.col("upper"))
