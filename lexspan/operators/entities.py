@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import occurrences, places
+from lexspan.functions.text import bound, occurrences, places
 
 #: fixed values: capital numerals, their units, and how dates are written
 DIGITS = {"零": 0, "壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9}
@@ -130,7 +130,8 @@ DATE_ROLES = [
     ("开工日期", ["开工日期", "开工日", "开工之日"]),
     ("竣工日期", ["竣工日期", "竣工日", "竣工之日"]),
 ]
-CHINESE_DATE = "([〇零一二三四五六七八九]{4})年([一二三四五六七八九十]{1,3})月([一二三四五六七八九十]{1,4})日"
+# the lookahead is implied: it is quicker than the class that follows
+CHINESE_DATE = "(?=.{4}年)([〇零一二三四五六七八九]{4})年([一二三四五六七八九十]{1,3})月([一二三四五六七八九十]{1,4})日"
 RELATIVE_DATE = r"(自.{2,10}(?:之日起|起))\s*([0-9]+)\s*(日内|日|个月|天|年)"
 
 
@@ -152,10 +153,9 @@ def date_role(context: Column) -> Column:
     """The first role with a keyword, or its pattern, in the context."""
     out = F.lit(None).cast("string")
     for role, words in reversed(DATE_ROLES):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | (context.rlike(w) if ".*" in w else F.contains(context, F.lit(w)))
-        out = F.when(hit, F.lit(role)).otherwise(out)
+        # by their first characters, so that few places of a context are looked at twice
+        first = sorted({w[0] for w in words})
+        out = F.when(context.rlike("|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in first)), F.lit(role)).otherwise(out)
     return out
 
 
@@ -168,21 +168,29 @@ def date_mentions(docs: DataFrame, text: str = "text", strict: bool = True, keys
     body = F.coalesce(F.col(text), F.lit(""))
     forms = [(DATE_FORMS[0][0], 0), (CHINESE_DATE, 1), *DATE_FORMS[1:], (f"(?d){RELATIVE_DATE}", 9)]
     of = lambda p, k: F.transform(places(body, p), lambda x: F.struct(x["v"].alias("raw"), F.lit(k).alias("form"), x["s"].alias("at")))
-    rows = docs.select(*keys, body.alias("__body"), F.concat(*[of(p, k) for p, k in forms]).alias("found"))
-    raws = F.transform("found", lambda x: x["raw"])
-    rows = rows.select(*keys, "__body", F.explode(F.filter("found", lambda x, i: F.array_position(raws, x["raw"]) == i + 1)).alias("x"))
-    near = F.substring(F.col("__body"), F.greatest(F.col("x.at") - around, F.lit(0)) + 1, F.col("x.at") + around - F.greatest(F.col("x.at") - around, F.lit(0)))
-    rows = rows.select(*keys, "x.*", near.alias("near"))
-    number = F.regexp_extract_all("raw", F.lit("([0-9]+)"), F.lit(1))
-    chinese = [F.regexp_extract("raw", CHINESE_DATE, i) for i in (1, 2, 3)]
-    year = F.translate(chinese[0], "〇零一二三四五六七八九", "00123456789").try_cast("int")
-    parts = [F.when(F.col("form") == 1, c).otherwise(F.get(number, F.lit(i)).try_cast("int")) for i, c in enumerate((year, small_number(chinese[1], strict), small_number(chinese[2], strict)))]
-    y, m, d = parts
-    good = y.between(1900, 2100) & m.between(1, 12) & d.between(1, 31)
-    fixed = F.when(good, F.format_string("%04d-%02d-%02d", y, m, d))
-    relative = F.concat(F.lit("relative:"), F.regexp_extract("raw", RELATIVE_DATE, 2), F.regexp_extract("raw", RELATIVE_DATE, 3))
-    rows = rows.withColumn("normalized", F.when(F.col("form") == 9, relative).otherwise(fixed)).where("normalized is not null")
-    return rows.select(*keys, "raw", F.col("at").cast("long").alias("start_pos"), "normalized", date_role(F.col("near")).alias("role"))
+    padded = lambda c, n: F.lpad(c.cast("string"), n, "0")
+
+    def told(x: Column) -> Column:
+        """A match with its date; without one for none."""
+        raw = x["raw"]
+        number = F.regexp_extract_all(raw, F.lit("([0-9]+)"), F.lit(1))
+        digits = bound(number, lambda n: F.struct(*[F.get(n, F.lit(i)).try_cast("int").alias(c) for i, c in enumerate("ymd")]))
+        chinese = [F.regexp_extract(raw, CHINESE_DATE, i) for i in (1, 2, 3)]
+        year = F.translate(chinese[0], "〇零一二三四五六七八九", "00123456789").try_cast("int")
+        numerals = F.struct(year.alias("y"), small_number(chinese[1], strict).alias("m"), small_number(chinese[2], strict).alias("d"))
+        good = lambda p: p["y"].between(1900, 2100) & p["m"].between(1, 12) & p["d"].between(1, 31)
+        fixed = bound(F.when(x["form"] == 1, numerals).otherwise(digits), lambda p: F.when(good(p), F.concat_ws("-", padded(p["y"], 4), padded(p["m"], 2), padded(p["d"], 2))))
+        relative = F.concat(F.lit("relative:"), F.regexp_extract(raw, RELATIVE_DATE, 2), F.regexp_extract(raw, RELATIVE_DATE, 3))
+        return F.struct(raw.alias("raw"), x["at"].alias("at"), F.when(x["form"] == 9, relative).otherwise(fixed).alias("normalized"))
+
+    def once(found: Column) -> Column:
+        first = bound(F.transform(found, lambda x: x["raw"]), lambda raws: F.filter(found, lambda x, i: F.array_position(raws, x["raw"]) == i + 1))
+        return F.filter(F.transform(first, told), lambda x: x["normalized"].isNotNull())
+
+    rows = docs.select(*keys, body.alias("__body"), F.explode(bound(F.concat(*[of(p, k) for p, k in forms]), once)).alias("x"))
+    low = F.greatest(F.col("x.at") - around, F.lit(0))
+    near = F.substring(F.col("__body"), low + 1, F.col("x.at") + around - low)
+    return rows.select(*keys, "x.raw", F.col("x.at").cast("long").alias("start_pos"), "x.normalized", date_role(near).alias("role"))
 
 
 #: fixed values: an amount in figures with the same in capitals behind it, or the other way round
@@ -223,7 +231,7 @@ def amount_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: fixed values: a party's line, and the words of signing and sealing
-PARTY_LINE = "(甲|乙|丙|丁|出租|承租|买|卖|委托|受托|发包|承包)[方人]"
+PARTY_LINE = "([甲乙丙丁买卖]|出租|承租|委托|受托|发包|承包)[方人]"
 SIGNED = ["签字", "签名", "签署", "签章"]
 SEALED = ["盖章", "公章", "合同专用章", "法人章"]
 ZONE = ["签章", "签字盖章", "签字", "盖章", "签名", "甲方", "乙方", "签章日期", "签订日期"]
@@ -238,8 +246,7 @@ def _any(text: Column, words: list[str]) -> Column:
 
 
 def _role(text: Column) -> Column:
-    found = F.regexp_extract(text, PARTY_LINE, 1)
-    return F.when(F.length(found) == 1, F.concat(found, F.lit("方"))).when(found != "", found)
+    return bound(F.regexp_extract(text, PARTY_LINE, 1), lambda found: F.when(F.length(found) == 1, F.concat(found, F.lit("方"))).when(found != "", found))
 
 
 def signatures(docs: DataFrame, blocks: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -251,21 +258,25 @@ def signatures(docs: DataFrame, blocks: DataFrame | None = None, text: str = "te
     the text does not name, by their own words; line is null for these, as page
     is for the others.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    rows = docs.select("doc_id", F.col(text).alias("body"), lines.alias("lines")).withColumn("roles", F.transform("lines", _role))
-    # the first line of each role; no other is looked at
-    first = F.filter(F.transform("roles", lambda r, i: F.struct(r.alias("role"), i.alias("line"))), lambda x: x["role"].isNotNull() & (F.array_position("roles", x["role"]) == x["line"] + 1))
-
-    def marks(x: Column) -> Column:
-        low = F.greatest(x["line"] - 2, F.lit(0))
-        near = F.array_join(F.slice("lines", low + 1, x["line"] + 3 - low), "\n")
-        return F.struct(x["role"].alias("role"), _any(near, SIGNED).alias("has_signature"), _any(near, SEALED).alias("has_seal"), x["line"].cast("long").alias("line"))
-
     kind = "array<struct<role:string,has_signature:boolean,has_seal:boolean,line:bigint>>"
     nobody = F.array(F.struct(F.lit(NOBODY).alias("role"), F.lit(True).alias("has_signature"), F.lit(False).alias("has_seal"), F.lit(None).cast("long").alias("line")))
-    rows = rows.withColumn("first", first)
-    rows = rows.withColumn("found", F.when(F.size("first") > 0, F.transform("first", marks)).when(_any(F.col("body"), SIGNED + SEALED), nobody).otherwise(F.array().cast(kind)))
-    told = rows.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*", F.lit(None).cast("long").alias("page"))
+
+    def told_by(lines: Column, roles: Column) -> Column:
+        # the first line of each role; no other is looked at
+        places = F.transform(F.filter(F.array_distinct(roles), lambda r: r.isNotNull()), lambda r: F.struct(r.alias("role"), (F.array_position(roles, r) - 1).cast("int").alias("line")))
+
+        def marks(x: Column) -> Column:
+            low = F.greatest(x["line"] - 2, F.lit(0))
+            near = F.array_join(F.slice(lines, low + 1, x["line"] + 3 - low), "\n")
+            return bound(near, lambda n: F.struct(x["role"].alias("role"), n.rlike("|".join(SIGNED)).alias("has_signature"), n.rlike("|".join(SEALED)).alias("has_seal"), x["line"].cast("long").alias("line")))
+
+        return F.transform(places, marks)
+
+    # lines and roles are bound to names, so that they are worked out once
+    first = bound(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda lines: bound(F.transform(lines, _role), lambda roles: told_by(lines, roles)))
+    whole = F.coalesce(F.col(text), F.lit("")).rlike("|".join(SIGNED + SEALED))
+    found = bound(first, lambda x: F.when(F.size(x) > 0, x).when(whole, nobody).otherwise(F.array().cast(kind)))
+    told = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*", F.lit(None).cast("long").alias("page"))
     if blocks is None:
         return told
     low = blocks.where((F.col("page_height") > 0) & (F.col("top") >= 0.7 * F.col("page_height"))).where(_any(F.lower(text), ZONE)).withColumn("role", _role(F.col(text))).where("role is not null")
@@ -293,23 +304,31 @@ def defined_terms(docs: DataFrame, text: str = "text") -> DataFrame:
     struct = lambda term, definition, form: F.struct(F.trim(term).alias("term"), definition.alias("definition"), F.lit(form).alias("form"))
     pairs = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(NAMED), F.lit(i)).alias(n) for i, n in ((1, "full"), (2, "short"))])
     named = F.transform(pairs, lambda x: struct(x["short"], F.trim(x["full"]), "named"))
+    # most texts have no short name in brackets, which is quicker to see than the names before it
+    named = F.when(body.rlike("[(（]\\s*(?:以下简称|下称)"), named).otherwise(F.array().cast("array<struct<term:string,definition:string,form:string>>"))
     short = F.transform(_terms(body), lambda t: struct(t, F.trim(t), "short"))
-    rows = docs.select("doc_id", F.concat(named, short).alias("inline"), F.transform(F.split(body, "\n"), F.trim).alias("lines"))
-    at = lambda test: F.filter(F.transform("lines", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
-    rows = rows.withColumns({"opens": at(lambda x: _any(x, SECTION)), "closes": at(lambda x: x.rlike(HEADING) & ~_any(x, SECTION))})
-    last = lambda places, test: F.coalesce(F.array_max(F.filter(places, test)), F.lit(-1))
-    # the first line closes nothing
-    open_ = lambda i: last("opens", lambda k: k <= i) > last("closes", lambda k: (k < i) & (k > 0))
+    speaks = "|".join(SECTION)
 
     def explained(line: Column) -> Column:
         found = F.arrays_zip(*[F.regexp_extract_all(line, F.lit(MEANS), F.lit(i)).alias(n) for i, n in ((1, "term"), (2, "means"))])
         return F.transform(found, lambda x: struct(x["term"], F.trim(x["means"]), "means"))
 
-    means = F.flatten(F.transform(F.filter(F.transform("lines", lambda x, i: F.when(open_(i), x)), lambda x: x.isNotNull()), explained))
-    rows = rows.select("doc_id", F.concat("inline", means).alias("every"))
-    terms = F.transform("every", lambda x: x["term"])
-    once = F.filter("every", lambda x, i: (F.array_position(terms, x["term"]) == i + 1) & F.length(x["term"]).between(1, 20))
-    return rows.select("doc_id", F.explode(once).alias("x")).select("doc_id", "x.*")
+    # what each line does: 2 opens a section, 1 closes one behind it, 0 neither; the first line closes nothing
+    marks = F.transform(F.transform(F.split(body, "\n"), F.trim), lambda x, i: F.struct(x.alias("line"), F.when(x.rlike(speaks), 2).when((i > 0) & x.rlike(HEADING), 1).otherwise(0).alias("does")))
+    none = F.array().cast("array<string>")
+    begin = F.struct(F.lit(False).alias("open"), none.alias("lines"))
+
+    def step(a: Column, x: Column) -> Column:
+        inside = a["open"] | (x["does"] == 2)
+        return F.struct((inside & (x["does"] != 1)).alias("open"), F.when(inside, F.array_append(a["lines"], x["line"])).otherwise(a["lines"]).alias("lines"))
+
+    means = F.flatten(F.transform(F.aggregate(marks, begin, step, lambda a: a["lines"]), explained))
+
+    def once(every: Column) -> Column:
+        terms = F.transform(every, lambda x: x["term"])
+        return bound(terms, lambda t: F.filter(every, lambda x, i: (F.array_position(t, x["term"]) == i + 1) & F.length(x["term"]).between(1, 20)))
+
+    return docs.select("doc_id", F.explode(bound(F.concat(named, short, means), once)).alias("x")).select("doc_id", "x.*")
 
 
 def richest_signatures(found: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Signatures, definitions and amounts in capitals on texts of all forms."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from lexspan import catalogue_contracts
-from lexspan.operators import dialog, entities
+from lexspan.operators import dialog, entities, segment
 from lexspan.tables import in_order
 
 
@@ -82,3 +83,16 @@ def test_equal_amounts_in_both_orders_and_forms(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert {(r["doc_id"], r["n"], r["total"]) for r in catalogue_contracts.q_contract_amounts(spark, str(tmp_path)).collect()} == {(4, 6, 42.0), (3, 6, 41.0)}
     assert catalogue_contracts.q_contract_pairs(spark, str(tmp_path)).count() == 4
+
+
+def test_long_texts_cost_their_lines_once(spark):
+    """Lines and roles are worked out once: a text of many lines costs no square of them."""
+    n = 4000
+    text = "\n".join(["第一条 定义", *[f"货物{i}指合同所列的第{i}类货物。" for i in range(20)], *["甲方与乙方盖章之处"] * n, "第二条 价款", "价款指不再解释的一句话。"])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    assert {(r["role"], r["has_seal"], r["line"]) for r in entities.signatures(docs).collect()} == {("甲方", True, 21)}
+    assert {r["term"] for r in entities.defined_terms(docs).collect()} == {f"货物{i}" for i in range(20)}
+    assert time.time() - began < 30
+    shown = segment.clauses(docs, positions=False).collect()
+    assert [tuple(r) for r in shown] == [tuple(r) for r in segment.clauses(docs).select("doc_id", "clause_id", "title", "content").collect()]
