@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import first_match, strip
+from lexspan.functions.text import bound, first_match, strip
 
 #: fixed values: what a contract is called, its types with their words, and how parties, addresses, disputes and law are written
 NAMES = [r"(?Udm)^\s*(.{2,30}(?:合同|协议|契约|合约))\s*$", r"(?Ud)((?:关于|有关).{2,20}(?:合同|协议))"]
@@ -25,10 +25,11 @@ TYPES = [
     ("委托合同", ["委托合同", "委托协议", "代理合同"]),
     ("担保合同", ["担保合同", "保证合同", "抵押合同"]),
 ]
+# the lookaheads are implied: they are quicker than the words that follow
 PARTIES = [
-    r"(?Ud)(甲|乙|丙|丁|戊|己|庚|辛|壬|癸)方[：:]\s*(.{2,50}?)(?:\s|$|，|,|。)",
-    r"(?Ud)(甲|乙|丙|丁|戊|己|庚|辛|壬|癸)方[（(][^）)]*[）)][：:]\s*(.{2,50}?)(?:\s|$|，|,|。)",
-    r"(?Ud)(出租方|承租方|买方|卖方|委托方|受托方|发包方|承包方|甲方|乙方)[：:]\s*(.{2,50}?)(?:\s|$|，|,|。)",
+    r"(?Ud)(?=.方)([甲乙丙丁戊己庚辛壬癸])方[：:]\s*(.{2,50}?)(?:\s|$|，|,|。)",
+    r"(?Ud)(?=.方)([甲乙丙丁戊己庚辛壬癸])方[（(][^）)]*[）)][：:]\s*(.{2,50}?)(?:\s|$|，|,|。)",
+    r"(?Ud)(?=..?方)(出租方|承租方|买方|卖方|委托方|受托方|发包方|承包方|甲方|乙方)[：:]\s*(.{2,50}?)(?:\s|$|，|,|。)",
 ]
 REPRESENTATIVE = r"(?Ud)法定代表人[：:]\s*(.{2,20}?)(?:\s|$|，|,|。)"
 ADDRESS = r"(?Ud)(?:住所地|地址|住址)[：:]\s*(.{5,80}?)(?:\s*$|。)"
@@ -41,29 +42,27 @@ LAW = r"(?Ud)(?:适用|依据|根据).{0,10}(中华人民共和国.{0,20}法)"
 
 
 def _first(text: Column, pattern: str, group: int) -> Column:
-    found = strip(F.regexp_extract(text, pattern, group))
-    return F.when(found != "", found)
+    return bound(strip(F.regexp_extract(text, pattern, group)), lambda found: F.when(found != "", found))
 
 
 def parties(text: Column, head: int = 2000, near: int = 200) -> Column:
     """array<struct<role, name, representative>>: the first of each role by pattern, then place; names of one character are left out.
 
-    A lookahead group carries the text after a match, so that no place is needed.
+    A lookahead group carries a match and the text after it, so that no place is needed.
     """
     head_text = F.substring(text, 1, head)
 
     def of(p: str) -> Column:
-        q = p + rf"(?=([\s\S]{{0,{near}}}))"
-        parts = [F.regexp_extract_all(head_text, F.lit(q), F.lit(i)) for i in range(4)]
-        return F.transform(F.arrays_zip(*[x.alias(n) for x, n in zip(parts, "mrnt")]), lambda x: F.struct(
-            F.when(F.length(x["r"]) == 1, F.concat(x["r"], F.lit("方"))).otherwise(x["r"]).alias("role"),
-            strip(F.regexp_replace(x["n"], "(?Ud)[，,。；;].*$", "")).alias("name"),
-            _first(F.substring(F.concat(x["m"], x["t"]), 1, near), REPRESENTATIVE, 1).alias("representative"),
+        q = rf"(?=({p}[\s\S]{{0,{near}}}))" + p
+        # matches with the text behind them, which begin with what matched
+        return F.transform(F.regexp_extract_all(head_text, F.lit(q), F.lit(1)), lambda x: F.struct(
+            bound(F.regexp_extract(x, p, 1), lambda r: F.when(F.length(r) == 1, F.concat(r, F.lit("方"))).otherwise(r)).alias("role"),
+            strip(F.regexp_replace(F.regexp_extract(x, p, 2), "(?Ud)[，,。；;].*$", "")).alias("name"),
+            _first(F.substring(x, 1, near), REPRESENTATIVE, 1).alias("representative"),
         ))
 
     def once(every: Column) -> Column:
-        roles = F.transform(every, lambda x: x["role"])
-        return F.filter(every, lambda x, i: (F.array_position(roles, x["role"]) == i + 1) & (F.length(x["name"]) >= 2))
+        return bound(F.transform(every, lambda x: x["role"]), lambda roles: F.filter(every, lambda x, i: (F.array_position(roles, x["role"]) == i + 1) & (F.length(x["name"]) >= 2)))
 
     # bound to a name, so that the patterns are matched once
     return F.flatten(F.transform(F.array(F.concat(*[of(p) for p in PARTIES])), once))
