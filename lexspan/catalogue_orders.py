@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexspan.catalogue_contracts import _CLAUSE_ROWS, _titles
 from lexspan.operators import dialog, pages, redline, responses, rules, structure, tables
 from lexspan.registry import query, table
+from lexspan.tables import written
 
 _LINES = """(select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity, l_extendedprice) as n,
     l_linenumber as line, l_partkey as part, l_quantity::int as quantity, l_discount as discount, l_returnflag as flag from lineitem)"""
@@ -146,5 +147,6 @@ def q_order_freshness_report(spark, sf_dir):
         on k.doc_id = c.doc_id and k.chapter = c.ord and c.rank = 1""")
 def q_contract_flat(spark, sf_dir):
     """Clauses of contracts as a flat list with the number of their children."""
-    tree = structure.clause_tree(_titles(spark, sf_dir)).withColumn("content", F.col("title"))
+    # written, as the list meets the tree twice
+    tree = written(structure.clause_tree(_titles(spark, sf_dir)), "tree").withColumn("content", F.col("title"))
     return redline.flattened(tree).select("doc_id", "ord", "parent", "n_children")

@@ -6,6 +6,8 @@ their places; documents never move.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +31,14 @@ HEADER_WORDS = [
 
 def is_header(line: Column, patterns=HEADERS, words=HEADER_WORDS) -> Column:
     """line is stripped."""
-    out = F.lit(False)
-    for p in patterns:
-        out = out | line.rlike("(?U)(?d)" + p)
-    named = F.lit(False)
-    for w in words:
-        named = named | (line == w) | F.startswith(line, F.lit(w + "：")) | F.startswith(line, F.lit(w + " "))
-    return out | ((F.length(line) <= 30) & named)
+    out = line.rlike("(?U)(?d)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    if not words:
+        return out
+    named = "(?d)^(?:" + "|".join(map(re.escape, words)) + r")(?:\z|[： ])"
+    return out | ((F.length(line) <= 30) & line.rlike(named))
 
 
-def clauses(docs: DataFrame, patterns=HEADERS, words=HEADER_WORDS, text: str = "text") -> DataFrame:
+def clauses(docs: DataFrame, patterns=HEADERS, words=HEADER_WORDS, text: str = "text", positions: bool = True) -> DataFrame:
     """(doc_id, clause_id, title, content, start_pos, end_pos): ids from 1 without gaps.
 
     What stands before the first header is dropped; a header without a body
@@ -47,12 +47,13 @@ def clauses(docs: DataFrame, patterns=HEADERS, words=HEADER_WORDS, text: str = "
     body's lines without white space at their ends; start_pos and end_pos
     (exclusive) are the places of its first and last character in the text, in
     code points, so that the text between them is the content but for such
-    white space.
+    white space. Without positions these two are left out, which is quicker.
     """
-    info = lambda x: F.struct(F.length(x).alias("n"), (F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))).alias("lead"), strip(x).alias("line"))
+    spaces = lambda x: [F.length(x).alias("n"), (F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))).alias("lead")] if positions else []
+    info = lambda x: F.struct(*spaces(x), strip(x).alias("line"))
     rows = docs.select("doc_id", F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), info).alias("lines"))
     heads = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: is_header(F.get("lines", i)["line"], patterns, words))
-    rows = rows.select("doc_id", "lines", running(F.transform("lines", lambda x: x["n"] + 1)).alias("at"), heads.alias("heads"))
+    rows = rows.select("doc_id", "lines", (running(F.transform("lines", lambda x: x["n"] + 1)) if positions else F.lit(None)).alias("at"), heads.alias("heads"))
 
     def part(h: Column, k: Column) -> Column:
         body = F.slice("lines", h + 2, F.coalesce(F.get("heads", k + 1), F.size("lines")) - h - 1)
@@ -62,16 +63,19 @@ def clauses(docs: DataFrame, patterns=HEADERS, words=HEADER_WORDS, text: str = "
     rows = rows.select("doc_id", "lines", "at", F.when(F.size("heads") > 0, F.transform("heads", part)).otherwise(whole).alias("parts"))
 
     def clause(p: Column) -> Column:
+        words = [p["title"].alias("title"), strip(F.array_join(p["body"], "\n")).alias("content")]
+        if not positions:
+            return F.struct(*words)
         full = F.transform(p["body"], lambda x: x != "")
         first = (p["h"] + F.array_position(full, True)).cast("int")
         last = (p["h"] + F.size(p["body"]) + 1 - F.array_position(F.reverse(full), True)).cast("int")
         end = F.get("at", last) + F.get("lines", last)["lead"] + F.length(F.get("lines", last)["line"])
         place = F.struct((F.get("at", first) + F.get("lines", first)["lead"]).alias("start_pos"), end.alias("end_pos"))
-        return F.struct(p["title"].alias("title"), strip(F.array_join(p["body"], "\n")).alias("content"), place.alias("place"))
+        return F.struct(*words, place.alias("place"))
 
     found = F.filter(F.transform("parts", clause), lambda c: c["content"] != "")
     rows = rows.select("doc_id", F.posexplode(found).alias("pos", "c"))
-    return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("clause_id"), "c.title", "c.content", "c.place.start_pos", "c.place.end_pos")
+    return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("clause_id"), "c.title", "c.content", *(("c.place.start_pos", "c.place.end_pos") if positions else ()))
 
 
 def pieces(docs: DataFrame, most: int = 5000, text: str = "text") -> DataFrame:
