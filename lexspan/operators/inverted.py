@@ -2,26 +2,30 @@
 
 An entry's impact for a word is the sum of the weights of its fields that have
 it; its score for a query is the sum of its impacts for the query's words. The
-index has three tables:
+index has two tables:
 
-* ``vectors`` an entry's words and impacts
 * ``postings`` by word and shard of entries, in blocks of ``BLOCK`` postings in
-  order of impact, each with its highest; range-partitioned by word. A shard
-  has about ``SHARD`` entries, so no word gathers more in one group.
+  order of impact, each with its highest. A shard has about ``SHARD`` entries,
+  and its postings are sorted in one task, so no word gathers more in one group.
 * ``terms`` words with the number of their entries and their highest impact
 
-A search finds a score that the k-th best entry reaches at least, from the
-first blocks of the query's words. Words whose highest impacts together stay
-below it cannot bring an entry among the best alone, so the most frequent ones
-are left unread, and so are blocks that stay below it with all that the other
-words could add. What remains is scored from the vectors. Results are those of
-scoring everything; all joins are by equal keys.
+A search joins the queries' words with the postings by word; what meets goes to
+a task by shard of entries, which adds the impacts up in arrays and lets only
+the k best of its shard leave. Queries with many words are dealt over parts of
+about ``PAIRS`` words, so a task holds the postings of a shard and the words of
+a part, however many entries and queries there are. ``told`` and ``candidates``
+state the bounds of a search: words whose highest impacts together stay below
+a score that the k-th best entry reaches at least cannot bring an entry among
+the best alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +33,8 @@ from pyspark.sql import types as T
 from lexspan.tables import best, saved, written
 
 BLOCK = 256
-SHARD = 65_536
+SHARD = 8_192
+PAIRS = 1 << 18  # words of the queries of a part
 
 
 def words(text: Column) -> Column:
@@ -47,35 +52,56 @@ class Index:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
+def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, pa.Array]:
+    """(row, value) of the elements of a column of lists."""
+    lists = table[name].combine_chunks()
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.list_flatten(lists)
+
+
+def _blocks(weights: list[int], block: int):
+    """Entries (shard, ord, w0, w1...) of a shard to blocks of its postings."""
+
+    def run(table: pa.Table) -> pa.Table:
+        # rows in order of ord, so that postings tie by their row
+        table = table.sort_by("ord")
+        fields = [_flat(table, f"w{i}") for i in range(len(weights))]
+        rows = np.concatenate([r for r, _ in fields])
+        named = pa.chunked_array([w for _, w in fields], pa.string()).combine_chunks().dictionary_encode()
+        codes = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs, of = np.unique(codes * len(table) + rows, return_inverse=True)
+        impacts = np.bincount(of, np.repeat(weights, [len(r) for r, _ in fields]), len(pairs)).astype(np.int32)
+        codes, rows = np.divmod(pairs, max(1, len(table)))
+        order = np.lexsort((rows, -impacts, codes))
+        codes, rows, impacts = codes[order], rows[order], impacts[order]
+        place = np.arange(len(codes)) - np.searchsorted(codes, codes)
+        first = np.flatnonzero(place % block == 0)
+        ends = pa.array(np.append(first, len(codes)), pa.int32())
+        columns = {
+            "word": named.dictionary.take(pa.array(codes[first])),
+            "shard": pa.array(np.full(len(first), table["shard"][0].as_py()), pa.int32()),
+            "block": pa.array(place[first] // block, pa.int32()),
+            "top": pa.array(impacts[first]),
+            "ords": pa.ListArray.from_arrays(ends, table["ord"].combine_chunks().take(pa.array(rows))),
+            "impacts": pa.ListArray.from_arrays(ends, pa.array(impacts)),
+        }
+        return pa.table(columns)
+
+    return run
+
+
 def build(entries: DataFrame, path: str, fields: dict[str, int], key: str = "ord") -> Index:
-    """Write the index of entries below path. fields: weight by column, the longest text first; arrays are lists of words.
+    """Write the index of entries below path. fields: weight by column; arrays are lists of words.
 
     Entries need different keys. Null fields have no words; entries without
     words are in no result.
     """
-    spark = entries.sparkSession
     own = [F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x))) if isinstance(entries.schema[c].dataType, T.ArrayType) else words(F.col(c)) for c in fields]
-    rows = entries.select(F.col(key).alias("ord"), *[F.array_compact(w).alias(f"w{i}") for i, w in enumerate(own)])
-    main, *others = fields.values()
-    rows = rows.withColumn("all", F.array_distinct(F.concat(*[f"w{i}" for i in range(len(own))])))
-
-    def impact(word: Column, i: Column) -> Column:
-        # array_distinct keeps the order, so that the first words are the main field's
-        out = F.when(i < F.size("w0"), main).otherwise(0)
-        for n, weight in enumerate(others, 1):
-            out = out + F.when(F.array_contains(F.col(f"w{n}"), word), weight).otherwise(0)
-        return out
-
-    vectors = rows.where(F.size("all") > 0).select("ord", F.col("all").alias("words"), F.transform("all", impact).alias("impacts"))
-    vectors = saved(vectors, f"{path}/vectors")
-    shards = max(1, -(-vectors.count() // SHARD))
-    flat = vectors.select("ord", F.pmod(F.xxhash64("ord"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.arrays_zip("words", "impacts")).alias("x"))
-    lists = flat.groupBy(F.col("x.words").alias("word"), "shard").agg(F.array_sort(F.collect_list(F.struct((-F.col("x.impacts")).alias("low"), "ord"))).alias("list"))
-    cuts = F.transform(F.sequence(F.lit(1), F.size("list"), F.lit(BLOCK)), lambda i: F.slice("list", i, F.lit(BLOCK)))
-    blocks = lists.select("word", "shard", F.posexplode(cuts).alias("block", "list")).select(
-        "word", "shard", "block", (-F.col("list")[0]["low"]).alias("top"), F.transform("list", lambda x: x["ord"]).alias("ords"), F.transform("list", lambda x: -x["low"]).alias("impacts")
-    )
-    postings = saved(blocks.repartitionByRange("word", "shard").sortWithinPartitions("word", "shard", "block"), f"{path}/postings")
+    shards = max(1, -(-entries.count() // SHARD))
+    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
+    rows = entries.select(shard, F.col(key).alias("ord"), *[F.array_compact(w).alias(f"w{i}") for i, w in enumerate(own)])
+    kind = entries.schema[key].dataType.simpleString()
+    blocks = rows.groupBy("shard").applyInArrow(_blocks(list(fields.values()), BLOCK), f"word string, shard int, block int, top int, ords array<{kind}>, impacts array<int>")
+    postings = saved(blocks, f"{path}/postings")
     saved(postings.groupBy("word").agg(F.sum(F.size("ords")).alias("n"), F.max("top").alias("top")), f"{path}/terms")
     return Index(path)
 
@@ -113,19 +139,57 @@ def candidates(index: Index, named: DataFrame) -> DataFrame:
     return found.join(floors, "query_id").where("found + rest >= floor").select("query_id", "ord")
 
 
+def _summed(k: int):
+    """Postings (ords, impacts, asked) of a shard's words, asked the queries of a word in its first block, to the shard's k best of each query."""
+
+    def run(table: pa.Table) -> pa.Table:
+        row, ords = _flat(table, "ords")
+        named = ords.dictionary_encode()
+        rank = np.empty(len(named.dictionary), np.int64)
+        rank[pc.sort_indices(named.dictionary).to_numpy()] = np.arange(len(rank))
+        kept = named.dictionary.take(pc.sort_indices(named.dictionary))
+        word = table["word"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(word[row], kind="stable")
+        place = rank[named.indices.to_numpy(zero_copy_only=False)][order]
+        impact = _flat(table, "impacts")[1].to_numpy(zero_copy_only=False).astype(np.int64)[order]
+        ends = np.cumsum(np.bincount(word[row]))
+        row, queries = _flat(table, "asked")
+        queries = queries.to_numpy(zero_copy_only=False)
+        by_query = np.argsort(queries, kind="stable")
+        queries, asked = queries[by_query], word[row][by_query]
+        ids, first = np.unique(queries, return_index=True)
+        out = []
+        for q, its in zip(ids.tolist(), np.split(asked, first[1:])):
+            score = np.zeros(len(kept), np.int64)
+            for w in its.tolist():
+                some = slice(ends[w - 1] if w else 0, ends[w])
+                # a word has an entry once
+                score[place[some]] += impact[some]
+            least = max(1, np.partition(score, -k)[-k]) if len(score) > k else 1
+            top = np.flatnonzero(score >= least)
+            top = top[np.argsort(-score[top], kind="stable")[:k]]
+            out.append((np.full(len(top), q), top, score[top]))
+        q, top, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else [()] * 3))
+        return pa.table({"query_id": pa.array(q, pa.int64()), "ord": kept.take(pa.array(top)), "score": pa.array(score, pa.int64())})
+
+    return run
+
+
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, ord, score, rank) of queries (query_id, words): the k entries with the highest scores above 0, ties by ord.
 
-    Repeated words count once; query_ids differ. A query without words that the
-    index knows has no rows.
+    Repeated words count once; query_ids are different numbers. A query without
+    words that the index knows has no rows.
     """
-    named = told(index, queries, k)
-    found = candidates(index, named)
-    asked = named.groupBy("query_id").agg(F.collect_list("word").alias("asked"))
-    vectors = index.table(queries.sparkSession, "vectors")
-    hits = F.filter(F.arrays_zip("words", "impacts"), lambda x: F.array_contains("asked", x["words"]))
-    score = F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + x["impacts"])
-    scored = found.join(vectors, "ord").join(asked, "query_id").select("query_id", "ord", score.alias("score"))
+    asked = written(queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct("words")).alias("word")), "asked")
+    parts = max(1, -(-asked.count() // PAIRS))
+    by_word = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"), "word").agg(F.collect_list("query_id").alias("asked"))
+    postings = index.table(queries.sparkSession, "postings")
+    # the queries of a word travel with its first block alone
+    first = F.when(F.col("block") == 0, F.col("asked")).otherwise(F.array().cast("array<bigint>"))
+    met = by_word.join(postings, "word").select("part", "shard", "word", first.alias("asked"), "ords", "impacts")
+    kind = postings.schema["ords"].dataType.elementType.simpleString()
+    scored = met.groupBy("part", "shard").applyInArrow(_summed(k), f"query_id long, ord {kind}, score long")
     return best(scored, ["query_id"], [F.desc("score"), "ord"], k, "ord")
 
 

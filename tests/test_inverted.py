@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,23 @@ def test_best_and_small_side(spark):
     assert got == [(key, r, i) for key in range(3) for r, (_, i) in enumerate(sorted((-(i % 7), i) for i in range(key, 1000, 3))[:4], 1)]
     assert "Broadcast" in df.join(small_side(df, 1000), "id")._jdf.queryExecution().toString()
     assert "ResolvedHint" not in small_side(df, 999)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("pairs", [1, 20])
+def test_queries_in_parts(spark, data, monkeypatch, pairs):
+    monkeypatch.setattr(inverted, "PAIRS", pairs)
+    monkeypatch.setattr(inverted, "SHARD", 100)
+    entries, queries = data
+    df = spark.createDataFrame(entries, "ord long, content string, title string, keywords array<string>")
+    index = inverted.build(df, shared_folder(spark, "index"), FIELDS)
+    assert sorted(map(tuple, inverted.search(index, spark.createDataFrame(queries, "query_id long, words array<string>"), 10).collect())) == brute(entries, queries, 10)
+
+
+def test_a_text_of_one_line_takes_time_by_its_length(spark):
+    line = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda i: F.concat(F.lit("w"), i)))
+    df = spark.range(4).select(F.col("id").alias("ord"), line.alias("content"), line.alias("title"), F.array(F.lit("w7")).alias("keywords"))
+    began = time.time()
+    index = inverted.build(df, shared_folder(spark, "index"), FIELDS)
+    got = inverted.search(index, spark.createDataFrame([(1, ["w7", "w300000", "w300001"])], "query_id long, words array<string>"), 2)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 110, 1), (1, 1, 110, 2)]
+    assert time.time() - began < 60
