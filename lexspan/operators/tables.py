@@ -2,58 +2,63 @@
 
 from __future__ import annotations
 
-from itertools import accumulate, pairwise
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions.markup import Mark, marks
+from lexspan.functions.markup import attributes, steps
+from lexspan.tables import pieces
 
 NESTED = "[嵌套表格]"  # fixed value: stands for a table inside a cell
 CELL = "struct<content:string,row_span:int,col_span:int,is_header:boolean>"
 
 
-def _outer(found: list[Mark]) -> list[tuple[Mark, str]]:
-    """(mark, text after it) of all marks that lie in no inner table; an inner table leaves the mark that opens it, as NESTED."""
-    depths = list(accumulate(found, lambda d, m: d if m.tag != "table" else max(0, d - 1) if m.closes else d + 1, initial=0))
-    out = []
-    for m, before, after in zip(found, depths, depths[1:]):
-        if after <= 1:
-            # the end of an inner table is no mark of the outer one, but what follows it is text of the outer one
-            inner_end = before > 1
-            lead = "\n" if m.tag == "br" and not m.closes else ""
-            out.append((Mark() if inner_end else m, lead + "".join(m.chunks)))
-        elif m.tag == "table" and not m.closes:
-            out.append((Mark(), NESTED))
-    return out
-
-
-def _span(m: Mark, name: str) -> int:
-    return max(1, int(m.attributes.get(name) or 1))
+def _span(told: dict[str, str | None], name: str) -> int:
+    return max(1, int(told.get(name) or 1))
 
 
 def cells_of(html: str | None) -> list[list[tuple[str, int, int, bool]]]:
     """Rows of (content, row_span, col_span, is_header); none without a table or where a span is no number.
 
     A cell is an opening td or th whose next td or th closes; a row holds the
-    cells that close between its end and the row mark before that.
+    cells that close between its end and the row mark before that. Marks in an
+    inner table are none of the outer one's, which has NESTED in its place;
+    what follows its end is text of the outer one. Work is one pass.
     """
     if not html or "<table" not in html.lower():
         return []
-    outer = _outer(marks(html))
-    at = lambda *tags: [i for i, (m, _) in enumerate(outer) if m.tag in tags]
-    edges, ends = at("td", "th"), at("tr")
-    try:
-        spans = {i: (_span(outer[i][0], "rowspan"), _span(outer[i][0], "colspan")) for i in edges if not outer[i][0].closes}
-    except ValueError:
-        return []
-    cells = {
-        j: ("".join(text for _, text in outer[i:j]).strip(), *spans[i], outer[i][0].tag == "th")
-        for i, j in pairwise(edges) if i in spans and j not in spans
-    }
-    rows = [[cell for j, cell in cells.items() if a < j < b] for a, b in pairwise([-1, *ends]) if outer[b][0].closes]
-    return [row for row in rows if row]
+    rows, row, depth = [], [], 0
+    cell, texts = None, []
+    for tag, closes, told, text in steps(html):
+        if tag == "table":
+            inner_end = depth > 1
+            depth = max(0, depth - 1) if closes else depth + 1
+            if depth > 1:
+                tag, text = "", "" if closes else NESTED
+            elif inner_end:
+                tag = ""
+        elif depth > 1:
+            continue
+        if tag == "td" or tag == "th":
+            if closes:
+                if cell:
+                    row.append(("".join(texts).strip(), *cell))
+                cell = None
+            else:
+                try:
+                    told = attributes(told) if told else {}
+                    cell, texts = (_span(told, "rowspan"), _span(told, "colspan"), tag == "th"), [text]
+                except ValueError:
+                    return []
+        elif tag == "tr":
+            if closes and row:
+                rows.append(row)
+            row = []
+            if cell and text:
+                texts.append(text)
+        elif cell and (text or tag == "br"):
+            texts.append("\n" + text if tag == "br" and not closes else text)
+    return rows
 
 
 def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -62,7 +67,7 @@ def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [(k, r, c, *cell) for k, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r, row in enumerate(cells_of(page)) for c, cell in enumerate(row)]
             cols = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
 SMALL = 200_000  # rows of a side that may be told to all tasks
+PIECE = 1 << 20  # bytes of a piece of an Arrow batch, or one row
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
@@ -38,6 +41,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return saved(df, shared_folder(df.sparkSession, tag))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about PIECE bytes, so that Python objects are made of few rows at a time."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * (size or PIECE) // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def small_side(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df with a hint to tell it to all tasks, if it has at most so many rows; otherwise as it is. df is counted, so it should be written."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
