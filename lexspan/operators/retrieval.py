@@ -2,30 +2,74 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import containment, grams, jaccard, similarity
+from lexspan.tables import small_side, written
 
 RRF = 60
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    d = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2)
-    return F.aggregate(d, F.lit(0.0), lambda s, x: s + x)
+VECTORS, ASKED = 4096, 1024  # vectors and queries of a block
+NEAR = 1e-9  # of squared norms, more than rounding
+
+
+def _nearest(k: int, least: float):
+    """A block of queries (ids, asked) and a block of vectors (keys, matrix) to each query's k best of the block, ties by key."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                ids, asked, keys, matrix = (part.column(n)[0].values for n in ("ids", "asked", "keys", "matrix"))
+                ids, keys = (x.to_numpy(zero_copy_only=False) for x in (ids, keys))
+                q, v = (x.to_numpy(zero_copy_only=False).reshape(n, -1) for x, n in ((asked, len(ids)), (matrix, len(keys))))
+                # about right, to leave out what is certainly no hit; what stays is measured as the SQL does, one difference after another
+                slack = NEAR * (1 + (v**2).sum(1).max() + (q**2).sum(1).max())
+                about = (q**2).sum(1)[:, None] - 2 * (q @ v.T) + (v**2).sum(1)
+                near = about <= 1 - least + slack
+                crowded = np.flatnonzero(near.sum(1) > k)
+                if len(crowded):
+                    near[crowded] &= about[crowded] <= np.partition(about[crowded], k - 1, axis=1)[:, k - 1 : k] + 2 * slack
+                rows, columns = np.nonzero(near)
+                far = np.zeros(len(rows))
+                for c in range(q.shape[1]):
+                    far += (v[columns, c] - q[rows, c]) ** 2
+                score = np.maximum(0.0, 1 - far)
+                order = np.lexsort((keys[columns], -score, rows))
+                order = order[score[order] >= least]
+                place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+                order = order[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[order]]), pa.array(keys[columns[order]]), pa.array(score[order])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _in_blocks(vectors: DataFrame, key: str, value: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Rows of up to about size vectors of one width: their width, keys and values behind one another."""
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(value).cast("array<double>").alias("vector")).where("key is not null and vector is not null")
+    rows = rows.where(~F.exists("vector", lambda x: x.isNull()))
+    blocks = max(1, -(-rows.count() // size))
+    dealt = rows.groupBy(F.size("vector").alias("width"), F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")).agg(F.collect_list("key").alias(names[0]), F.flatten(F.collect_list("vector")).alias(names[1]))
+    return dealt.drop("block")
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, least: float = 0.3, keep: Column | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank): max(0, 1 - squared distance), at least ``least``, the k best; queries are a stated, small set.
+    """(query_id, vec_id, score, rank): max(0, 1 - squared distance), at least ``least``, the k best by comparing all.
 
     keep is a condition on corpus rows, such as a category, told to the scan.
+    Queries and vectors are dealt over blocks; each pair of blocks is compared
+    by itself, and only its k best of each query leave it.
     """
     if keep is not None:
         corpus = corpus.where(keep)
-    scored = corpus.crossJoin(F.broadcast(queries)).select(
-        "query_id", "vec_id", F.greatest(F.lit(0.0), 1 - squared_distance(F.col("embedding"), F.col("query"))).alias("score")
-    )
-    return ranked(scored.where(F.col("score") >= least), ["query_id"], [F.desc("score"), "vec_id"], k)
+    vectors = written(_in_blocks(corpus, "vec_id", "embedding", VECTORS, ("keys", "matrix")), "vectors")
+    asked = written(_in_blocks(queries, "query_id", "query", ASKED, ("ids", "asked")), "asked")
+    # every block of vectors meets each block of queries, so a task is a pair of them
+    pairs = vectors.repartition(F.xxhash64("keys")).join(small_side(asked), "width")
+    found = pairs.select("ids", "asked", "keys", "matrix").mapInArrow(_nearest(k, least), "query_id long, vec_id long, score double")
+    return ranked(found, ["query_id"], [F.desc("score"), "vec_id"], k)
 
 
 def ranked(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
