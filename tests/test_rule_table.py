@@ -49,3 +49,8 @@ def test_five_thousand_rules(docs):
     for first in (0, 2500, 4960):
         part = every.where(F.col("ord").between(first, first + 39)).withColumn("ord", F.col("ord") - first)
         same(part, rules.findings(docs, pack[first : first + 40]))
+
+
+def test_a_told_dictionary_shuffles_no_text(docs):
+    plan = rule_table.findings(docs, large_pack(60))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
