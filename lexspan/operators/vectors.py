@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.tables import best, saved, written
+from lexspan.tables import best, pieces, saved, written
 
 SAMPLE = 20_000
 CELLS = 1024  # at most; fewer where the sample has few vectors
@@ -112,7 +112,7 @@ def _packed(width: int, size: int):
 
     def run(batches):
         cell, far, rows, keys = None, [], [], []
-        for batch in batches:
+        for batch in pieces(batches):
             cells, fars = (batch.column(i).to_pylist() for i in (0, 1))
             matrix, lists = _matrix(batch.column(2), width), batch.column(3).to_pylist()
             for c, f, v, k in zip(cells, fars, matrix, lists):
@@ -147,7 +147,7 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", value: str = "embe
     told = spark.sparkContext.broadcast(centres)  # at most cells rows
 
     def assign(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             own, far = nearest(_matrix(batch.column(0), width), told.value)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(far), *batch.columns], names=["cell", "far", "vector", "keys"])
 
@@ -166,7 +166,7 @@ def _asked(queries: DataFrame, width: int, cells_of, told):
     """Rows (cell, ids, matrix, floors) of blocks of queries; cells_of gives the cells of a matrix of queries and their floors."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids, matrix = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), width)
             floors = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
             rows, cells = cells_of(matrix, floors, told.value)
@@ -188,7 +188,7 @@ def _pairs(width: int, k: int, least: float):
     """The k best of each query of a pair of blocks, ties by key."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for ids, asked, matrix, keys, ends in zip(*(batch.column(n).to_pylist() for n in ("ids", "asked", "matrix", "keys", "ends"))):
                 q, v = (np.frombuffer(x, "<f8").reshape(-1, width) for x in (asked, matrix))
