@@ -887,5 +887,4 @@ def q_live_sessions(spark, sf_dir):
 @query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')))::BIGINT AS n_lines FROM documents")
 def q_word_round_trip(spark, sf_dir):
     written = word.word_files(table(spark, sf_dir, "documents"))
-    text = F.pandas_udf(lambda s: s.map(files.docx_text), "string")
-    return written.select("doc_id", text("content").alias("t")).select("doc_id", F.size(F.filter(F.split("t", "\n"), lambda x: x != "")).cast("long").alias("n_lines"))
+    return files.docx_texts(written).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long").alias("n_lines"))
