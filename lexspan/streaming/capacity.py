@@ -9,6 +9,9 @@ has passed them, so a shard that gets no more events is emptied as well.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,17 @@ def idle(live: dict[int, tuple[int, int, int]], now: int, ttl: int) -> list[tupl
     return [(k, s, last + ttl, n, "expired") for k in sorted(over) for s, last, n in [live.pop(k)]]
 
 
+def in_order(frames: Iterable[pd.DataFrame], some: int = 10_000) -> Iterator[tuple[int, int]]:
+    """(key, at) of a batch's events by time and seq. A batch is held as three numbers an event; Python's own are made of some at a time."""
+    parts = [tuple(f[c].to_numpy(np.int64) for c in ("key", "at", "seq")) for f in frames]
+    key, at, seq = (np.concatenate(c) for c in zip(*parts))
+    del parts
+    order = np.lexsort((seq, at))
+    for i in range(0, len(order), some):
+        own = order[i : i + some]
+        yield from zip(key[own].tolist(), at[own].tolist())
+
+
 class _Sessions(StatefulProcessor):
     def __init__(self, most: int, ttl: int):
         self.most, self.ttl = most, ttl
@@ -65,9 +79,8 @@ class _Sessions(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         before = self._load()
         live, ended = dict(before), []
-        events = pd.concat(list(rows)).sort_values(["at", "seq"])
-        for k, at in zip(events["key"].tolist(), events["at"].tolist()):
-            ended += step(live, int(k), int(at), self.most, self.ttl)
+        for k, at in in_order(rows):
+            ended += step(live, k, at, self.most, self.ttl)
         self._store(before, live)
         if ended:
             yield self._rows(key[0], ended)
@@ -92,11 +105,11 @@ def shard_of(key, shards: int):
 def ended_sessions(events: DataFrame, most: int, ttl_ms: int, shards: int = 64, late: str = "1 hour", key: str = "user_id", ts: str = "ts", seq: str = "event_id") -> DataFrame:
     """A stream of ended sessions (shard, key, started, ended in ms, n_events, why: expired or evicted) of a stream of events.
 
-    A shard takes a batch's events in order of time and seq; events that are
+    A shard takes a batch's events in order of time and seq, null last; events that are
     behind the watermark are dropped. Rows without a key or a time are no
     events. The state store must be RocksDB (``ROCKS``).
     """
     known = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    rows = known.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(seq).cast("long").alias("seq"))
+    rows = known.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.coalesce(F.col(seq).cast("long"), F.lit(2**63 - 1)).alias("seq"))
     rows = rows.withColumns({"at": F.unix_millis("ts"), "shard": shard_of(F.col("key"), shards)}).withWatermark("ts", late)
     return rows.groupBy("shard").transformWithStateInPandas(_Sessions(most, ttl_ms), outputStructType=ENDED, outputMode="Append", timeMode="EventTime")
