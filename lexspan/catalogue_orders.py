@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 from lexspan.catalogue_contracts import _CLAUSE_ROWS, _titles
 from lexspan.operators import dialog, pages, redline, responses, rules, structure, tables
 from lexspan.registry import query, table
-from lexspan.tables import written
+from lexspan.tables import dealt, written
 
 _LINES = """(select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity, l_extendedprice) as n,
     l_linenumber as line, l_partkey as part, l_quantity::int as quantity, l_discount as discount, l_returnflag as flag from lineitem)"""
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    """The lines of orders, numbered from 1; an order has few."""
+    """The lines of orders, numbered from 1; an order has few. What follows by order stays in the tasks that the lines are dealt to."""
     own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(own).cast("long"))
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("n", F.row_number().over(own).cast("long"))
     return rows.select(F.col("l_orderkey").alias("doc_id"), "n", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"))
 
 

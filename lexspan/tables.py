@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SALTS = 64
 SMALL = 200_000  # rows of a side that may be told to all tasks
 PIECE = 1 << 20  # bytes of a piece of an Arrow batch, or one row
+SORTED = 1_000_000  # rows that a task should sort at most
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
@@ -54,6 +55,12 @@ def small_side(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by a hash of the keys in tasks of about SORTED rows, where the shuffle partitions are too few for that; df is counted, so it should be files."""
+    tasks = -(-df.count() // SORTED)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def best(df: DataFrame, keys: list[str], order: list, k: int, spread: str) -> DataFrame:
     """The k first rows of each key with their rank from 1 (long); a key's rows meet by a hash of column ``spread`` first."""
     first = Window.partitionBy(*keys, "__salt").orderBy(*order)
