@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.operators.segment import HEADER_WORDS
@@ -33,42 +33,37 @@ def joined_pages(blocks: DataFrame, headers: Sequence[str] = HEADERS) -> DataFra
 
     The last text block of a page takes in the first of the next page unless it
     ends a sentence or the other begins a clause. A page whose only text block
-    has gone to the page before cannot take in another. That chain is a fold
-    over a document's pages; its state is one flag. Blocks that went are left out.
+    has gone to the page before cannot take in another. Along a chain of such
+    pages blocks go and stay in turn, so the distance from its begin tells which
+    go. Blocks that went are left out. All is read off one order of a document's
+    blocks; nothing is joined.
     """
-    key = ["doc_id", "page_index"]
-    texts = blocks.where(F.col("block_type").isin(*TEXT))
-    edge = F.struct("ord", "block_id", F.coalesce("content", F.lit("")).alias("content"))
-    ends = texts.groupBy(*key).agg(F.count("*").alias("n"), F.min(edge).alias("first"), F.max(edge).alias("last"))
-    # pages without text blocks take part, as they break the chain
-    ends = blocks.select(*key).distinct().join(ends, key, "left")
-    per = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "n", "first", "last"))).alias("p"))
+    order = "partition by doc_id order by page_index, ord, block_id, content"
+    before = lambda x, n: F.expr(f"lag({x}, {n}) ignore nulls over ({order})")
+    own = Window.partitionBy("doc_id").orderBy("page_index", "ord", "block_id", "content")
+    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     header = "^(?:" + "|".join(headers) + ")"
-
-    def cut(a, b):
-        left, right = _right(a["last"]["content"]), _left(b["first"]["content"])
-        return F.coalesce((left != "") & (right != "") & ~left.rlike(SENTENCE_END) & ~right.rlike(header), F.lit(False))
-
-    pairs = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda a, b: F.struct(a.alias("a"), b.alias("b"), cut(a, b).alias("cut")))
-    pairs = F.filter(pairs, lambda x: x["b"].isNotNull())
-    none = F.array().cast("array<struct<to:string,gone:string,more:string,page:int,next:int>>")
-
-    def step(acc, x):
-        go = x["cut"] & ~(acc["went"] & (x["a"]["n"] == 1))
-        one = F.struct(
-            x["a"]["last"]["block_id"].alias("to"), x["b"]["first"]["block_id"].alias("gone"), _left(x["b"]["first"]["content"]).alias("more"),
-            x["a"]["page_index"].cast("int").alias("page"), x["b"]["page_index"].cast("int").alias("next"),
-        )
-        return F.struct(go.alias("went"), F.when(go, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    moves = F.aggregate(pairs, F.struct(F.lit(False).alias("went"), none.alias("out")), step, lambda acc: acc["out"])
-    moves = per.where(F.size("p") > 1).select("doc_id", F.explode(moves).alias("m")).select("doc_id", "m.*")
-    took = moves.select("doc_id", F.col("page").alias("page_index"), F.col("to").alias("block_id"), "more")
-    gone = moves.select("doc_id", F.col("next").alias("page_index"), F.col("gone").alias("block_id"))
-    on = ["doc_id", "page_index", "block_id"]
-    kept = blocks.join(gone, on, "left_anti").join(took, on, "left")
-    content = F.when(F.col("more").isNotNull(), F.concat(_right(F.col("content")), F.col("more"))).otherwise(F.col("content"))
-    return kept.withColumn("content", content).select(*blocks.columns)
+    text = F.col("block_type").isin(*TEXT) & F.col("doc_id").isNotNull() & F.col("page_index").isNotNull()
+    df = blocks.withColumn("__text", F.coalesce(text, F.lit(False)))
+    # text blocks: the one before, and the page of the one before that
+    df = df.withColumns({"__last": before("if(__text, struct(page_index as page, content), null)", 1), "__other": before("if(__text, page_index, null)", 2), "__row": F.lag("page_index").over(own)})
+    # pages without text blocks are counted too, as they break the chain
+    new = ~F.col("page_index").eqNullSafe(F.col("__row"))
+    df = df.withColumns({"__page": F.sum(new.cast("int")).over(so_far), "__before": F.last(F.when(new, F.col("__row")), ignorenulls=True).over(so_far)})
+
+    last = F.col("__last.page")
+    first = F.col("__text") & (last.isNull() | (last != F.col("page_index")))
+    left, right = _right(F.col("__last.content")), _left(F.col("content"))
+    cut = F.coalesce((left != "") & (right != "") & ~left.rlike(SENTENCE_END) & ~right.rlike(header), F.lit(False))
+    df = df.withColumns({"__first": first, "__cut": F.when(first & (last == F.col("__before")), cut).otherwise(F.lit(False))})
+    # the page before has one text block only, so whether that went decides
+    linked = F.col("__cut") & (F.col("__other").isNull() | (F.col("__other") != last))
+    begin = F.last(F.when(F.col("__first") & ~linked, F.col("__page") + F.col("__cut").cast("int")), ignorenulls=True).over(so_far)
+    df = df.withColumn("__went", F.col("__first") & ((F.col("__page") + begin) % 2 == 1))
+    df = df.withColumn("__next", F.expr(f"lead(if(__text, struct(__went as went, content), null), 1) ignore nulls over ({order})"))
+    takes = F.col("__text") & F.col("__next.went")
+    content = F.when(takes, F.concat(_right(F.col("content")), _left(F.col("__next.content")))).otherwise(F.col("content"))
+    return df.where(~F.col("__went")).withColumn("content", content).select(*blocks.columns)
 
 
 def document_text(blocks: DataFrame, kinds: Sequence[str] = ("text", "title", "table")) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from lexspan import catalogue_orders, tables
-from lexspan.operators import rules
+from lexspan.operators import pages, rules
+from tests.test_operators import folded
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,3 +36,23 @@ def test_findings_of_a_rule_are_sorted_once(spark):
     want = sorted((doc, rule, min(n for _, n, _ in g), min(g)[1], min(g)[2]) for (doc, rule), g in groups.items())
     assert sorted(tuple(x) for x in best.select("doc_id", "rule_id", "place", "ord", "risk_level").collect()) == want
     assert steps(best, "Sort [") == 1
+
+
+def test_pages_are_joined_in_one_order_of_their_blocks(spark):
+    """Pages of long documents, with ids of blocks that repeat on a page."""
+    r = random.Random(5)
+    rows = []
+    for doc, size in enumerate([9000, 2500, *[r.randrange(1, 9) for _ in range(300)]]):
+        for p in range(size):
+            for o in range(r.choice([1, 1, 1, 2, 3])):
+                rows.append((doc, p, o, r.choice("ab"), r.choice(["text"] * 6 + ["title", "table"]), r.choice(["cut ", "cut ", f" more {p}", "ends.", "第二条 x", "", None])))
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, ord int, block_id string, block_type string, content string").repartition(4)
+    joined = pages.joined_pages(df)
+    assert joined.columns == df.columns
+    assert steps(joined, "Join") == 0 and steps(joined, "Sort [") == 1
+    got, want = {}, {}
+    for x in joined.collect():
+        got.setdefault(x.doc_id, []).append((x.block_id, x.content or ""))
+    for doc, *block, text in rows:
+        want.setdefault(doc, []).append((*block, text or ""))
+    assert all(sorted(got[doc]) == folded(blocks) for doc, blocks in want.items()) and got.keys() == want.keys()
