@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from functools import cache, partial, reduce
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexspan.functions.text import bound, occurrences, places
+from lexspan.functions.text import bound, occurrences
+from lexspan.tables import pieces
 
 #: fixed values: capital numerals, their units, and how dates are written
 DIGITS = {"零": 0, "壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9}
@@ -18,6 +27,23 @@ def _tagged(found: Column, name: str, tag, value: str) -> Column:
     return F.transform(found, lambda v: F.struct(F.lit(tag).alias(name), v.alias(value)))
 
 
+def told_of(docs: DataFrame, keys: tuple[str, ...], text: str, find: Callable[[str], list[tuple]], fields: dict[str, T.DataType]) -> DataFrame:
+    """(keys, found): what find tells of each text, as an array of structs of these fields; none of a null text. A text is read once."""
+    kinds = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
+    types = [kinds[t] for t in fields.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            every = [find(t) if t else [] for t in batch.column(len(keys)).to_pylist()]
+            flat = [pa.array([x[i] for found in every for x in found], t) for i, t in enumerate(types)]
+            ends = pa.array(accumulate(map(len, every), initial=0), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, [*fields]))], names=[*keys, "found"])
+
+    rows = docs.select(*keys, F.col(text).alias("__text"))
+    found = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keys)], T.StructField("found", found)]))
+
+
 def capital_number(text: Column, strict: bool = True) -> Column:
     """Value of a number in capital numerals up to 元.
 
@@ -130,9 +156,22 @@ DATE_ROLES = [
     ("开工日期", ["开工日期", "开工日", "开工之日"]),
     ("竣工日期", ["竣工日期", "竣工日", "竣工之日"]),
 ]
-# the lookahead is implied: it is quicker than the class that follows
-CHINESE_DATE = "(?=.{4}年)([〇零一二三四五六七八九]{4})年([一二三四五六七八九十]{1,3})月([一二三四五六七八九十]{1,4})日"
+CHINESE_DATE = "([〇零一二三四五六七八九]{4})年([一二三四五六七八九十]{1,3})月([一二三四五六七八九十]{1,4})日"
 RELATIVE_DATE = r"(自.{2,10}(?:之日起|起))\s*([0-9]+)\s*(日内|日|个月|天|年)"
+_DATE_START = re.compile(r"[0-9](?=[0-9]{3}(?:[年/.-]|\s+年))", re.ASCII)  # of every form in digits
+_DATE_FORMS = [re.compile(p, re.ASCII) for p, _ in DATE_FORMS]
+_CHINESE_DATE = re.compile(CHINESE_DATE)
+_RELATIVE_DATE = re.compile(RELATIVE_DATE, re.ASCII)
+_YEAR_DIGITS, _MONTH_DIGITS = str.maketrans("〇零一二三四五六七八九", "00123456789"), "零一二三四五六七八九"
+# keywords by their first two characters
+_ROLE_WORDS: dict[str, list[tuple[str, int, int]]] = {}
+for _rank, (_, _words) in enumerate(DATE_ROLES):
+    for _w in _words:
+        if "*" not in _w:
+            _ROLE_WORDS.setdefault(_w[:2], []).append((_w, len(_w), _rank))
+_ROLE_START = re.compile("|".join(f"{c}(?=[{''.join(w[1] for w in _ROLE_WORDS if w[0] == c)}])" for c in sorted({w[0] for w in _ROLE_WORDS})))
+# within a line, and with its last word, without which it need not be looked for
+_ROLE_PATTERNS = [(re.compile(w.replace(".", r"[^\n\r\x85\u2028\u2029]")), w.rpartition("*")[2], rank) for rank, (_, words) in enumerate(DATE_ROLES) for w in words if "*" in w]
 
 
 def small_number(c: Column, strict: bool = True) -> Column:
@@ -149,14 +188,65 @@ def small_number(c: Column, strict: bool = True) -> Column:
     return F.when(F.contains(c, F.lit("十")), 10 * value(before, 1) + value(after, 0)).otherwise(digits(c).try_cast("int"))
 
 
-def date_role(context: Column) -> Column:
-    """The first role with a keyword, or its pattern, in the context."""
-    out = F.lit(None).cast("string")
-    for role, words in reversed(DATE_ROLES):
-        # by their first characters, so that few places of a context are looked at twice
-        first = sorted({w[0] for w in words})
-        out = F.when(context.rlike("|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in first)), F.lit(role)).otherwise(out)
-    return out
+@cache
+def small_value(c: str, strict: bool = True) -> int:
+    """small_number of one number in the numerals of a month or day."""
+    strung = lambda digits, none=0: int("".join(map(str, map(_MONTH_DIGITS.index, digits)))) if digits else none
+    if not strict:
+        known = {"十": 10, "十一": 11, "十二": 12}.get(c)
+        return known or reduce(lambda a, x: a * 10 + (10 if x == "十" else _MONTH_DIGITS.index(x)), c, 0)
+    parts = c.split("十")
+    return 10 * strung(parts[0], 1) + strung(parts[-1]) if len(parts) > 1 else strung(c)
+
+
+def _all(word: str, text: str) -> Iterator[int]:
+    """Where the word is, also within itself."""
+    at = text.find(word)
+    while at >= 0:
+        yield at
+        at = text.find(word, at + 1)
+
+
+def dates_in(text: str, strict: bool = True, around: int = 100) -> list[tuple[str, int, str, str | None]]:
+    """(raw, start_pos, normalized, role) of a text's dates, as date_mentions tells them."""
+    found: dict[str, tuple[int, str | None]] = {}
+
+    def add(forms: list[re.Pattern], starts: list[int], number: Callable[[re.Match], tuple[int, int, int]]) -> None:
+        for form in forms:
+            end = 0
+            for s in starts:
+                if s >= end and (m := form.match(text, s)):
+                    end = m.end()
+                    if m[0] not in found:
+                        y, mo, d = number(m)
+                        found[m[0]] = (s, f"{y}-{mo:02d}-{d:02d}" if 1900 <= y <= 2100 and 1 <= mo <= 12 and 1 <= d <= 31 else None)
+
+    add(_DATE_FORMS, [m.start() for m in _DATE_START.finditer(text)], lambda m: map(int, m.groups()))
+    numerals = lambda m: (int(m[1].translate(_YEAR_DIGITS)), small_value(m[2], strict), small_value(m[3], strict))
+    add([_CHINESE_DATE], [at - 4 for at in _all("年", text) if at >= 4], numerals)
+    for m in _RELATIVE_DATE.finditer(text):
+        found.setdefault(m[0], (m.start(), f"relative:{m[2]}{m[3]}"))
+
+    # the first role with a keyword, or its pattern, in the text around
+    words = []
+    for at in [m.start() for m in _ROLE_START.finditer(text)]:
+        words += [(at, at + n, rank) for w, n, rank in _ROLE_WORDS[text[at : at + 2]] if text.startswith(w, at)]
+    patterns = [(p, rank) for p, last, rank in _ROLE_PATTERNS if last in text]
+
+    def role(at: int) -> str | None:
+        low, high, best = max(at - around, 0), at + around, len(DATE_ROLES)
+        for i in range(bisect_left(words, (low,)), len(words)):
+            s, e, rank = words[i]
+            if s >= high:
+                break
+            if e <= high and rank < best:
+                best = rank
+        for p, rank in patterns:
+            if rank < best and p.search(text[low:high]):
+                best = rank
+        return DATE_ROLES[best][0] if best < len(DATE_ROLES) else None
+
+    return [(raw, at, told, role(at)) for raw, (at, told) in found.items() if told]
 
 
 def date_mentions(docs: DataFrame, text: str = "text", strict: bool = True, keys: tuple[str, ...] = ("doc_id",), around: int = 100) -> DataFrame:
@@ -165,32 +255,8 @@ def date_mentions(docs: DataFrame, text: str = "text", strict: bool = True, keys
     The role comes from the text around the start. With the clause id among the
     keys the same gives dates per clause.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    forms = [(DATE_FORMS[0][0], 0), (CHINESE_DATE, 1), *DATE_FORMS[1:], (f"(?d){RELATIVE_DATE}", 9)]
-    of = lambda p, k: F.transform(places(body, p), lambda x: F.struct(x["v"].alias("raw"), F.lit(k).alias("form"), x["s"].alias("at")))
-    padded = lambda c, n: F.lpad(c.cast("string"), n, "0")
-
-    def told(x: Column) -> Column:
-        """A match with its date; without one for none."""
-        raw = x["raw"]
-        number = F.regexp_extract_all(raw, F.lit("([0-9]+)"), F.lit(1))
-        digits = bound(number, lambda n: F.struct(*[F.get(n, F.lit(i)).try_cast("int").alias(c) for i, c in enumerate("ymd")]))
-        chinese = [F.regexp_extract(raw, CHINESE_DATE, i) for i in (1, 2, 3)]
-        year = F.translate(chinese[0], "〇零一二三四五六七八九", "00123456789").try_cast("int")
-        numerals = F.struct(year.alias("y"), small_number(chinese[1], strict).alias("m"), small_number(chinese[2], strict).alias("d"))
-        good = lambda p: p["y"].between(1900, 2100) & p["m"].between(1, 12) & p["d"].between(1, 31)
-        fixed = bound(F.when(x["form"] == 1, numerals).otherwise(digits), lambda p: F.when(good(p), F.concat_ws("-", padded(p["y"], 4), padded(p["m"], 2), padded(p["d"], 2))))
-        relative = F.concat(F.lit("relative:"), F.regexp_extract(raw, RELATIVE_DATE, 2), F.regexp_extract(raw, RELATIVE_DATE, 3))
-        return F.struct(raw.alias("raw"), x["at"].alias("at"), F.when(x["form"] == 9, relative).otherwise(fixed).alias("normalized"))
-
-    def once(found: Column) -> Column:
-        first = bound(F.transform(found, lambda x: x["raw"]), lambda raws: F.filter(found, lambda x, i: F.array_position(raws, x["raw"]) == i + 1))
-        return F.filter(F.transform(first, told), lambda x: x["normalized"].isNotNull())
-
-    rows = docs.select(*keys, body.alias("__body"), F.explode(bound(F.concat(*[of(p, k) for p, k in forms]), once)).alias("x"))
-    low = F.greatest(F.col("x.at") - around, F.lit(0))
-    near = F.substring(F.col("__body"), low + 1, F.col("x.at") + around - low)
-    return rows.select(*keys, "x.raw", F.col("x.at").cast("long").alias("start_pos"), "x.normalized", date_role(near).alias("role"))
+    fields = {"raw": T.StringType(), "start_pos": T.LongType(), "normalized": T.StringType(), "role": T.StringType()}
+    return told_of(docs, keys, text, partial(dates_in, strict=strict, around=around), fields).select(*keys, F.inline("found"))
 
 
 #: fixed values: an amount in figures with the same in capitals behind it, or the other way round
@@ -202,15 +268,24 @@ PAIR_BACK = rf"[（(]\s*(?:大写[：:]?\s*)?(?:人民币)?([{NUMERALS}]+)[元
 def capitals(number: Column) -> Column:
     """A whole number from 1 up to 10^12 in capital numerals; null for others.
 
-    Every digit is told with its unit, and then what zeros leave unsaid goes.
+    Two digits at a time are looked up with their units; a zero is told once where a digit is missing between others.
     """
-    digits = F.translate(F.lpad(number.cast("long").cast("string"), 12, "0"), "0123456789", NUMERALS[:10])
-    units = ["仟", "佰", "拾", "亿", "仟", "佰", "拾", "万", "仟", "佰", "拾", ""]
-    out = F.concat(*[x for i, u in enumerate(units) for x in (F.substring(digits, i + 1, 1), F.lit(u))])
-    # a section without digits has no mark, and a zero before a mark is told behind it
-    for old, new in (("零[仟佰拾]", "零"), ("零{4}[亿万]", "零"), ("零+([亿万])", "$1零"), ("^零+|零+$", ""), ("零{2,}", "零")):
-        out = F.regexp_replace(out, old, new)
-    return F.when((number >= 1) & (number < 10**12), out)
+    digit = ["", *NUMERALS[1:10]]
+    # texts of 0 to 99, worked out when the query is planned
+    two = lambda ten, one: F.split(F.lit(",".join((digit[n // 10] and digit[n // 10] + ten) + (digit[n % 10] and digit[n % 10] + one) for n in range(100))), ",")
+    div = lambda a, n: F.call_function("div", a, F.lit(n))
+    zero = lambda before, a, b, full: F.when((before > 0) & (b > 0) & ((a % 10 == 0) | (b < full)), "零").otherwise("")
+
+    def section(s: Column) -> Column:
+        a, b = div(s, 100), s % 100
+        return F.concat(F.get(two("仟", "佰"), a.cast("int")), zero(a, a, b, 10), F.get(two("拾", ""), b.cast("int")))
+
+    def told(v: Column) -> Column:
+        marked = lambda s, mark: F.when(s > 0, F.concat(section(s), F.lit(mark))).otherwise("")
+        return F.concat(marked(v[0], "亿"), zero(v[0], v[0], v[1], 1000), marked(v[1], "万"), zero(v[0] + v[1], v[1], v[2], 1000), section(v[2]))
+
+    n = number.cast("long")
+    return F.when((number >= 1) & (number < 10**12), bound(F.array(div(n, 10**8), div(n, 10**4) % 10**4, n % 10**4), told))
 
 
 def amount_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
