@@ -84,25 +84,60 @@ AMOUNT_FORMS = [
 ]
 
 
+# the same for single texts, each form apart by how it begins, as a word is found quickly, and not looked for where it is not.
+# Figures before 元 begin behind no digit, and capitals behind no other, so that long numbers without 元 are not tried digit by digit
+_AFTER = [p[p.index(end) + 1 :] for p, end in zip(AMOUNT_FORMS, [")", "]", "$", "", ")"]) if end]
+_HEADS = [["人民币", "RMB", "CNY"], ["¥", "￥"], [r"\$"], ["金额", "价款", "价格", "总价", "报酬", "费用", "租金", "借款"]]
+_HEADED = [(h[-1] if h == r"\$" else h, re.compile(("(?:总|合同)?" if h == "金额" else "") + h + after, re.ASCII)) for heads, after in zip(_HEADS, _AFTER) for h in heads]
+_FIGURES_RUN = re.compile("[0-9](?<![0-9][0-9])[0-9,，.万亿]*+[元圆]")
+_FIGURES_YUAN = re.compile(AMOUNT_FORMS[3])
+_CAPITALS_YUAN = re.compile("([零壹贰叁肆伍陆柒捌玖拾佰仟万亿](?<![零壹贰叁肆伍陆柒捌玖拾佰仟万亿]{2})[零壹贰叁肆伍陆柒捌玖拾佰仟万亿]*+元(?:整|角|分)?)")
+_FIGURES = re.compile(FIGURES)
+
+
+def capital_value(number: str) -> float:
+    """capital_number, strict, of one number."""
+    total = part = digit = 0.0
+    for c in number.split("元", 1)[0]:
+        if c in DIGITS:
+            digit = float(DIGITS[c])
+        elif c in UNITS:
+            part, digit = part + (digit if digit > 0 else float(part == 0)) * UNITS[c], 0.0
+        elif c in "万亿":
+            total, part, digit = total + (part + digit) * (1e4 if c == "万" else 1e8), 0.0, 0.0
+    return total + part + digit
+
+
+def amounts_in(text: str) -> list[tuple[str, float]]:
+    """(raw, value) of a text's amounts, as amounts tells them."""
+    first = {m[0]: m[1] for head, form in _HEADED if head in text for m in form.finditer(text)}
+    first |= {m[0]: m[1] for run in _FIGURES_RUN.findall(text) for m in _FIGURES_YUAN.finditer(run)}
+    if "元" in text:
+        first |= {m[0]: m[1] for m in _CAPITALS_YUAN.finditer(text)}
+    out = []
+    for raw, number in first.items():
+        figures = _FIGURES.match(number)
+        if figures:
+            value = float(figures[0].replace(",", "").replace("，", "")) * (1e8 if "亿" in number else 1e4 if "万" in number else 1.0)
+        else:
+            value = capital_value(number)
+        if value > 0:
+            out.append((raw, value))
+    return out
+
+
+def amount_lists(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, found) of each row: the amounts of its text as an array of (raw, value)."""
+    return told_of(docs, ("doc_id",), text, amounts_in, {"raw": T.StringType(), "value": T.DoubleType()})
+
+
 def amounts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, raw, value) of amounts in figures or capitals, each raw text once, values above zero.
+    """(doc_id, raw, value) of amounts in figures or capitals, each raw text of a row once, values above zero.
 
     Every form is searched over the whole text, so an amount that two forms
     write differently is told under both raw texts.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-
-    def form(p):
-        all_ = [F.regexp_extract_all(body, F.lit(p), F.lit(group)) for group in (0, 1)]
-        return F.zip_with(*all_, lambda raw, number: F.struct(F.trim(raw).alias("raw"), number.alias("number")))
-
-    found = [form(p) for p in AMOUNT_FORMS]
-    rows = docs.select("doc_id", F.posexplode(F.concat(*found)).alias("pos", "f")).select("doc_id", "pos", "f.*")
-    first = rows.groupBy("doc_id", "raw").agg(F.min_by("number", "pos").alias("number"))
-    figures = F.regexp_replace(F.regexp_extract("number", f"^({FIGURES})", 1), "[,，]", "").try_cast("double")
-    scaled = figures * F.when(F.contains("number", F.lit("亿")), 1e8).when(F.contains("number", F.lit("万")), 1e4).otherwise(1.0)
-    value = F.when(F.col("number").rlike("^[0-9]"), scaled).otherwise(capital_number(F.col("number")).cast("double"))
-    return first.select("doc_id", "raw", value.alias("value")).where("value > 0")
+    return amount_lists(docs, text).select("doc_id", F.inline("found"))
 
 
 def dates(docs: DataFrame, text: str = "text") -> DataFrame:

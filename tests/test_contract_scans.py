@@ -1,4 +1,4 @@
-"""Dates are found in one reading of a text, without a shuffle and without work in the square of its length."""
+"""Dates and amounts are found in one reading of a text, without a shuffle and without work in the square of its length."""
 
 import random
 import time
@@ -51,3 +51,33 @@ def test_numbers_as_in_columns(spark):
     days = ["".join(r.choice("零一二三四五六七八九十") for _ in range(r.randrange(1, 5))) for _ in range(500)]
     for t, a, b in spark.createDataFrame([(t,) for t in days], "t string").select("t", entities.small_number(F.col("t")), entities.small_number(F.col("t"), False)).collect():
         assert (entities.small_value(t), entities.small_value(t, False)) == (a, b), t
+
+
+def test_capitals_as_in_columns(spark):
+    r = random.Random(4)
+    sums = ["".join(r.choice("零壹贰叁肆伍陆柒捌玖拾佰仟万亿元") for _ in range(r.randrange(1, 14))) for _ in range(500)]
+    for t, a in spark.createDataFrame([(t,) for t in sums], "t string").select("t", entities.capital_number(F.col("t"))).collect():
+        assert entities.capital_value(t) == a, t
+
+
+def test_amounts_of_odd_texts(spark):
+    texts = ["合同金额为 5万，总金额:￥6", "12,345.6元，.5元", "人民币 \n 3元", "壹元整贰元", "零元 0元 ￥0", "借款 \n￥7亿圆", "RMB人民币8元 $9", None, ""]
+    got = sorted((r["doc_id"], r["raw"], r["value"]) for r in entities.amounts(docs(spark, texts)).collect())
+    assert got == [
+        (0, "合同金额为 5万", 5e4), (0, "总金额:￥6", 6.0), (0, "￥6", 6.0), (1, "12,345.6元", 12345.6), (1, "5元", 5.0), (2, "3元", 3.0), (2, "人民币 \n 3元", 3.0), (3, "壹元整", 1.0), (3, "贰元", 2.0),
+        (5, "7亿圆", 7e8), (5, "借款 \n￥7亿圆", 7e8), (5, "￥7亿", 7e8), (6, "$9", 9.0), (6, "8元", 8.0), (6, "人民币8元", 8.0),
+    ]
+
+
+def test_long_numbers_that_are_no_amounts(spark):
+    """A number of n digits without 元 behind it is not tried from each digit to each."""
+    texts = ["9" * 20_000 + " 5元", "零" * 20_000 + " 陆元"]
+    began = time.time()
+    assert sorted((r["doc_id"], r["raw"], r["value"]) for r in entities.amounts(docs(spark, texts)).collect()) == [(0, "5元", 5.0), (1, "陆元", 6.0)]
+    assert time.time() - began < 30
+
+
+def test_contract_amounts_are_added_up_where_they_are_found(spark):
+    df = catalogue_contracts.q_contract_amounts(spark, SF)
+    assert steps(df, "MapInArrow") == 1 and steps(df, "Aggregate") == 0
+    assert all("contracts" not in f for f in df.inputFiles())
