@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import cache, partial, reduce
+from functools import cache, lru_cache, partial, reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -85,16 +85,15 @@ AMOUNT_FORMS = [
 
 
 # the same for single texts, each form apart by how it begins, as a word is found quickly, and not looked for where it is not.
-# Figures before 元 begin behind no digit, and capitals behind no other, so that long numbers without 元 are not tried digit by digit
+# Numbers before 元 are looked for from there, so that long ones without it are not tried digit by digit
 _AFTER = [p[p.index(end) + 1 :] for p, end in zip(AMOUNT_FORMS, [")", "]", "$", "", ")"]) if end]
 _HEADS = [["人民币", "RMB", "CNY"], ["¥", "￥"], [r"\$"], ["金额", "价款", "价格", "总价", "报酬", "费用", "租金", "借款"]]
 _HEADED = [(h[-1] if h == r"\$" else h, re.compile(("(?:总|合同)?" if h == "金额" else "") + h + after, re.ASCII)) for heads, after in zip(_HEADS, _AFTER) for h in heads]
-_FIGURES_RUN = re.compile("[0-9](?<![0-9][0-9])[0-9,，.万亿]*+[元圆]")
 _FIGURES_YUAN = re.compile(AMOUNT_FORMS[3])
-_CAPITALS_YUAN = re.compile("([零壹贰叁肆伍陆柒捌玖拾佰仟万亿](?<![零壹贰叁肆伍陆柒捌玖拾佰仟万亿]{2})[零壹贰叁肆伍陆柒捌玖拾佰仟万亿]*+元(?:整|角|分)?)")
 _FIGURES = re.compile(FIGURES)
 
 
+@lru_cache(256)
 def capital_value(number: str) -> float:
     """capital_number, strict, of one number."""
     total = part = digit = 0.0
@@ -111,9 +110,15 @@ def capital_value(number: str) -> float:
 def amounts_in(text: str) -> list[tuple[str, float]]:
     """(raw, value) of a text's amounts, as amounts tells them."""
     first = {m[0]: m[1] for head, form in _HEADED if head in text for m in form.finditer(text)}
-    first |= {m[0]: m[1] for run in _FIGURES_RUN.findall(text) for m in _FIGURES_YUAN.finditer(run)}
-    if "元" in text:
-        first |= {m[0]: m[1] for m in _CAPITALS_YUAN.finditer(text)}
+    behind = lambda part, signs: part[len(part.rstrip(signs)) :]
+    for yuan in "元圆":
+        parts = text.split(yuan)
+        for part, after in zip(parts, parts[1:]):
+            if run := behind(part, "0123456789,，.万亿"):
+                first.update((m[0], m[1]) for m in _FIGURES_YUAN.finditer(run + yuan))
+            if yuan == "元" and (run := behind(part, "零壹贰叁肆伍陆柒捌玖拾佰仟万亿")):
+                raw = run + yuan + (after[:1] if after[:1] in ("整", "角", "分") else "")
+                first[raw] = raw
     out = []
     for raw, number in first.items():
         figures = _FIGURES.match(number)
@@ -194,15 +199,15 @@ DATE_ROLES = [
 CHINESE_DATE = "([〇零一二三四五六七八九]{4})年([一二三四五六七八九十]{1,3})月([一二三四五六七八九十]{1,4})日"
 RELATIVE_DATE = r"(自.{2,10}(?:之日起|起))\s*([0-9]+)\s*(日内|日|个月|天|年)"
 _DATE_START = re.compile(r"[0-9](?=[0-9]{3}(?:[年/.-]|\s+年))", re.ASCII)  # of every form in digits
-_DATE_FORMS = [re.compile(p, re.ASCII) for p, _ in DATE_FORMS]
+_DATE_FORMS = {sign: re.compile(p, re.ASCII) for (p, _), sign in zip(DATE_FORMS, "年-/.")}  # by what stands behind the year
 _CHINESE_DATE = re.compile(CHINESE_DATE)
 _RELATIVE_DATE = re.compile(RELATIVE_DATE, re.ASCII)
 _YEAR_DIGITS, _MONTH_DIGITS = str.maketrans("〇零一二三四五六七八九", "00123456789"), "零一二三四五六七八九"
-# keywords by their first two characters
+# keywords by their first two characters; one that begins with another of its role adds nothing
 _ROLE_WORDS: dict[str, list[tuple[str, int, int]]] = {}
 for _rank, (_, _words) in enumerate(DATE_ROLES):
     for _w in _words:
-        if "*" not in _w:
+        if "*" not in _w and not any(_w != v and _w.startswith(v) for v in _words):
             _ROLE_WORDS.setdefault(_w[:2], []).append((_w, len(_w), _rank))
 _ROLE_START = re.compile("|".join(f"{c}(?=[{''.join(w[1] for w in _ROLE_WORDS if w[0] == c)}])" for c in sorted({w[0] for w in _ROLE_WORDS})))
 # within a line, and with its last word, without which it need not be looked for
@@ -245,43 +250,40 @@ def _all(word: str, text: str) -> Iterator[int]:
 def dates_in(text: str, strict: bool = True, around: int = 100) -> list[tuple[str, int, str, str | None]]:
     """(raw, start_pos, normalized, role) of a text's dates, as date_mentions tells them."""
     found: dict[str, tuple[int, str | None]] = {}
-
-    def add(forms: list[re.Pattern], starts: list[int], number: Callable[[re.Match], tuple[int, int, int]]) -> None:
-        for form in forms:
-            end = 0
-            for s in starts:
-                if s >= end and (m := form.match(text, s)):
-                    end = m.end()
-                    if m[0] not in found:
-                        y, mo, d = number(m)
-                        found[m[0]] = (s, f"{y}-{mo:02d}-{d:02d}" if 1900 <= y <= 2100 and 1 <= mo <= 12 and 1 <= d <= 31 else None)
-
-    add(_DATE_FORMS, [m.start() for m in _DATE_START.finditer(text)], lambda m: map(int, m.groups()))
-    numerals = lambda m: (int(m[1].translate(_YEAR_DIGITS)), small_value(m[2], strict), small_value(m[3], strict))
-    add([_CHINESE_DATE], [at - 4 for at in _all("年", text) if at >= 4], numerals)
+    told = lambda y, m, d: f"{y}-{m:02d}-{d:02d}" if 1900 <= y <= 2100 and 1 <= m <= 12 and 1 <= d <= 31 else None
+    end: dict[re.Pattern, int] = {}  # matches of one form do not overlap
+    for s in [m.start() for m in _DATE_START.finditer(text)]:
+        form = _DATE_FORMS.get(text[s + 4], _DATE_FORMS["年"])
+        if (m := form.match(text, s)) and s >= end.get(form, 0):
+            end[form] = m.end()
+            if m[0] not in found:
+                found[m[0]] = (s, told(*map(int, m.groups())))
+    last = 0
+    for at in _all("年", text):
+        if at >= last + 4 and (m := _CHINESE_DATE.match(text, at - 4)):
+            last = m.end()
+            if m[0] not in found:
+                found[m[0]] = (at - 4, told(int(m[1].translate(_YEAR_DIGITS)), small_value(m[2], strict), small_value(m[3], strict)))
     for m in _RELATIVE_DATE.finditer(text):
-        found.setdefault(m[0], (m.start(), f"relative:{m[2]}{m[3]}"))
+        if m[0] not in found:
+            found[m[0]] = (m.start(), f"relative:{m[2]}{m[3]}")
 
     # the first role with a keyword, or its pattern, in the text around
-    words = []
-    for at in [m.start() for m in _ROLE_START.finditer(text)]:
-        words += [(at, at + n, rank) for w, n, rank in _ROLE_WORDS[text[at : at + 2]] if text.startswith(w, at)]
-    patterns = [(p, rank) for p, last, rank in _ROLE_PATTERNS if last in text]
-
-    def role(at: int) -> str | None:
-        low, high, best = max(at - around, 0), at + around, len(DATE_ROLES)
-        for i in range(bisect_left(words, (low,)), len(words)):
-            s, e, rank = words[i]
-            if s >= high:
-                break
-            if e <= high and rank < best:
-                best = rank
-        for p, rank in patterns:
-            if rank < best and p.search(text[low:high]):
-                best = rank
-        return DATE_ROLES[best][0] if best < len(DATE_ROLES) else None
-
-    return [(raw, at, told, role(at)) for raw, (at, told) in found.items() if told]
+    words: list[tuple[int, int, int]] = []
+    for m in _ROLE_START.finditer(text):
+        at = m.start()
+        for w, n, rank in _ROLE_WORDS[text[at : at + 2]]:
+            if text.startswith(w, at):
+                words.append((at, at + n, rank))
+    patterns = [(p, rank) for p, last_word, rank in _ROLE_PATTERNS if last_word in text]
+    out = []
+    for raw, (at, date) in found.items():
+        if date:
+            low, high = max(at - around, 0), at + around
+            ranks = [rank for _, e, rank in words[bisect_left(words, (low,)) : bisect_left(words, (high,))] if e <= high]
+            ranks += [rank for p, rank in patterns if p.search(text[low:high])]
+            out.append((raw, at, date, DATE_ROLES[min(ranks)][0] if ranks else None))
+    return out
 
 
 def date_mentions(docs: DataFrame, text: str = "text", strict: bool = True, keys: tuple[str, ...] = ("doc_id",), around: int = 100) -> DataFrame:
